@@ -29,34 +29,42 @@ def grouped_positions(df: DataFrame, by: list[str], order: list[Column],
     """
     spread = [F.col(c) for c in by] + list(order)
     sliced = (df.repartitionByRange(*spread).sortWithinPartitions(*spread)
-              .withColumn("_at", F.monotonically_increasing_id()))
-    sliced = cut_lineage(sliced).withColumn("_slice", F.shiftright("_at", ROW_BITS))
-    keys = by or ["_all"]
+              .withColumn("_gp_at", F.monotonically_increasing_id()))
+    sliced = cut_lineage(sliced).withColumn("_gp_slice", F.shiftright("_gp_at", ROW_BITS))
+    keys = by or ["_gp_all"]
     if not by:
-        sliced = sliced.withColumn("_all", F.lit(0))
-    runs = sliced.groupBy(*keys, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        sliced = sliced.withColumn("_gp_all", F.lit(0))
+    runs = sliced.groupBy(*keys, "_gp_slice").agg(F.min("_gp_at").alias("_gp_first"), F.count("*").alias("_gp_n"))
     per_group = W.partitionBy(*keys)
     runs = (runs
-            .withColumn("_before", F.sum("_n").over(per_group.orderBy("_slice")) - F.col("_n"))
-            .withColumn(size, F.sum("_n").over(per_group))
-            .drop("_n"))
-    out = sliced.join(runs, keys + ["_slice"] if by else ["_slice"])
-    out = out.withColumn(position, F.col("_at") - F.col("_first") + F.col("_before") + 1)
-    return out.drop("_at", "_slice", "_first", "_before", "_all")
+            .withColumn("_gp_before", F.sum("_gp_n").over(per_group.orderBy("_gp_slice")) - F.col("_gp_n"))
+            .withColumn(size, F.sum("_gp_n").over(per_group))
+            .drop("_gp_n"))
+    out = sliced.join(runs, keys + ["_gp_slice"] if by else ["_gp_slice"])
+    out = out.withColumn(position, F.col("_gp_at") - F.col("_gp_first") + F.col("_gp_before") + 1)
+    return out.drop("_gp_at", "_gp_slice", "_gp_first", "_gp_before", "_gp_all")
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                      names: list[str], buckets: int = 128) -> DataFrame:
+                      names: list[str], buckets: int = 128, direct_limit: int = 200_000) -> DataFrame:
     """Exact interpolated percentiles, one row per ``by`` group (columns ``names`` and ``n``).
 
-    Equal values are counted first. Approximate quantiles split the distinct
-    values into buckets, bucket counts say which buckets hold the wanted
-    ranks, and only those buckets are sorted.
+    Equal values are counted first and the counts are written once. Up to
+    ``direct_limit`` distinct values the built-in weighted percentile reads
+    them. Beyond it approximate quantiles split the distinct values into
+    buckets, bucket counts say which buckets hold the wanted ranks, and only
+    those buckets are sorted. Both ways are exact.
     """
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     counted = (src.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
+    counted = cut_lineage(counted)
+    if counted.limit(direct_limit + 1).count() <= direct_limit:
+        spots = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
+        out = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), spots.alias("_p")).select(
+            *keys, "n", *[F.element_at("_p", i + 1).alias(name) for i, name in enumerate(names)])
+        return out if by else out.drop("_all")
     cut_points = [i / buckets for i in range(1, buckets)]
     cuts = counted.groupBy(*keys).agg(
         F.percentile_approx("_v", cut_points, 10 * buckets).alias("_cuts"))

@@ -146,8 +146,8 @@ def wear(t):
 
 
 @query("b17_content_words", "findings", """
-SELECT listing_id, photo_id, len(list_filter(list_distinct(regexp_extract_all(lower(observation), '[a-z]{4,}')),
- x -> NOT list_contains(['with','without','from','that','this','there','here','which','where','when','were','have','some','both','visible','appears','appear','shows','showing','seen','photo','image','frame','side','across','along','around','near','over','under','than','more','most','less','very','rather','still'], x))) AS n_words FROM findings""")
+SELECT listing_id, photo_id, len([x for x in list_distinct(regexp_extract_all(lower(observation), '[a-z]{4,}'))
+ if NOT list_contains(['with','without','from','that','this','there','here','which','where','when','were','have','some','both','visible','appears','appear','shows','showing','seen','photo','image','frame','side','across','along','around','near','over','under','than','more','most','less','very','rather','still'], x)]) AS n_words FROM findings""")
 def content_words(t):
     return t.findings.select("listing_id", "photo_id", F.size(T.content_words(F.col("observation"))).cast("bigint").alias("n_words"))
 
