@@ -61,7 +61,8 @@ def rank_of(scale: list[str], level: Column) -> Column:
 
 
 def level_of(scale: list[str], rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in scale]), (rank + 1).cast("int"))
+    # element_at reads a NULL index over a constant array as -1, so the NULL is kept by hand.
+    return F.when(rank.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in scale]), (rank + 1).cast("int")))
 
 
 def family_of(component: Column) -> Column:

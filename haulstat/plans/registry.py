@@ -53,7 +53,10 @@ def with_standins(tables: list[str], body: str) -> str:
         visit(t)
     ctes = [f"{t} AS ({re.sub(r'{(.*?)}', chr(92) + '1', STANDINS[t])})" for t in needed]
     body = body.strip()
+    lead = "WITH "
+    if body.startswith("WITH_RECURSIVE"):
+        lead, body = "WITH RECURSIVE ", body[len("WITH_RECURSIVE"):].strip()
+    plain = body.upper().startswith("SELECT")
     if not ctes:
-        return body if body.upper().startswith("SELECT") else "WITH " + body
-    joiner = " " if body.upper().startswith("SELECT") else ", "
-    return "WITH " + ", ".join(ctes) + joiner + body
+        return body if plain else lead + body
+    return lead + ", ".join(ctes) + (" " if plain else ", ") + body

@@ -119,3 +119,17 @@ SELECT CASE WHEN day(ts) <= 15 THEN 'before' ELSE 'after' END AS run, event_type
  CAST(user_id AS STRING) AS unit, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS hits
 FROM {events} GROUP BY 1, 2, 3
 """
+
+# Repeated sightings: three wordings of every observation on the original and on its degraded copy.
+STANDINS["sightings"] = """
+SELECT CAST(c.conv_id AS STRING) AS unit, v.variant, v.sample, CAST(c.turn AS INT) AS pos,
+ CASE (c.conv_id + c.turn) % 4 WHEN 0 THEN 'corrosion' WHEN 1 THEN 'chassis_frame' WHEN 2 THEN 'engine_bay' ELSE 'fluid_leaks' END AS component,
+ CASE (c.conv_id + c.turn) % 4 WHEN 0 THEN 'frame_corrosion' WHEN 1 THEN 'frame_corrosion' ELSE 'engine_leaks' END AS family,
+ CASE v.variant WHEN 'original' THEN CASE v.sample WHEN 0 THEN c.text WHEN 1 THEN replace(c.text, 'er', ' ') ELSE replace(c.text, 'en', ' ') END
+  ELSE CASE v.sample WHEN 0 THEN replace(c.text, 'th', ' ') WHEN 1 THEN replace(c.text, 'on', ' ') ELSE replace(c.text, 'e', ' ') END END AS observation,
+ CASE (c.conv_id * 3 + c.turn + v.sample) % 4 WHEN 0 THEN 'cosmetic' WHEN 1 THEN 'minor' WHEN 2 THEN 'moderate' ELSE 'major' END AS severity,
+ CASE (c.conv_id + c.turn * 2 + v.sample) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS price_impact,
+ CAST((c.conv_id * 31 + c.turn * 7 + v.sample * 11) % 101 AS DOUBLE) / 100 AS confidence
+FROM {conversations} c CROSS JOIN (SELECT 'original' AS variant, 0 AS sample UNION ALL SELECT 'original', 1 UNION ALL SELECT 'original', 2
+ UNION ALL SELECT 'degraded', 0 UNION ALL SELECT 'degraded', 1 UNION ALL SELECT 'degraded', 2) v
+"""
