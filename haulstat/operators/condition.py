@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import condition as C
@@ -45,18 +46,18 @@ def saturated(values: Column) -> Column:
 def family_demerits(findings: DataFrame, unit: list[str]) -> DataFrame:
     """Demerit per unit and family.
 
-    The decay makes every finding beyond the worst sixty worth less than 1e-23,
-    so equal demerits are counted first and only the distinct values of a
-    family (a few hundred: level x level x confidence in hundredths) are sorted.
+    Past the worst sixty findings the decay leaves less than 1e-23, so equal
+    demerits are counted first and only the sixty largest distinct values of a
+    family go on (the rank limit prunes them before the shuffle).
     """
     value = C.demerit(F.col("severity"), F.col("price_impact"), F.col("confidence"), F.col("ungraded"))
     tagged = findings.withColumns({"family": C.family_of(F.col("component")), "_v": value})
     counted = tagged.groupBy(*unit, "family", "_v").agg(
         F.count("*").alias("_n"), F.max(F.when(~F.col("ungraded"), C.rank_of(C.SEVERITIES, F.col("severity")))).alias("_worst"))
+    totals = counted.groupBy(*unit, "family").agg(F.sum("_n").alias("n_findings"), C.level_of(C.SEVERITIES, F.max("_worst")).alias("worst"))
+    top = counted.withColumn("_k", F.row_number().over(W.partitionBy(*unit, "family").orderBy(F.desc("_v")))).where("_k <= 60")
     repeats = F.flatten(F.collect_list(F.array_repeat("_v", F.least(F.col("_n"), F.lit(60)).cast("int"))))
-    return counted.groupBy(*unit, "family").agg(
-        F.sum("_n").alias("n_findings"), C.level_of(C.SEVERITIES, F.max("_worst")).alias("worst"),
-        F.round(saturated(repeats), 4).alias("demerit"))
+    return totals.join(top.groupBy(*unit, "family").agg(F.round(saturated(repeats), 4).alias("demerit")), unit + ["family"])
 
 
 def family_rollup(findings: DataFrame, reads: DataFrame, unit: list[str]) -> DataFrame:

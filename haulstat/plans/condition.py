@@ -73,10 +73,10 @@ def grade_ladder(t):
 
 
 @query("f12_condition_multiplier", "findings reads", ROLL_SQL + """
-SELECT listing_id, round(net, 4) AS net_score, round(1 + (1 - exp(-0.0551::DOUBLE)) * tanh(net), 4) AS multiplier FROM n""")
+SELECT listing_id, round(net, 6) AS net_score, round(1 + (1 - exp(-0.0551::DOUBLE)) * tanh(net), 4) AS multiplier FROM n""")
 def condition_multiplier(t):
     df = C.vehicle_rollup(t.findings, t.reads, V).withColumns(C.multiplier_columns(0.0551))
-    return df.select("listing_id", F.round("net_score", 4).alias("net_score"), "multiplier")
+    return df.select("listing_id", F.round("net_score", 6).alias("net_score"), "multiplier")
 
 
 @query("f13_band_widening", "findings reads", ROLL_SQL + """
