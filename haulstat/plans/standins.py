@@ -71,7 +71,7 @@ SELECT CAST(CAST(floor(l_orderkey / 8) AS BIGINT) AS STRING) AS listing_id, l_or
  confidence, x1, y1, least(x1 + w, 1000.0) AS x2, least(y1 + h, 800.0) AS y2,
  (least(x1 + w, 1000.0) - x1) * (least(y1 + h, 800.0) - y1) / 800000 AS area_frac
 FROM (SELECT l_orderkey,
-  l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS box_id,
+  CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS box_id,
   CASE l_returnflag WHEN 'A' THEN 'truck' WHEN 'R' THEN 'car' ELSE CASE l_linestatus WHEN 'O' THEN 'bus' ELSE 'motorcycle' END END AS label,
   l_quantity / 50 AS confidence,
   CAST((l_partkey % 5) * 60 AS DOUBLE) AS x1, CAST((l_suppkey % 4) * 50 AS DOUBLE) AS y1,
@@ -133,3 +133,44 @@ SELECT CAST(c.conv_id AS STRING) AS unit, v.variant, v.sample, CAST(c.turn AS IN
 FROM {conversations} c CROSS JOIN (SELECT 'original' AS variant, 0 AS sample UNION ALL SELECT 'original', 1 UNION ALL SELECT 'original', 2
  UNION ALL SELECT 'degraded', 0 UNION ALL SELECT 'degraded', 1 UNION ALL SELECT 'degraded', 2) v
 """
+
+# What each source says about an order's make: at most one opinion per source.
+STANDINS["witnesses"] = """
+SELECT CAST(l_orderkey AS STRING) AS listing_id,
+ CASE l_linenumber % 4 WHEN 0 THEN 'wmi' WHEN 1 THEN 'badge' WHEN 2 THEN 'identity_pass' ELSE 'head' END AS source,
+ max('BRAND#' || CAST(l_partkey % 3 AS STRING)) AS brand, max(CAST(40 + (l_partkey * 7 + l_suppkey) % 61 AS DOUBLE) / 100) AS conf
+FROM {lineitem} GROUP BY 1, 2
+"""
+
+# Repeated identity reads of one unit: a make or an abstention, and whether the set shows one vehicle.
+STANDINS["identity_reads"] = """
+SELECT CAST(user_id AS STRING) || ':' || CAST(CAST(ts AS DATE) AS STRING) AS unit, CAST(event_id AS BIGINT) AS sample,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Ford Trucks' WHEN 2 THEN ' ford ' WHEN 3 THEN 'MAN' ELSE 'Mercedes' END AS make,
+ event_id % 3 <> 0 AS same_vehicle, CASE event_id % 4 WHEN 0 THEN '' ELSE 'badge' || CAST(event_id % 4 AS STRING) END AS badge
+FROM {events}
+"""
+
+# Text found on dashboards: digits with a unit, bare digits, lone units.
+STANDINS["tokens"] = """
+SELECT l_orderkey AS photo_id, CAST(floor(l_orderkey / 8) AS BIGINT) AS listing_id, l_linenumber AS kind,
+ CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS pos,
+ CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(l_quantity * 9000 AS INT) AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN 'mi' ELSE 'km' END
+  WHEN 1 THEN CAST(CAST(l_quantity * 9000 AS INT) AS STRING) WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'km' ELSE 'km/h' END ELSE 'rpm' END AS text,
+ CAST(50 + (l_partkey + l_suppkey) % 50 AS DOUBLE) / 100 AS conf,
+ CAST((l_partkey % 4) * 30 + CASE l_linenumber % 4 WHEN 2 THEN 70 ELSE 0 END AS DOUBLE) AS x1, CAST((l_suppkey % 3) * 8 AS DOUBLE) AS y1,
+ CAST((l_partkey % 4) * 30 + CASE l_linenumber % 4 WHEN 2 THEN 70 ELSE 0 END + 40 AS DOUBLE) AS x2, CAST((l_suppkey % 3) * 8 + 12 AS DOUBLE) AS y2
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
+"""
+
+# Records by plate, several per plate for some, with events.
+STANDINS["registry"] = """
+SELECT CAST(c_custkey % 1000 AS STRING) AS plate, CASE WHEN c_nationkey % 5 = 0 THEN 'DE' ELSE 'TR' END AS country, c_custkey AS record_id,
+ CASE WHEN c_custkey % 11 = 0 THEN 'BAD' ELSE upper(substr(md5(CAST(c_custkey AS STRING)), 1, 17)) END AS vin,
+ CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'registry' END AS source, CAST(c_custkey % 45 - 5 AS INT) AS age_days, c_custkey % 7 <> 0 AS commercial
+FROM {customer}
+"""
+STANDINS["registry_events"] = """
+SELECT o_custkey AS record_id, o_orderkey AS event_id, CASE o_orderkey % 9 WHEN 0 THEN 'flood' WHEN 1 THEN 'inspection' ELSE 'accident' END AS type,
+ CASE o_orderkey % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'moderate' WHEN 2 THEN 'major' ELSE 'unknown' END AS severity, o_orderkey % 10 <> 0 AS repaired
+FROM {orders} WHERE o_orderstatus = 'F'
+"""
