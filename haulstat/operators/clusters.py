@@ -65,11 +65,9 @@ def components(nodes: DataFrame, edges: DataFrame, group: list[str]) -> DataFram
         near = both.join(other, group + ["other"]).groupBy(*group, "id").agg(F.min("_c").alias("_near"))
         hooked = label.join(near, group + ["id"], "left").withColumn("_new", F.least("component", F.coalesce("_near", "component")))
         # A label adopts the smallest label any of its members found.
-        per_label = hooked.groupBy(*group, F.col("component").alias("_old")).agg(F.min("_new").alias("_best"))
-        moved = hooked.join(per_label, (F.struct(*[hooked[g] for g in group], hooked["component"])
-                                        == F.struct(*[per_label[g] for g in group], per_label["_old"])), "left")
-        nxt = cut_lineage(moved.select(*[hooked[g] for g in group], "id", hooked["component"].alias("_was"),
-                                       F.least(F.col("_new"), F.col("_best")).alias("component")))
+        per_label = hooked.groupBy(*group, "component").agg(F.min("_new").alias("_best"))
+        nxt = cut_lineage(hooked.join(per_label, group + ["component"]).select(
+            *group, "id", F.col("component").alias("_was"), F.least("_new", "_best").alias("component")))
         if nxt.where("component <> _was").isEmpty():
             return nxt.drop("_was")
         label = nxt.drop("_was")
