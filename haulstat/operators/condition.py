@@ -6,17 +6,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import condition as C
+from ..session import small_table
 
 
 def families_frame(spark) -> DataFrame:
     """The fixed family table: 14 rows with their weight."""
-    return spark.createDataFrame([(f, w) for f, (w, _) in C.FAMILIES.items()], "family string, weight double")
+    return small_table(spark, [(f, w) for f, (w, _) in C.FAMILIES.items()], ["family", "weight"])
 
 
 def view_levels(spark) -> DataFrame:
     """Fixed (view, family, level): 1.0 where the view shows the family well, 0.5 where it glimpses it."""
     rows = [(v, f, level) for f, (main, side) in C.FAMILY_VIEWS.items() for vs, level in ((main, 1.0), (side, 0.5)) for v in vs]
-    return spark.createDataFrame(rows, "view string, family string, level double")
+    return small_table(spark, rows, ["view", "family", "level"])
 
 
 def family_coverage(reads: DataFrame, unit: list[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def family_coverage(reads: DataFrame, unit: list[str]) -> DataFrame:
 def component_frames(reads: DataFrame, unit: list[str]) -> DataFrame:
     """How many read frames should show each component (the denominator of a sighting)."""
     rows = [(f, c) for f, (_, members) in C.FAMILIES.items() for c in members]
-    members = reads.sparkSession.createDataFrame(rows, "family string, component string")
+    members = small_table(reads.sparkSession, rows, ["family", "component"])
     counted = reads.where("error = ''").groupBy(*unit, "view").agg(F.count("*").alias("_n"))
     return (counted.join(view_levels(reads.sparkSession).where("level = 1.0"), "view").join(members, "family")
             .groupBy(*unit, "component").agg(F.sum("_n").alias("frames")))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..session import small_table, spread_out
 from .ranking import with_row
 
 # Fixed value: cumulative Poisson(1) probabilities, far enough for 32-bit draws.
@@ -36,7 +37,7 @@ def bootstrap(units: DataFrame, by: list[str], unit: str, parts: list[str], comb
     combine before the shuffle. Needs two units and twenty usable draws.
     """
     sized = units.groupBy(*by).agg(F.count("*").alias("units"))
-    spread = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    spread = spread_out(units).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     weighted = spread.withColumn("_w", poisson_one(uniform(seed, "draw", unit)))
     per_draw = weighted.groupBy(*by, "draw").agg(*[F.sum(F.col(p) * F.col("_w")).alias(p) for p in parts])
     values = per_draw.select(*by, combine({p: F.col(p) for p in parts}).alias("_v")).where("_v is not null")
@@ -94,7 +95,7 @@ def histogram_sweep(df: DataFrame, by: list[str], score: str, flag: str, cuts: l
     from pyspark.sql import Window as W
     slot = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(score)))
     hist = df.groupBy(*by, slot.alias("_slot")).agg(F.count_if(F.col(flag)).alias("_yes"), F.count_if(~F.col(flag)).alias("_no"))
-    grid = df.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(cuts)], "_i int, cut double")
+    grid = small_table(df.sparkSession, [(i, float(c)) for i, c in enumerate(cuts)], ["_i", "cut"])
     per = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     run = per.orderBy("_slot")
     upto = hist.select(*by, "_slot", F.sum("_yes").over(run).alias("_y"), F.sum("_no").over(run).alias("_n"),

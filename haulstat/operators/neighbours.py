@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_out
 
 STEP = 1e-9  # distances are compared on this grid, so equal distances tie on every engine
 
@@ -42,14 +42,14 @@ def nearest_in_plane(queries: DataFrame, corpus: DataFrame, block: list[str], k:
 
     side = placed(points).select(*block, "_ids", F.col("x").alias("_nx"), F.col("y").alias("_ny"),
                                  F.col("_cx").alias("_tx"), F.col("_cy").alias("_ty"))
-    spots = placed(queries.select(*block, "x", "y").distinct())
+    spots = cut_lineage(placed(queries.select(*block, "x", "y").distinct()))
     waiting = spots.select(*block, F.col("x").alias("_qx"), F.col("y").alias("_qy"),
                            "_cx", "_cy", "_x0", "_y0", "_w", "_h", "_g")
     spot = block + ["_qx", "_qy"]
     found, ring = None, 1
     while True:
         near = F.sequence(F.lit(-ring), F.lit(ring))
-        asked = (waiting
+        asked = (spread_out(waiting)
                  .withColumn("_tx", F.explode(F.transform(near, lambda d: F.col("_cx") + d)))
                  .where((F.col("_tx") >= 0) & (F.col("_tx") < F.col("_g")))
                  .withColumn("_ty", F.explode(F.transform(near, lambda d: F.col("_cy") + d)))

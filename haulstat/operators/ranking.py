@@ -46,35 +46,36 @@ def grouped_positions(df: DataFrame, by: list[str], order: list[Column],
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                      names: list[str], buckets: int = 128, direct_limit: int = 200_000) -> DataFrame:
+                      names: list[str], buckets: int = 128, direct_limit: int = 500_000) -> DataFrame:
     """Exact interpolated percentiles, one row per ``by`` group (columns ``names`` and ``n``).
 
-    Equal values are counted first and the counts are written once. Up to
-    ``direct_limit`` distinct values the built-in weighted percentile reads
-    them. Beyond it approximate quantiles split the distinct values into
-    buckets, bucket counts say which buckets hold the wanted ranks, and only
-    those buckets are sorted. Both ways are exact.
+    Equal values are counted first and the counts are written once. While no
+    group has more than ``direct_limit`` distinct values the built-in weighted
+    percentile reads them. Beyond it approximate quantiles split the distinct
+    values into buckets, bucket counts say which buckets hold the wanted
+    ranks, and only those buckets are sorted. Both ways are exact.
     """
     keys = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     counted = (src.where(F.col(value).isNotNull())
                .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")))
     counted = cut_lineage(counted)
-    if counted.limit(direct_limit + 1).count() <= direct_limit:
+    widest = counted.groupBy(*keys).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0]
+    if (widest or 0) <= direct_limit:
         spots = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
         out = counted.groupBy(*keys).agg(F.sum("_c").alias("n"), spots.alias("_p")).select(
             *keys, "n", *[F.element_at("_p", i + 1).alias(name) for i, name in enumerate(names)])
         return out if by else out.drop("_all")
     cut_points = [i / buckets for i in range(1, buckets)]
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", cut_points, 10 * buckets).alias("_cuts"))
-    if by:
-        tagged = counted.join(cuts, keys)
-    else:
-        tagged = with_row(counted, cuts, "_cuts")
-    tagged = (tagged
-              .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-              .drop("_cuts"))
+    step = max(2, int(buckets ** 0.5))
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", cut_points, 10 * buckets).alias("_cuts"))
+    cuts = cuts.withColumn("_rough", F.filter("_cuts", lambda c, i: i % step == step - 1))
+    tagged = counted.join(cuts, keys) if by else with_row(counted, cuts, "_cuts", "_rough")
+    # Two short searches (every ``step``-th cut, then the cuts between) instead of one long one.
+    start = F.size(F.filter("_rough", lambda c: c < F.col("_v"))) * step
+    tagged = (tagged.withColumn("_start", start)
+              .withColumn("_b", F.col("_start") + F.size(F.filter(F.slice("_cuts", F.col("_start") + 1, F.lit(step)), lambda c: c < F.col("_v"))))
+              .drop("_cuts", "_rough", "_start"))
     held = tagged.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bn"))
     per_group = W.partitionBy(*keys)
     held = (held.withColumn("_start", F.sum("_bn").over(per_group.orderBy("_b")) - F.col("_bn"))

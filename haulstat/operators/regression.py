@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 CELL_LIMIT = 500_000  # cells come to the driver; their number is checked first
 
 
@@ -165,7 +167,7 @@ def line_table(spark: SparkSession, fits: list[tuple[dict, Fit]], design: Design
             const = base + sum(slope.get(f"{c}_{v}", 0.0) for c, v in zip(categories, combo))
             rows.append((*tags.values(), *combo, float(const), *dense))
     names = [*fits[0][0], *categories, "_const", *[f"_b_{c}" for c in design.dense]]
-    return spark.createDataFrame(rows, names)
+    return small_table(spark, rows, names)
 
 
 def predicted(design: Design) -> Column:

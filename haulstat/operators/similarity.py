@@ -1,9 +1,7 @@
 """Pairs of texts that overlap enough, found through shared rare words, never by pairing a group."""
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,49 +41,41 @@ def overlapping(left: DataFrame, right: DataFrame, gate: list[str], left_id: str
     unordered pair is returned once, ``left`` being the earlier ``first``.
     """
     share = needed_share(threshold)
-    a = left.select(*gate, F.col(left_id).alias("_a"), F.col("words").alias("_wa"), *([F.col("first").alias("_fa")] if same_table else []))
-    b = right.select(*gate, F.col(right_id).alias("_b"), F.col("words").alias("_wb"), *([F.col("first").alias("_fb")] if same_table else []))
-    bags = left.select(*gate, "words") if same_table else left.select(*gate, "words").unionByName(right.select(*gate, "words"))
-    rarity = bags.select(*gate, F.explode("words").alias("_w")).groupBy(*gate, "_w").agg(F.count("*").alias("_f"))
-
-    def prefixes(df, node, words, keep):
-        spread = df.select(*gate, node, F.size(words).alias("_n"), F.explode(words).alias("_w"))
-        ordered = spread.join(rarity, gate + ["_w"]).groupBy(*gate, node).agg(
-            F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_s"))
-        length = F.col("_n") - F.ceil(F.lit(share) * F.col("_n") - 1e-9) + 1
-        short = F.transform(F.slice("_s", 1, length.cast("int")), lambda s: s["_w"])
-        return ordered.select(*gate, node, short.alias("_p")).join(df, gate + [node]).select(*gate, *keep, "_p", F.explode("_p").alias("_w"))
-
-    cols_a, cols_b = ["_a", "_wa"] + (["_fa"] if same_table else []), ["_b", "_wb"] + (["_fb"] if same_table else [])
-    all_b = b.select(*gate, *cols_b, F.explode("_wb").alias("_w"))
-    one = prefixes(a, "_a", "_wa", cols_a).join(all_b, gate + ["_w"])
-    size_a, size_b = F.size("_wa"), F.size("_wb")
-    shorter = (size_a < size_b) | ((size_a == size_b) & (F.col("_a") < F.col("_b"))) if same_table else size_a <= size_b
-    one = one.where(shorter)
-    found = [once(one, "_wb")]
+    extra = ["first"] if same_table else []
+    a = left.select(*gate, F.col(left_id).alias("_a"), F.col("words").alias("_wa"), *[F.col(c).alias("_fa") for c in extra])
+    b = right.select(*gate, F.col(right_id).alias("_b"), F.col("words").alias("_wb"), *[F.col(c).alias("_fb") for c in extra])
+
+    def bag(df, node, words, count):
+        return df.select(*gate, node, F.size(words).alias(count), F.explode(words).alias("_w"))
+
+    bag_a, bag_b = bag(a, "_a", "_wa", "_na"), bag(b, "_b", "_wb", "_nb")
+    seen = bag_a.select(*gate, "_w") if same_table else bag_a.select(*gate, "_w").unionByName(bag_b.select(*gate, "_w"))
+    rarity = seen.groupBy(*gate, "_w").agg(F.count("*").alias("_f"))
+
+    def prefix(rows, node, count):
+        """The rarest words of each text, one row per word; a text's own words are the largest thing held."""
+        ordered = rows.join(rarity, gate + ["_w"]).groupBy(*gate, node).agg(
+            F.max(count).alias(count), F.array_sort(F.collect_list(F.struct("_f", "_w"))).alias("_s"))
+        length = (F.col(count) - F.ceil(F.lit(share) * F.col(count) - 1e-9) + 1).cast("int")
+        return ordered.select(*gate, node, count, F.explode(F.transform(F.slice("_s", 1, length), lambda s: s["_w"])).alias("_w"))
+
+    tie = F.col("_a") < F.col("_b") if same_table else F.lit(True)
+    shorter = (F.col("_na") < F.col("_nb")) | ((F.col("_na") == F.col("_nb")) & tie)
+    found = prefix(bag_a, "_a", "_na").join(bag_b, gate + ["_w"]).where(shorter).select(*gate, "_a", "_b")
     if not same_table:
-        all_a = a.select(*gate, *cols_a, F.explode("_wa").alias("_w"))
-        other = prefixes(b, "_b", "_wb", cols_b).join(all_a, gate + ["_w"]).where(size_b < size_a)
-        found.append(once(other, "_wa"))
-        # Equal wording without any content word still counts as equal.
-        empty_a, empty_b = a.where(size_a == 0), b.where(size_b == 0)
-        found.append(empty_a.join(empty_b, gate).where("_a = _b") if left_id == right_id == "text_key" else None)
-    pairs = reduce(lambda x, y: x.unionByName(y.select(*x.columns)), [p.select(*gate, *cols_a, *cols_b) for p in found if p is not None])
-    shared = F.size(F.array_intersect("_wa", "_wb"))
-    score = F.when((size_a == 0) & (size_b == 0), 1.0).otherwise(T.overlap(shared, size_a, size_b))
+        other = prefix(bag_b, "_b", "_nb").join(bag_a, gate + ["_w"]).where("_nb < _na").select(*gate, "_a", "_b")
+        found = found.unionByName(other)
+        if left_id == right_id == "text_key":
+            # Equal wording without any content word still counts as equal.
+            bare_a, bare_b = a.where(F.size("_wa") == 0), b.where(F.size("_wb") == 0)
+            found = found.unionByName(bare_a.select(*gate, "_a").join(bare_b.select(*gate, "_b", F.col("_b").alias("_a")), gate + ["_a"]).select(*gate, "_a", "_b"))
+    # Only ids cross the word join; the word lists meet the distinct candidates once.
+    pairs = found.distinct().join(a, gate + ["_a"]).join(b, gate + ["_b"])
+    size_a, size_b = F.size("_wa"), F.size("_wb")
+    score = F.when((size_a == 0) & (size_b == 0), 1.0).otherwise(T.overlap(F.size(F.array_intersect("_wa", "_wb")), size_a, size_b))
     pairs = pairs.withColumn("score", score).where(F.col("score") >= threshold)
     if same_table:
         swap = F.col("_fb") < F.col("_fa")
         return pairs.select(*gate, F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias(left_id),
                             F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias(f"{right_id}_later"), "score")
     return pairs.select(*gate, F.col("_a").alias(left_id), F.col("_b").alias(f"{right_id}_other"), "score")
-
-
-def once(pairs: DataFrame, words: str) -> DataFrame:
-    """Keep a candidate only at the first prefix word both sides share."""
-    first = F.element_at(F.filter("_p", lambda w: F.array_contains(F.col(words), w)), 1)
-    return pairs.where(first == F.col("_w"))
-
-
-def pair_score(words_a: Column, words_b: Column) -> Column:
-    return T.overlap(F.size(F.array_intersect(words_a, words_b)), F.size(words_a), F.size(words_b))

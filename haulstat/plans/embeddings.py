@@ -12,7 +12,7 @@ from ..operators import clusters as C
 from ..operators import ranking as R
 from ..operators import regression as G
 from ..operators import vectors as V
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_out
 from .pricing import SHIFTS, by_key, frame
 from .registry import query
 
@@ -290,7 +290,7 @@ def usage_dummy_probe(t, replicas: int = 20):
     without, with_it = G.r_squared(folds, design, keep=xs[:2])["r2"], G.r_squared(folds, design)["r2"]
     sign = float(G.fit(design.moments(rows), design.columns).coef[2])
     share = sum(r["s_usage"] for r in rows) / sum(r["n"] for r in rows)
-    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("usage", (uniform("usage", "draw", "listing_id") <= share).cast("double"))
+    drawn = spread_out(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("usage", (uniform("usage", "draw", "listing_id") <= share).cast("double"))
     cells = G.to_driver(G.moment_cells(drawn, ["draw", "fold"], xs, "y", SHIFTS))
     null = [G.r_squared(by_key(part, "fold"), design)["r2"] for part in by_key(cells, "draw").values()]
     p = float(np.mean([v >= with_it for v in null]))

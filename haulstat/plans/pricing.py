@@ -12,7 +12,7 @@ from ..operators import neighbours as N
 from ..operators import prices as P
 from ..operators import ranking as R
 from ..operators import regression as G
-from ..session import cut_lineage
+from ..session import cut_lineage, small_table, spread_out
 from .registry import query
 
 DENSE = ["log1p_age", "log_km", "euro6", "np_value", "np_missing"]
@@ -268,9 +268,8 @@ def calibration(t, df, rows, design, brands, splits=CALIBRATION_SPLITS, levels=(
     cats = {"market": ["TR", "EU", "US"], "brand_used": brands}
     filled = df.withColumn("np_value", F.when(F.col("np_missing") == 1, F.lit(float(fill))).otherwise(F.col("np_value")))
     filled = filled.withColumn("brand_used", F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other"))
-    base = cut_lineage(filled.select("cell", "market", "brand_used", *DENSE, "y").withColumn("inner", F.col("cell") % 5))
-    side = t.spark.createDataFrame([(s, int(c), c in test) for s, test in enumerate(sides) for c in range(SPLIT_CELLS)],
-                                   "split bigint, cell int, held boolean")
+    base = spread_out(cut_lineage(filled.select("cell", "market", "brand_used", *DENSE, "y").withColumn("inner", F.col("cell") % 5)))
+    side = small_table(t.spark, [(s, int(c), c in test) for s, test in enumerate(sides) for c in range(SPLIT_CELLS)], ["split", "cell", "held"])
     paired = base.join(side, "cell")
     on = ["split", "market", "brand_used"]
     inside = G.score(paired.where("not held"), G.line_table(t.spark, inner, design, cats), on + ["inner"], design)
@@ -327,8 +326,8 @@ def brand_holdouts(t, level, markets=("TR", "EU", "US")):
             for f, part in by_key(train, "fold").items():
                 inner.append(({**tag, "fold": int(f)}, G.fit(prepare(whole - sum(r["moments"] for r in part)), design.columns)))
     cats = {"brand_used": brands}
-    base = df.withColumn("brand_used", F.col("brand")).select("market", "brand_used", "fold", *DENSE, "log_new_price", "y", F.col("listing_id").alias("_row"))
-    plan = t.spark.createDataFrame(fills, "market string, held string, fill double")
+    base = spread_out(df).withColumn("brand_used", F.col("brand")).select("market", "brand_used", "fold", *DENSE, "log_new_price", "y", F.col("listing_id").alias("_row"))
+    plan = small_table(t.spark, fills, ["market", "held", "fill"])
     crossed = base.join(plan, "market").withColumn("np_value", F.when(F.col("np_missing") == 1, F.col("fill")).otherwise(F.col("np_value")))
     train = G.score(crossed.where("brand_used <> held"), G.line_table(t.spark, inner, design, cats).withColumn("fold", F.col("fold").cast("int")),
                     ["market", "held", "fold", "brand_used"], design).withColumn("resid", F.col("y") - F.col("predicted"))
@@ -416,7 +415,7 @@ def new_price_permutations(t):
     picked = F.lit(float(values[models[-1]]))
     for edge, m in reversed(list(zip(cut[:-1], models[:-1]))):
         picked = F.when(u <= float(edge), float(values[m])).otherwise(picked)
-    replicas = (df.select("fold", "y", *xs, "listing_id").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    replicas = (spread_out(cut_lineage(df.select("fold", "y", *xs, "listing_id"))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
                 .withColumn("u", uniform("np-null", "draw", "listing_id")).withColumn("np", picked))
     cells = G.to_driver(G.moment_cells(replicas, ["draw", "fold"], [*xs, "np"], "y", SHIFTS))
     null = [G.r_squared(by_key(part, "fold"), design)["r2"] for part in by_key(cells, "draw").values()]

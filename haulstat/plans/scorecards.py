@@ -9,7 +9,7 @@ from ..operators import facets as FA
 from ..operators import intervals as I
 from ..operators import ranking as R
 from ..operators import regression as G
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_out
 from .registry import query
 
 WILSON_SQL = """CASE WHEN n > 0 THEN greatest(0, (h / n + 3.8416 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) END AS ci_lo,
@@ -230,7 +230,7 @@ def stratified_null(t, draws: int = 20):
     names = ["demerit_r", "km_r", "age_r", "quality_r"]
     df = cut_lineage(rank_frame(t))
     observed = partial(correlations(rank_sums(df, [], names)[0], names), 0, 1, [2, 3])
-    spread = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", draw_key("null", "draw", "listing_id"))
+    spread = spread_out(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", draw_key("null", "draw", "listing_id"))
     by = ["draw", "market", "make"]
     placed = R.grouped_positions(spread, by, [F.col("_k"), F.col("listing_id")], "at", "size")
     source = R.grouped_positions(df.select("market", "make", "listing_id", F.col("km_r").alias("km_new")), ["market", "make"], [F.col("listing_id")], "at", "size")

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,24 +22,55 @@ def build_session(app: str = "haulstat", master: str | None = None,
                .config("spark.ui.enabled", "false"))
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors share: ``spark.checkpoint.dir``, or a temporary one in a local session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if "local" not in _LOCAL_FOLDER:
+            _LOCAL_FOLDER["local"] = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        folder = _LOCAL_FOLDER["local"]
+    return folder
+
+
+_LOCAL_FOLDER: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` once as a table in the shared folder and continue from the table.
+
+    The rows are computed once, survive the loss of executors, and later plans
+    know the table's size and read only the columns they use.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Driver-made rows (coefficients, fixed tables) as a local relation.
+
+    Its size is known when the plan is made, so joins with it are broadcast by
+    Spark's own size check instead of shuffling the big side.
+    """
+    import pyarrow as pa
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: pa.array(list(c)) for n, c in zip(names, columns)}))
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Before a row is multiplied (replicas, folds, cells), use every core.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only a local
-    session may fall back to a temporary folder.
+    Small inputs arrive in one or two partitions; large ones already have more
+    partitions than cores and stay as they are.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

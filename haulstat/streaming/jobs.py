@@ -1,8 +1,6 @@
 """Structured Streaming jobs over run events, photo reads and new listings."""
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pandas as pd
@@ -11,16 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import prices as P
+from ..session import shared_folder
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder on the shared checkpoint path; a local session may use a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+    """A fresh folder for the state and the sink of one job."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
