@@ -36,7 +36,7 @@ def mutual_best(candidates: DataFrame, left: list[str], right: list[str], order:
     Pairs that are each other's best are exactly those the greedy pass would
     take before touching either side, so all of them are taken per round.
     """
-    rank = F.struct(*order, *left, *right)
+    rank = F.struct(*dict.fromkeys([*order, *left, *right]))
     open_pairs = cut_lineage(candidates.withColumn("_rank", rank))
     matched = None
     while not open_pairs.isEmpty():

@@ -20,7 +20,7 @@ SHIFTS = {"log1p_age": 2.0, "log_km": 12.0, "y": 10.0}
 SPLIT_CELLS, CALIBRATION_SPLITS, TEST_SHARE = 200, 40, 25
 
 NEW_PRICE_SQL = """
-np AS (SELECT p_brand AS brand, p_type AS model, CASE WHEN p_type = 'PROMO' THEN NULL ELSE round(avg(p_retailprice), 2) * 60 END AS list_price,
+np AS (SELECT p_brand AS brand, p_type AS model, CASE WHEN p_type = 'PROMO' THEN NULL ELSE max(p_retailprice) * 60 END AS list_price,
   CASE WHEN p_type = 'LARGE' THEN 'trade_press' ELSE 'oem_official' END AS source_type, p_type = 'STANDARD' AND p_brand <> 'Brand#9' AS is_default FROM part GROUP BY p_brand, p_type),
 npe AS (SELECT l.*, coalesce(e.list_price, CASE WHEN l.market = 'TR' THEN d.list_price END) AS new_price,
   CASE WHEN e.list_price IS NOT NULL THEN e.source_type WHEN d.list_price IS NOT NULL AND l.market = 'TR' THEN d.source_type END AS new_price_source,
@@ -37,7 +37,7 @@ frame AS (SELECT *, upper(make) AS brand, ln(1 + greatest(2026 - year, 0)) AS lo
 
 
 def new_prices(t):
-    mean = F.bround(F.avg("p_retailprice"), 2) * 60
+    mean = F.max("p_retailprice") * 60
     return t.part.groupBy(F.upper("p_brand").alias("brand"), F.col("p_type").alias("model")).agg(mean.alias("m")).select(
         "brand", "model", F.when(F.col("model") != "PROMO", F.col("m")).alias("list_price"),
         F.when(F.col("model") == "LARGE", "trade_press").otherwise("oem_official").alias("source_type"),

@@ -71,7 +71,7 @@ SELECT CAST(CAST(floor(l_orderkey / 8) AS BIGINT) AS STRING) AS listing_id, l_or
  confidence, x1, y1, least(x1 + w, 1000.0) AS x2, least(y1 + h, 800.0) AS y2,
  (least(x1 + w, 1000.0) - x1) * (least(y1 + h, 800.0) - y1) / 800000 AS area_frac
 FROM (SELECT l_orderkey,
-  CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS box_id,
+  CAST(l_linenumber AS BIGINT) * 10000000000000 + l_partkey * 100000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT) * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS box_id,
   CASE l_returnflag WHEN 'A' THEN 'truck' WHEN 'R' THEN 'car' ELSE CASE l_linestatus WHEN 'O' THEN 'bus' ELSE 'motorcycle' END END AS label,
   l_quantity / 50 AS confidence,
   CAST((l_partkey % 5) * 60 AS DOUBLE) AS x1, CAST((l_suppkey % 4) * 50 AS DOUBLE) AS y1,
@@ -153,13 +153,13 @@ FROM {events}
 # Text found on dashboards: digits with a unit, bare digits, lone units.
 STANDINS["tokens"] = """
 SELECT l_orderkey AS photo_id, CAST(floor(l_orderkey / 8) AS BIGINT) AS listing_id, l_linenumber AS kind,
- CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS pos,
+ CAST(l_linenumber AS BIGINT) * 10000000000000 + l_partkey * 100000000 + l_suppkey * 1000 + CAST(l_quantity AS BIGINT) * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 2 ELSE 4 END + CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS pos,
  CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(l_quantity * 9000 AS INT) AS STRING) || CASE WHEN l_partkey % 3 = 0 THEN 'mi' ELSE 'km' END
   WHEN 1 THEN CAST(CAST(l_quantity * 9000 AS INT) AS STRING) WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'km' ELSE 'km/h' END ELSE 'rpm' END AS text,
  CAST(50 + (l_partkey + l_suppkey) % 50 AS DOUBLE) / 100 AS conf,
  CAST((l_partkey % 4) * 30 + CASE l_linenumber % 4 WHEN 2 THEN 70 ELSE 0 END AS DOUBLE) AS x1, CAST((l_suppkey % 3) * 8 AS DOUBLE) AS y1,
  CAST((l_partkey % 4) * 30 + CASE l_linenumber % 4 WHEN 2 THEN 70 ELSE 0 END + 40 AS DOUBLE) AS x2, CAST((l_suppkey % 3) * 8 + 12 AS DOUBLE) AS y2
-FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus
 """
 
 # Records by plate, several per plate for some, with events.
