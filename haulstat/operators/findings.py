@@ -35,14 +35,21 @@ def cluster_sightings(df: DataFrame, unit: list[str], gate: list[str], text: str
     node = keys + ["node"]
     state = K.leaders(nodes, pairs, node, {**{k: k for k in keys}, "node": "node_later"})
     starters = state.where("is_leader").join(nodes.select(*node, "first"), node).select(*node, F.col("first").alias("leader"))
-    offers = pairs.join(starters, node)
-    pick = F.struct("score", "leader") if assign == "best" else F.struct(F.col("leader"))
-    chosen = F.max_by("leader", pick) if assign == "best" else F.min("leader")
-    joined = offers.groupBy(*keys, F.col("node_later").alias("node")).agg(chosen.alias("leader"))
-    members = state.where("not is_leader").join(joined, node).select(*node, "leader")
-    home = starters.unionByName(members)
-    tagged = S.with_text_key(df, text).withColumn("node", F.struct(*inner, "text_key"))
-    return tagged.join(home, node).drop("node", "words", "text_key")
+    tagged = S.with_text_key(df, text).withColumn("node", F.struct(*inner, "text_key")).drop("words", "text_key")
+    if assign == "first":
+        # The earliest similar starter is the same for every row of one wording.
+        joined = pairs.join(starters, node).groupBy(*keys, F.col("node_later").alias("node")).agg(F.min("leader").alias("leader"))
+        members = state.where("not is_leader").join(joined, node).select(*node, "leader")
+        return tagged.join(starters.unionByName(members), node).drop("node")
+    # The best one may have started after a wording first occurred, so each row picks among those before it.
+    back = pairs.select(*keys, F.col("node_later").alias("node"), F.col("node").alias("node_later"), "score")
+    offers = pairs.select(*node, "node_later", "score").unionByName(back).join(starters, node)
+    ranked = offers.groupBy(*keys, F.col("node_later").alias("node")).agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("score", "leader")))).alias("_offers"))
+    own = starters.select(*node, F.col("leader").alias("_own"))
+    rows = tagged.join(own, node, "left").join(ranked, node, "left")
+    before = F.filter("_offers", lambda o: o["leader"] < F.struct(*order))
+    return rows.withColumn("leader", F.coalesce("_own", F.try_element_at(before, F.lit(1))["leader"])).drop("node", "_own", "_offers")
 
 
 def level_counts(column: str, scale: list[str], where: Column | None = None) -> list[Column]:
