@@ -134,12 +134,12 @@ best AS (SELECT photo_id, arg_max(km, {'c': conf, 'p': -pos}) AS km0, max(conf)
 
 @query("d12_odometer_token_pairs", "tokens", ODO_SQL + " SELECT photo_id, pos, km, rule FROM cand")
 def odometer_pairs(t):
-    return I.odometer_candidates(t.tokens).select("photo_id", "pos", "km", "rule")
+    return I.odometer_candidates(cut_lineage(t.tokens)).select("photo_id", "pos", "km", "rule")
 
 
 @query("f16_odometer_best_read", "tokens", ODO_SQL + " SELECT photo_id, CASE WHEN conf >= 0.5 THEN km0 END AS km, conf, rule, n_candidates FROM best")
 def odometer_best(t):
-    return I.odometer_best(I.odometer_candidates(t.tokens))
+    return I.odometer_best(I.odometer_candidates(cut_lineage(t.tokens)))
 
 
 @query("f17_odometer_reconciliation", "tokens", ODO_SQL + """,
@@ -150,7 +150,7 @@ s AS (SELECT b.listing_id, said, ocr, sure, count_if(abs(r.km - said) <= greates
 q AS (SELECT *, CASE WHEN ocr IS NULL THEN 'silent' WHEN said IS NULL THEN 'odometer_recovered' WHEN abs(ocr - said) <= greatest(1000, 0.02 * said) OR sure < 0.8 OR fs > 0 THEN 'silent' WHEN fo >= 2 THEN 'odometer_overridden' ELSE 'odometer_conflict' END AS verdict FROM s)
 SELECT listing_id, verdict, CASE WHEN verdict IN ('odometer_recovered', 'odometer_overridden') THEN ocr ELSE said END AS km, CASE WHEN verdict = 'odometer_conflict' THEN 1.25 ELSE 1.0 END::DOUBLE AS widening FROM q""")
 def odometer_reconciliation(t):
-    reads = cut_lineage(I.odometer_best(I.odometer_candidates(t.tokens)).where("km is not null").select(
+    reads = cut_lineage(I.odometer_best(I.odometer_candidates(cut_lineage(t.tokens))).where("km is not null").select(
         F.floor(F.col("photo_id") / 8).cast("bigint").alias("listing_id"), "km", "conf"))
     vehicles = t.customer.select(F.col("c_custkey").alias("listing_id"), F.when(F.col("c_custkey") % 5 != 0, (F.col("c_custkey") * 37 % 50 * 9000).cast("double")).alias("stated_km"))
     return I.odometer_verdict(reads, vehicles, "listing_id")
