@@ -132,7 +132,7 @@ def ridge_two_columns(t):
 SELECT count(*) AS n, round(1 - sum(resid * resid) / (sum(z * z) - sum(z) * sum(z) / count(*)), 4) AS r2, round(avg(abs(exp(resid) - 1)) * 100, 1) AS mae_pct,
  round(quantile_cont(abs(exp(resid) - 1), 0.5) * 100, 1) AS median_ape, round(stddev_pop(resid), 4) AS residual_std FROM oof""")
 def out_of_fold(t):
-    df = frame(t)
+    df = cut_lineage(frame(t).select("fold", "y", "log1p_age", "log_km"))
     design, fits = two_column_fits(df, "y")
     return metrics(out_of_fold_residuals(t, df, design, fits), "y")
 
@@ -159,6 +159,7 @@ SELECT (SELECT round(c1, 4) FROM fit WHERE fold = -1) AS coef_age, (SELECT round
  round(1 - sum(resid * resid) / (sum(z * z) - sum(z) * sum(z) / count(*)), 4) AS r2, round(quantile_cont(abs(exp(-resid) - 1), 0.5) * 100, 1) AS median_ape, round(stddev_pop(resid), 4) AS residual_std FROM oof""")
 def retention_curve(t):
     df = frame(t).where("new_price is not null").withColumn("z", F.log(F.col("price") / F.col("new_price")))
+    df = cut_lineage(df.select("fold", "z", "log1p_age", "log_km"))
     design, fits = two_column_fits(df, "z")
     full = fits[0][1]
     scored = out_of_fold_residuals(t, df, design, fits, "z").withColumn("resid", -F.col("resid"))
