@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, quality, toxicity, urls
 from .common import table
 
 LLM_QUERIES: dict = {}
@@ -49,3 +49,21 @@ SELECT doc_id, size, s::BIGINT AS source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * s - before)))::BIGINT AS taken
 FROM timed
 """
+
+
+@registered
+def op1_url_filter(spark, folder):
+    """Rule and verdict for every page url."""
+    return urls.filter_urls(table(spark, folder, "pages"), urls.labelled_urls(spark), urls.RULES)
+
+
+@registered
+def op5_quality_rules(spark, folder):
+    """Counts, base rules and the trees' verdict for every document."""
+    return quality.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@registered
+def op6_toxicity(spark, folder):
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
