@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, toxicity, urls
+from . import language, mixing, quality, toxicity, urls
 from .common import table
 
 LLM_QUERIES: dict = {}
@@ -67,3 +67,9 @@ def op5_quality_rules(spark, folder):
 def op6_toxicity(spark, folder):
     """Toxicity score of every document."""
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@registered
+def op4_language_id(spark, folder):
+    """Predicted language of every document."""
+    return language.identify_language(table(spark, folder, "documents"))
