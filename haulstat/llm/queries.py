@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, toxicity, urls
+from . import language, mixing, quality, simhash, toxicity, urls
 from .common import table
 
 LLM_QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op6_toxicity(spark, folder):
 def op4_language_id(spark, folder):
     """Predicted language of every document."""
     return language.identify_language(table(spark, folder, "documents"))
+
+
+@registered
+def op2_simhash(spark, folder):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.simhash_components(table(spark, folder, "documents"))
