@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, language, mixing, quality, simhash, toxicity, urls
 from .common import table
 
 LLM_QUERIES: dict = {}
@@ -79,3 +79,9 @@ def op4_language_id(spark, folder):
 def op2_simhash(spark, folder):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_components(table(spark, folder, "documents"))
+
+
+@registered
+def op9_decontaminate(spark, folder):
+    """Documents that leak a benchmark item, also with new numbers, names or units."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
