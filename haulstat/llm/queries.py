@@ -1,11 +1,12 @@
 """The registered query of each operator, its DuckDB statement where SQL can say it, and the pipeline."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import os
 
-from . import decontaminate, language, mixing, quality, simhash, toxicity, urls
+from . import decontaminate, language, lattice, mixing, passages, quality, simhash, toxicity, urls
 from .common import table
 
+VOCABULARY = os.environ.get("LATTICE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
 
@@ -85,3 +86,15 @@ def op2_simhash(spark, folder):
 def op9_decontaminate(spark, folder):
     """Documents that leak a benchmark item, also with new numbers, names or units."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@registered
+def op3_substring_dedup(spark, folder):
+    """Every sentence or line that repeats, exactly or nearly, and which copy stays."""
+    return passages.repeated_units(table(spark, folder, "documents"))
+
+
+@registered
+def op7_lm_score(spark, folder):
+    """Count-model and lattice log-probabilities of every document."""
+    return lattice.score_documents(table(spark, folder, "documents"), VOCABULARY)
