@@ -72,3 +72,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
     return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def take_mix(docs: DataFrame, columns: list[str], **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with size, target and taken.
+
+    Joined by id, source and size; a null id meets null ids. Rows that repeat
+    an id, source and size share what the mix takes of them evenly enough for
+    the budget: their takes are added up and each row carries the mean.
+    """
+    taken = (mix_sources(docs, **options).groupBy("doc_id", "source", "size")
+             .agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.avg("taken").cast("long").alias("taken"))
+             .where("taken > 0"))
+    sized = docs.select(*columns).withColumn("size", word_count(F.col("text")))
+    both = sized.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source and d.size = t.size"))
+    return both.select(*[f"d.{c}" for c in columns], "d.size", "t.source_size", "t.target", "t.taken")

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import os
 
+import corpus_pipeline
+
 from . import decontaminate, language, lattice, mixing, passages, quality, simhash, toxicity, urls
 from .common import table
 
@@ -98,3 +100,9 @@ def op3_substring_dedup(spark, folder):
 def op7_lm_score(spark, folder):
     """Count-model and lattice log-probabilities of every document."""
     return lattice.score_documents(table(spark, folder, "documents"), VOCABULARY)
+
+
+@registered
+def pipeline(spark, folder):
+    """All stages of the pipeline over the documents."""
+    return corpus_pipeline.run(spark, folder)

@@ -143,3 +143,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     return map_rows(docs.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "text"), work,
                     "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose score is below 0.5, all columns as they are. The score is a column expression beside the row."""
+    model = train_toxicity(docs, labels, **options)
+
+    @F.pandas_udf("double")
+    def score(text):
+        import pandas as pd
+        return pd.Series([model.score(t) for t in text], dtype=float)
+
+    return docs.where(score(F.col("text")) < 0.5)
