@@ -5,7 +5,7 @@ import os
 
 import corpus_pipeline
 
-from . import decontaminate, language, lattice, mixing, passages, quality, simhash, toxicity, urls
+from . import decontaminate, language, lattice, mixing, passages, quality, simhash, suffixes, toxicity, urls
 from .common import table
 
 VOCABULARY = os.environ.get("LATTICE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -106,3 +106,9 @@ def op7_lm_score(spark, folder):
 def pipeline(spark, folder):
     """All stages of the pipeline over the documents."""
     return corpus_pipeline.run(spark, folder)
+
+
+@registered
+def op8_suffix_dedup(spark, folder):
+    """Bytes of every document that an earlier document has already."""
+    return suffixes.repeated_bytes(table(spark, folder, "documents")).drop("spans")
