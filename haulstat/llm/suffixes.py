@@ -27,6 +27,7 @@ BUCKET_BYTES = 16 << 20  # text behind one bucket of anchors
 BLOCK_ANCHORS = 1_500_000  # anchors a task holds before it hands them on
 BATCH_BYTES = 2 << 20  # text under one suffix array (a larger group of one anchor stays whole)
 HELD_BYTES = 24 << 20
+SLICE = 1 << 17  # string starts looked at together
 LAST = (1 << 63) - 1
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,21 +42,37 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:len(out) - (width - step)], out[width - step:]) if step < width else out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of a byte array; none below ``length`` bytes. ``gram`` is a power of two."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, factor, size = data.astype(np.uint64) + np.uint64(1), int(_M), 1
-    while size < gram:
-        h = h[:-size] * np.uint64(factor) + h[size:]
-        factor, size = factor * factor % (1 << 64), size * 2
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+def anchor_windows(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Yields (positions, hashes, first start, last start) of anchors, slice by slice of a byte array.
+
+    The starts are those of the ``length``-byte strings whose smallest hash,
+    the leftmost on ties, is the anchor: every string belongs to one anchor,
+    and equal strings to equal places in it. ``gram`` is a power of two.
+    """
     width = length - gram + 1
-    low = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.nonzero(_slide(np.concatenate([edge, low, edge]), width, np.maximum) == h)[0]
-    return at, h[at]
+    for begin in range(0, len(data) - length + 1, SLICE):
+        part = data[begin:begin + SLICE + length - 1]
+        h, factor, size = part.astype(np.uint64) + np.uint64(1), int(_M), 1
+        while size < gram:
+            h = h[:-size] * np.uint64(factor) + h[size:]
+            factor, size = factor * factor % (1 << 64), size * 2
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        low = _slide(h, width, np.minimum)
+        edge = np.zeros(width - 1, np.uint64)
+        at = np.nonzero(_slide(np.concatenate([edge, low, edge]), width, np.maximum) == h)[0]
+        own = h[at]
+        order = np.lexsort((at, own))
+        earlier = np.full(len(at), -1)
+        again = own[order[1:]] == own[order[:-1]]
+        earlier[order[1:][again]] = at[order[:-1][again]]
+        padded = np.concatenate([edge, low, edge])  # padded[s + width - 1] is low[s]; 0 is no hash of an anchor's window
+        starts = at[:, None] + np.arange(1 - width, 1)
+        mine = (padded[starts + width - 1] == own[:, None]) & (starts > earlier[:, None]) & (starts >= 0) & (starts < len(low))
+        count = mine.sum(axis=1)
+        first = at + 1 - width + mine.argmax(axis=1)
+        some = count > 0
+        yield begin + at[some], own[some], begin + first[some], begin + (first + count)[some] - 1
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -104,12 +121,11 @@ class _Anchors:
 
     def __call__(self, rows):
         for oid, text in rows:
-            at, h = anchors(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-            if len(at):
+            for at, h, _, _ in anchor_windows(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)):
                 self.parts.append((oid, at.astype(np.uint32), h))
                 self.held += len(at)
-            if self.held >= BLOCK_ANCHORS:
-                yield self.flush()
+                if self.held >= BLOCK_ANCHORS:
+                    yield self.flush()
 
     def flush(self):
         h = np.concatenate([p[2] for p in self.parts]) >> np.uint64(16)  # 48 bits: a chance meeting is sorted out later
@@ -175,25 +191,22 @@ class _Surroundings:
             if not places:
                 continue
             data = (text or "").encode("utf-8", "surrogatepass")
-            check, n = check_of(data), len(data)
-            for p in sorted(set(places)):
-                a, b = max(0, p - LENGTH + GRAM), min(n, p + LENGTH)
-                if b - a < LENGTH:
-                    continue
-                piece = data[a:b]
-                known = self.found.get(piece)
-                if known is None:
-                    key = xxhash.xxh64_intdigest(data[p:p + GRAM]) >> 1
-                    known = self.found[piece] = (key, [], [], [])
-                    self.held += 4 * LENGTH
-                known[1].append(oid), known[2].append(check), known[3].append(a)
-                self.held += 24
-            if self.held > HELD_BYTES:
-                yield self.flush()
+            check, wanted = check_of(data), np.unique(np.array(places, np.int64))
+            for at, _, first, last in anchor_windows(np.frombuffer(data, np.uint8)):
+                hit = np.isin(at, wanted, assume_unique=True)
+                for p, a, b in zip(at[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+                    piece = data[a:b + LENGTH]
+                    known = self.found.get(piece)
+                    if known is None:
+                        known = self.found[piece] = (xxhash.xxh64_intdigest(data[p:p + GRAM]) >> 1, [])
+                        self.held += 4 * LENGTH
+                    known[1].extend((oid, check << 32 | a))
+                    self.held += 16
+                if self.held > HELD_BYTES:
+                    yield self.flush()
 
     def flush(self):
-        out = [(key, piece, np.array(o, np.int64).tobytes(), np.array(c, np.int32).tobytes(), np.array(a, np.int32).tobytes())
-               for piece, (key, o, c, a) in self.found.items()]
+        out = [(key, piece, np.array(places, np.int64).tobytes()) for piece, (key, places) in self.found.items()]
         self.clear()
         return tuple(map(list, zip(*out)))
 
@@ -211,9 +224,12 @@ def _words(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int = LENGTH, wanted: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of ``text`` sorted by their first ``depth`` bytes at least, in two stages.
 
+    With ``wanted`` (a flag per position) only those suffixes and the ones they
+    are induced from, up to the next directly sorted one, are placed.
+
     A suffix smaller than its successor is sorted directly. Every other suffix
     starts with a larger or equal byte than its successor, so a scan over the
     byte buckets in order places it behind those already placed.
@@ -227,18 +243,25 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     following = np.append(text, 0)[end + 1]
     rises = np.where(end + 1 < n, following > text, False)  # smaller than its successor
     direct = np.nonzero(rises)[0]
+    keep = np.ones(n, bool)
+    if wanted is not None:
+        ask = np.nonzero(wanted)[0]
+        to = np.append(direct, n - 1)[np.searchsorted(direct, ask)]
+        keep = np.cumsum(np.bincount(ask, minlength=n + 1) - np.bincount(to + 1, minlength=n + 1)[:n + 1])[:n] > 0
+        direct = direct[keep[direct]]
     words = _words(text)
     keys = [words[direct + 8 * k] for k in reversed(range((depth + 7) // 8))]
     direct = direct[np.lexsort(keys)] if len(direct) else direct
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[text[n - 1]].append(np.array([n - 1]))
+    if keep[n - 1]:
+        waiting[text[n - 1]].append(np.array([n - 1]))
     out = []
 
     def hand_on(placed: np.ndarray) -> np.ndarray:
         """Induce the falling predecessors of ``placed``; those with the same byte come back at once."""
         before = placed[placed > 0] - 1
-        before = before[~rises[before]]
+        before = before[~rises[before] & keep[before]]
         byte = text[before]
         order = np.argsort(byte, kind="stable")
         before, byte = before[order], byte[order]
@@ -260,7 +283,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         if len(rising):
             out.append(rising)
             hand_on(rising)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -290,11 +313,12 @@ def earliest(pieces: list[bytes], oids: np.ndarray, depth: int = LENGTH) -> tupl
     begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     owner = np.repeat(np.arange(len(pieces)), lengths + 1)[:len(text)]
     usable = np.arange(len(text)) <= (begin + lengths - depth)[owner]
-    order = suffix_array(text, depth)
+    order = suffix_array(text, depth, usable)
+    order = order[usable[order]]
     first = np.nonzero(common_prefixes(text, order, depth) < depth)[0]
-    value = np.where(usable[order], oids[owner[order]], LAST)
+    value = oids[owner[order]]
     least = np.repeat(np.minimum.reduceat(value, first), np.diff(np.append(first, len(order))))
-    out = np.empty(len(text), np.int64)
+    out = np.full(len(text), LAST)
     out[order] = least
     return out, begin
 
@@ -309,29 +333,36 @@ class _Repeats:
         self.held, self.found, self.key = 0, {}, None
 
     def __call__(self, rows):
-        for key, piece, oids, checks, starts in rows:
+        for key, piece, places in rows:
             if key != self.key and self.held >= BATCH_BYTES:
                 yield from self.finish()
             self.key = key
             if piece not in self.found:
                 self.held += len(piece)
-            self.found.setdefault(bytes(piece), []).append((oids, checks, starts))
+            self.found.setdefault(piece, []).append(places)
 
     def finish(self):
         if self.found:
             pieces = list(self.found)
-            where = [[np.concatenate([np.frombuffer(part[i], kind) for part in parts]) for i, kind in enumerate((np.int64, np.int32, np.int32))]
-                     for parts in self.found.values()]
+            joined = [b"".join(parts) for parts in self.found.values()]
             self.clear()
-            least, begin = earliest(pieces, np.array([w[0].min() for w in where]))
+            sizes = np.array([len(j) // 16 for j in joined])
+            where = np.frombuffer(b"".join(joined), np.int64).reshape(-1, 2)
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            least, begin = earliest(pieces, np.minimum.reduceat(where[:, 0], begins))
+            starts = np.array([len(p) for p in pieces]) - LENGTH + 1
+            edges = np.stack([begin, begin + starts], axis=1).ravel()
+            padded = np.append(least, LAST)
+            lows = np.minimum.reduceat(padded, edges)[::2]
+            highs = np.maximum.reduceat(padded, edges)[::2]
+            latest = np.maximum.reduceat(where[:, 0], begins)
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for piece, b, (oid, check, start) in zip(pieces, begin.tolist(), where):
-                found = least[b:b + len(piece) - LENGTH + 1]
-                low, high = int(found.min()), int(found.max())
+            for k in np.nonzero(latest > lows)[0].tolist():
+                piece, b, (oid, place) = pieces[k], int(begin[k]), where[begins[k]:begins[k] + sizes[k]].T
+                found, low, high = least[b:b + int(starts[k])], lows[k], highs[k]
                 later = oid > low
-                if not later.any():
-                    continue
-                oid, check, start = oid[later], check[later], start[later]
+                oid, place = oid[later], place[later]
+                check, start = place >> 32, place & 0xFFFFFFFF
                 whole = oid > high
                 if whole.any():
                     self.tell(out, oid[whole], check[whole], start[whole], 0, len(piece))
@@ -388,7 +419,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     sites = texts.join(leads, "oid", "left").join(shared, "oid", "left")
     sites = sites.where(F.array_contains("shas", F.sha2(F.col("text").cast("binary"), 256)) & F.col("places").isNotNull()).select("oid", "text", "places")
-    around = _batches(sites, _Surroundings, "key long, piece binary, oids binary, checks binary, starts binary")
+    around = _batches(sites, _Surroundings, "key long, piece binary, places binary")
     around = around.repartition("key").sortWithinPartitions("key")
     found = _batches(around, _Repeats, "oid long, check int, a int, b int")
     spans = found.groupBy("oid").agg(F.collect_list(F.struct("check", "a", "b")).alias("found"))
