@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_bucket, map_rows
+from .common import LOWER, crc_bucket, cut_lineage, map_rows
 from .linear import SparseRows, fit_logistic, sigmoid
 
 MOST_LABELLED = 12_000
@@ -74,56 +74,58 @@ class ToxicModel:
         return float(sigmoid(np.log1p(np.fromiter(hits.values(), float, len(hits))) @ self.weights[index] + self.bias))
 
 
-def fit_toxicity(rows: list[tuple[str, float]], least_z: float = LEAST_Z, pair_weight: float = PAIR_WEIGHT) -> ToxicModel:
-    """``rows`` are distinct (text, label). Words that tell the labels apart by ``least_z`` get a weight, and so do identity terms."""
-    lists = [features(tokens(t.encode("utf-8", "surrogatepass"))) for t, _ in rows]
-    in_texts, in_toxic = Counter(), Counter()
-    for words, (_, label) in zip(lists, rows):
-        for w in set(words):
-            in_texts[w] += 1
-            in_toxic[w] += label
-    share = min(max(sum(y for _, y in rows) / max(1, len(rows)), 1e-6), 1 - 1e-6)
-    table = swaps()
-
-    def tells(w: bytes) -> bool:
-        n = in_texts[w]
-        return abs(in_toxic[w] - n * share) >= least_z * (n * share * (1 - share)) ** 0.5
+def _hits(words: list[bytes], place: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    uses = Counter(place[w] for w in features(words) if w in place)
+    return list(uses.keys()), list(uses.values())
 
-    named = {w for w in in_texts if w in table}
-    named |= {o for w in named for o in table[w]}
-    place = {w: i for i, w in enumerate(sorted({w for w in in_texts if tells(w)} | named))}
 
-    def row(words):
-        uses = Counter(place[w] for w in words if w in place)
-        return np.fromiter(uses.keys(), np.int64, len(uses)), np.log1p(np.fromiter(uses.values(), float, len(uses)))
+def telling_words(sample: DataFrame, least_z: float) -> list[bytes]:
+    """Features that tell the labels of the sampled texts apart by ``least_z`` standard errors, counted in Spark."""
+    def words(rows):
+        for text, label in rows:
+            for w in set(features(tokens(text.encode("utf-8", "surrogatepass")))):
+                yield w, label
 
-    pairs = [p for t, _ in rows for p in counterfactuals(t.encode("utf-8", "surrogatepass"), table)]
-    width = max(1, len(place))
-    weights, bias = fit_logistic(SparseRows([row(w) for w in lists], width), np.array([y for _, y in rows], float), L2, steps=500,
-                                 pairs=(SparseRows([row(features(a)) for a, _ in pairs], width), SparseRows([row(features(b)) for _, b in pairs], width)),
-                                 pair_weight=pair_weight)
-    return ToxicModel(place, weights, bias)
+    n, share = sample.agg(F.count("*"), F.avg("toxic")).first()
+    if not n or not 0.0 < share < 1.0:
+        return []
+    counted = map_rows(sample, words, "word binary, toxic double").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
+    far = F.abs(F.col("toxic") - F.col("n") * share) >= least_z * F.sqrt(F.col("n") * share * (1 - share))
+    return sorted(bytes(r.word) for r in counted.where(far).select("word").collect())
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out: int = 5, most_chars: int = 60_000_000) -> ToxicModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, held_out: int = 5, least_z: float = LEAST_Z,
+                   pair_weight: float = PAIR_WEIGHT) -> ToxicModel:
     """Fit on at most ``most`` labelled ids, in hash order, whose crc32 modulo ``held_out`` is not 0.
 
-    Only the sample's words reach the driver: texts are made distinct there, so
-    a group of copies is one vote, and ``most_chars`` bounds what is kept
-    (further texts of the sample are left out). A copy labelled differently
-    takes the mean label.
+    Texts are made distinct, so a group of copies is one vote with the mean
+    label. Words are counted in Spark; only the telling words, each text's uses
+    of them and the swapped sentences' uses reach the driver.
     """
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_bucket(F.col("doc_id"), held_out) != 0))
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     sample = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-              .groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.avg("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")))
-    rows, held = [], 0
-    for r in sorted(sample.select("doc_id", "text", "toxic").toLocalIterator(), key=lambda r: r.doc_id):
-        held += len(r.text)
-        if held <= most_chars:
-            rows.append((r.text, float(r.toxic)))
-    return fit_toxicity(rows)
+              .groupBy("text").agg(F.avg("toxic").alias("toxic")))
+    sample = cut_lineage(sample)
+    table = swaps()
+    place = {w: i for i, w in enumerate(sorted({*telling_words(sample, least_z), *table}))}
+
+    def uses(rows):
+        for text, label in rows:
+            data = text.encode("utf-8", "surrogatepass")
+            yield (label, *_hits(tokens(data), place), None, None)
+            for one, other in counterfactuals(data, table):
+                yield (None, *_hits(one, place), *_hits(other, place))
+
+    rows = map_rows(sample, uses, "label double, index array<int>, uses array<int>, other array<int>, other_uses array<int>").collect()
+    rows = sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0], r[1:3], r[3] or [], r[4] or []))
+    made = lambda pairs: SparseRows([(np.array(i, np.int64), np.log1p(np.array(u, float))) for i, u in pairs], len(place))
+    fitted = [r for r in rows if r[0] is not None]
+    swapped = [r for r in rows if r[0] is None]
+    weights, bias = fit_logistic(made([r[1:3] for r in fitted]), np.array([r[0] for r in fitted], float), L2, steps=500,
+                                 pairs=(made([r[1:3] for r in swapped]), made([r[3:5] for r in swapped])), pair_weight=pair_weight)
+    return ToxicModel(place, weights, bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
