@@ -70,17 +70,31 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(shingles: np.ndarray, bands: int, rows: int = 2) -> list[int]:
-    """One signed key per band; sets too small to differ and still be similar only meet as equals."""
-    seeds = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    mixed = (shingles[None, :] ^ (seeds[:, None] >> np.uint64(7))) * seeds[:, None]
-    mixed ^= mixed >> np.uint64(29)
-    lows = (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1).reshape(bands, rows)
-    keys = np.full(bands, 17, np.uint64) + np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        keys = (keys ^ lows[:, r]) * _ODD
-        keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64).tolist()
+def band_keys(lists: list[list[bytes]], bands: int, rows: int = 2) -> np.ndarray:
+    """Signed keys, one row per word list of at least five words and one column per band; all lists at once."""
+    import xxhash
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w) for words in lists for w in words], np.uint64)
+    n = len(h) - SHINGLE + 1
+    shingles = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        shingles = (shingles + h[i:i + n]) * _ODD
+        shingles ^= shingles >> np.uint64(32)
+    sizes = np.array([len(words) for words in lists])
+    begin = np.cumsum(sizes) - sizes
+    # Windows that run over the end of a list sit between the lists; each list is reduced up to its last own window.
+    edges = np.stack([begin, begin + sizes - SHINGLE + 1], axis=1).ravel()
+    keys = np.tile(np.full(bands, 17, np.uint64) + np.arange(bands, dtype=np.uint64), (len(lists), 1))
+    for k in range(bands * rows):
+        seed = np.uint64((k + 1) * 0xD6E8FEB86659FD93 % (1 << 64) | 1)
+        mixed = (shingles ^ (seed >> np.uint64(7))) * seed
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.minimum.reduceat(np.append(mixed, np.uint64(0xFFFFFFFFFFFFFFFF)), edges)[::2]
+        column = keys[:, k // rows]
+        column = (column ^ low) * _ODD
+        keys[:, k // rows] = column ^ (column >> np.uint64(31))
+    return keys.view(np.int64)
 
 
 def _unit_rows(rows, least: int):
@@ -120,19 +134,37 @@ def band_table(docs: DataFrame, bands: int, least: int = LEAST_WORDS, threshold:
     """(key, h). Below 1 / (1 - threshold) - 1 shingles a different set cannot be similar enough, so none are made."""
     fewest = int(np.ceil(threshold / (1 - threshold) - 1e-9))
 
-    def give(h, words):
-        if len(words) - SHINGLE + 1 >= fewest:
-            shingles = shingle_hashes(words)
-            for key in band_keys(shingles, bands):
-                yield key, h
-
     def make():
-        return _Once(least, give)
+        return _Bands(bands, least, fewest)
 
     make.per_task = True
     return map_rows(docs.select("doc_id", "text"), make, "key long, h long", rows=16384)
 
 
+class _Bands(_Once):
+    """Gathers distinct units and computes the keys of many at a time."""
+
+    def __init__(self, bands: int, least: int, fewest: int):
+        super().__init__(least, self.hold)
+        self.bands, self.fewest = bands, fewest
+        self.names, self.lists, self.words = [], [], 0
+
+    def hold(self, h, words):
+        if len(words) - SHINGLE + 1 >= self.fewest:
+            self.names.append(h), self.lists.append(words)
+            self.words += len(words)
+            if self.words >= 20_000:
+                yield from self.finish()
+
+    def finish(self):
+        if self.lists:
+            keys = band_keys(self.lists, self.bands)
+            for h, own in zip(self.names, keys.tolist()):
+                for key in own:
+                    yield key, h
+        self.names, self.lists, self.words = [], [], 0
+
+
 def wanted_shingles(docs: DataFrame, wanted: np.ndarray | None, least: int = LEAST_WORDS) -> DataFrame:
     """(h, shingles) of the units whose hash is ``wanted`` (all units without that filter)."""
     keep = None if wanted is None else np.sort(wanted)
