@@ -42,13 +42,9 @@ class Lattice:
         self.log = {p: math.log((1 - BYTE_SHARE) * w / total) for p, w in weights.items()}
         self.byte = math.log(BYTE_SHARE / 256)
         self.longest = max(map(len, weights), default=1)
-        self.cache: dict[str, float] = {}
 
     def word(self, word: str) -> float:
         """log10 of the probability of ``word``, all segmentations together."""
-        known = self.cache.get(word)
-        if known is not None:
-            return known
         text = "▁" + word
         get, exp, log = self.log.get, math.exp, math.log
         forward = [0.0] + [-math.inf] * len(text)
@@ -65,20 +61,14 @@ class Lattice:
             elif terms:
                 top = max(terms)
                 forward[j] = top + log(sum([exp(t - top) for t in terms])) if top != -math.inf else top
-        out = forward[-1] / math.log(10)
-        if len(self.cache) > 400_000:
-            self.cache.clear()
-        if len(word) < 64:
-            self.cache[word] = out
-        return out
+        return forward[-1] / math.log(10)
 
 
 class _Postings:
     """Inverts the documents of one task, a bounded block at a time."""
 
-    def __init__(self, path: str):
+    def __init__(self):
         from pyspark import TaskContext
-        self.lattice = Lattice(path)
         self.block = TaskContext.get().partitionId() << 24
         self.clear()
 
@@ -105,10 +95,9 @@ class _Postings:
 
     def flush(self):
         if self.ids:
-            yield self.block, END, 1, self.trained.pop(b"", 0), 0.0, list(range(len(self.ids))), self.ids
+            yield self.block, END, 1, self.trained.pop(b"", 0), list(range(len(self.ids))), self.ids
         for (w, n), at in self.places.items():
-            word = w.decode("utf-8", "replace")
-            yield self.block, word, n, self.trained.pop(w, 0), self.lattice.word(word), at, None
+            yield self.block, w.decode("utf-8", "replace"), n, self.trained.pop(w, 0), at, None
         self.clear()
 
     def finish(self):
@@ -129,13 +118,22 @@ def score_documents(docs: DataFrame, vocabulary: str, held_out: int = 10) -> Dat
     every executor.
     """
     def make():
-        return _Postings(vocabulary)
+        lattice = Lattice(vocabulary)
+
+        def work(rows):
+            for word, c in rows:
+                yield word, c, 0.0 if word == END else lattice.word(word)
+
+        return work
 
     make.per_task = True
+    invert = lambda: _Postings()
+    invert.per_task = True
     train = crc_bucket(F.col("doc_id"), held_out) != 0
-    postings = cut_lineage(map_rows(docs.select("doc_id", train.alias("train"), "text"), make,
-                                    "block long, word string, tf int, train_c long, logp double, ords array<int>, ids array<long>"))
-    totals = cut_lineage(postings.groupBy("word").agg(F.sum("train_c").alias("c")))
+    postings = cut_lineage(map_rows(docs.select("doc_id", train.alias("train"), "text"), invert,
+                                    "block long, word string, tf int, train_c long, ords array<int>, ids array<long>"))
+    totals = postings.groupBy("word").agg(F.sum("train_c").alias("c"))
+    totals = cut_lineage(map_rows(totals, make, "word string, c long, logp double", rows=16384))
     sums = cut_lineage(totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("types")))
     known = postings.join(totals, "word").select("block", "word", "tf", "c", "logp", "ords", "ids")
     known = with_row(known, sums, "tokens", "types")
