@@ -140,12 +140,12 @@ def quality_label(good: Column, poor: Column, total: Column) -> Column:
 
 
 def vehicle_table(photos: DataFrame) -> DataFrame:
-    """One row per vehicle: first values, views, mean quality, set label."""
+    """One row per vehicle: first values, views, mean quality (in whole ten-thousandths, rounded half up in integers), set label."""
     g = photos.groupBy(*VEHICLE).agg(
         F.min_by("market", "image_index").alias("market"), F.count("*").alias("n_photos"),
-        F.array_sort(F.collect_set("view")).alias("_views"), F.avg("capture_quality").alias("mean_quality"),
+        F.array_sort(F.collect_set("view")).alias("_views"), F.sum(F.round(F.col("capture_quality") * 10000).cast("long")).alias("_q"), F.count("capture_quality").alias("_qn"),
         F.count_if(F.col("quality_bucket") == "good").alias("_good"),
         F.count_if(F.col("quality_bucket") == "poor").alias("_poor"))
     return g.select(*VEHICLE, "market", "n_photos", F.size("_views").alias("n_views"),
-                    F.array_join("_views", "|").alias("views"), "mean_quality",
+                    F.array_join("_views", "|").alias("views"), (F.expr("(2 * _q + _qn) div (2 * _qn)") / 10000).alias("mean_quality"),
                     quality_label(F.col("_good"), F.col("_poor"), F.col("n_photos")).alias("set_label"))

@@ -166,7 +166,7 @@ def revision_audit(revised: DataFrame, key: list[str]) -> DataFrame:
 def consensus_of_reads(df: DataFrame, unit: list[str], k: int, quorum: int, threshold: float = T.SAME_DEFECT) -> DataFrame:
     """k reads of one photo into findings: one sighting per read and cluster.
 
-    Reads are taken one after another (k is small). Inside a read the earliest
+    Reads are taken one after another (a photo has few), whatever their numbers. Inside a read the earliest
     row takes its first free cluster; that is a one-to-one match by
     (position, cluster age), so each read is a handful of matching rounds.
     """
@@ -176,7 +176,8 @@ def consensus_of_reads(df: DataFrame, unit: list[str], k: int, quorum: int, thre
     pairs = S.overlapping(nodes, nodes, home, "text_key", "text_key", threshold)
     pairs = S.cut_lineage(pairs.select(*home, "text_key", F.col("text_key_other").alias("leader_key")))
     assigned = None
-    for sample in range(k):
+    samples = sorted(r[0] for r in tagged.select("sample").distinct().collect())  # as many as a photo has reads
+    for sample in samples:
         rows = tagged.where(F.col("sample") == sample)
         if assigned is not None:
             starts = assigned.where("row = leader").select(*home, F.col("text_key").alias("leader_key"), "leader")

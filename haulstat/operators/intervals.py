@@ -89,18 +89,19 @@ def sweep(df: DataFrame, values: list[float], by: list[str], metrics) -> DataFra
 def histogram_sweep(df: DataFrame, by: list[str], score: str, flag: str, cuts: list[float]) -> DataFrame:
     """Rates below each cut for the flagged and the unflagged rows from one histogram.
 
-    A row falls into the first cut above it; running sums over the cuts give
-    every rate, so the rows are read once however many cuts there are.
+    A row falls into the first cut above it; sums over the slots up to a cut give
+    its rates, so the rows are read once however many cuts there are.
     """
-    from pyspark.sql import Window as W
     slot = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(score)))
     hist = df.groupBy(*by, slot.alias("_slot")).agg(F.count_if(F.col(flag)).alias("_yes"), F.count_if(~F.col(flag)).alias("_no"))
     grid = small_table(df.sparkSession, [(i, float(c)) for i, c in enumerate(cuts)], ["_i", "cut"])
-    per = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    run = per.orderBy("_slot")
-    upto = hist.select(*by, "_slot", F.sum("_yes").over(run).alias("_y"), F.sum("_no").over(run).alias("_n"),
-                       F.sum("_yes").over(per).alias("_ty"), F.sum("_no").over(per).alias("_tn"))
-    # Rows strictly below cut i are those in slots 0..i.
-    joined = upto.join(F.broadcast(grid), F.col("_slot") <= F.col("_i"))
-    best = joined.groupBy(*by, "cut").agg(F.max("_y").alias("_y"), F.max("_n").alias("_n"), F.max("_ty").alias("_ty"), F.max("_tn").alias("_tn"))
+    totals = hist.groupBy(*by).agg(F.sum("_yes").alias("_ty"), F.sum("_no").alias("_tn"))
+    # Every cut of every group is there first, so a cut below all scores has a rate of 0.
+    every = totals.crossJoin(F.broadcast(grid))
+    below = hist.select(*[F.col(k).alias(f"_k_{k}") for k in by], "_slot", "_yes", "_no")
+    met = F.col("_slot") <= F.col("_i")  # rows strictly below cut i are those in slots 0..i
+    for k in by:
+        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    best = every.join(below, met, "left").groupBy(*by, "cut").agg(
+        F.coalesce(F.sum("_yes"), F.lit(0)).alias("_y"), F.coalesce(F.sum("_no"), F.lit(0)).alias("_n"), F.max("_ty").alias("_ty"), F.max("_tn").alias("_tn"))
     return best.select(*by, "cut", (F.col("_y") / F.col("_ty")).alias("flagged_rate"), (F.col("_n") / F.col("_tn")).alias("other_rate"))

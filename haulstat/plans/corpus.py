@@ -225,12 +225,12 @@ def card_statistics(t):
 
 @query("e08_vehicle_table", "photos", CLEAN_SQL + """
 SELECT source_key, listing_id, arg_min(market, image_index) AS market, count(*) AS n_photos, count(DISTINCT view) AS n_views,
- list_aggregate(list_sort(list(DISTINCT view)), 'string_agg', '|') AS views, round(avg(capture_quality), 4) AS mean_quality,
+ list_aggregate(list_sort(list(DISTINCT view)), 'string_agg', '|') AS views, (2 * sum(CAST(round(capture_quality * 10000) AS BIGINT))::BIGINT + count(capture_quality)) // (2 * count(capture_quality)) / 10000 AS mean_quality,
  CASE WHEN count_if(quality_bucket = 'good') / count(*) >= 0.6 THEN 'dealer' WHEN count_if(quality_bucket = 'poor') / count(*) >= 0.5 THEN 'phone' ELSE 'mixed' END AS set_label
 FROM kept GROUP BY 1, 2""")
 def vehicle_table(t):
     _, kept = cleaned_and_kept(t)
-    return K.vehicle_table(kept).withColumn("mean_quality", F.round("mean_quality", 4))
+    return K.vehicle_table(kept)
 
 
 @query("h04_cover_pick", "photos", """

@@ -110,9 +110,14 @@ def missing_embeddings(t):
 @query("a09_run_trace", oracle="""
 SELECT user_id AS run_id, event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def run_trace(t):
-    """Events with their JSON payload; a line that does not parse would be left out."""
-    k = F.from_json("props", "k bigint")
-    return t.events.select(c("user_id").alias("run_id"), "event_id", "event_type", k.alias("d")).where("d is not null").select("run_id", "event_id", "event_type", "d.k")
+    """Events with their JSON payload; a line that does not parse is left out."""
+    return parsed_events(t.events.select(c("user_id").alias("run_id"), "event_id", "event_type", "props"))
+
+
+def parsed_events(events):
+    """(run_id, event_id, event_type, k) of the events whose ``props`` parse; null and broken payloads are left out."""
+    k = F.from_json("props", "k bigint, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    return events.withColumn("d", k).where("d is not null and d._broken is null").select("run_id", "event_id", "event_type", "d.k")
 
 
 @query("l01_recent_runs", oracle="""

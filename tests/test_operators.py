@@ -246,3 +246,18 @@ def test_null_level_stays_null(spark):
 def test_overlap_words(spark):
     df = spark.createDataFrame([("Outer shoulder WORN on the drive tyre",)], "t string")
     assert df.select(T.content_words(F.col("t")).alias("w")).first().w == ["drive", "outer", "shoulder", "tyre", "worn"]
+
+
+def test_sweep_keeps_cuts_below_every_score(spark):
+    from haulstat.operators.intervals import histogram_sweep
+    df = spark.createDataFrame([("a", 5.0, True), ("a", 7.0, False)], "g string, s double, f boolean")
+    for by in ([], ["g"]):
+        got = {r.cut: (r.flagged_rate, r.other_rate) for r in histogram_sweep(df, by, "s", "f", [1.0, 6.0, 10.0]).collect()}
+        assert got == {1.0: (0.0, 0.0), 6.0: (1.0, 0.0), 10.0: (1.0, 1.0)}
+
+
+def test_broken_lines_are_left_out(spark):
+    from haulstat.plans.landing import parsed_events
+    rows = [(1, 1, "x", '{"k": 3}'), (1, 2, "x", "junk"), (1, 3, "x", '{"k": '), (1, 4, "x", None), (1, 5, "x", "{}")]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, event_type string, props string")
+    assert sorted((r.event_id, r.k) for r in parsed_events(df).collect()) == [(1, 3), (5, None)]
