@@ -347,37 +347,36 @@ class _Repeats:
             joined = [b"".join(parts) for parts in self.found.values()]
             self.clear()
             sizes = np.array([len(j) // 16 for j in joined])
-            where = np.frombuffer(b"".join(joined), np.int64).reshape(-1, 2)
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            least, begin = earliest(pieces, np.minimum.reduceat(where[:, 0], begins))
-            starts = np.array([len(p) for p in pieces]) - LENGTH + 1
+            oid, place = np.frombuffer(b"".join(joined), np.int64).reshape(-1, 2).T
+            least, begin = earliest(pieces, np.minimum.reduceat(oid, np.cumsum(sizes) - sizes))
+            lengths = np.array([len(p) for p in pieces])
+            starts = lengths - LENGTH + 1
             edges = np.stack([begin, begin + starts], axis=1).ravel()
             padded = np.append(least, LAST)
             lows = np.minimum.reduceat(padded, edges)[::2]
             highs = np.maximum.reduceat(padded, edges)[::2]
-            latest = np.maximum.reduceat(where[:, 0], begins)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for k in np.nonzero(latest > lows)[0].tolist():
-                piece, b, (oid, place) = pieces[k], int(begin[k]), where[begins[k]:begins[k] + sizes[k]].T
-                found, low, high = least[b:b + int(starts[k])], lows[k], highs[k]
-                later = oid > low
-                oid, place = oid[later], place[later]
-                check, start = place >> 32, place & 0xFFFFFFFF
-                whole = oid > high
-                if whole.any():
-                    self.tell(out, oid[whole], check[whole], start[whole], 0, len(piece))
-                for o in np.unique(oid[~whole]):
-                    mine = oid == o
-                    hit = np.concatenate([[0], (found < o).view(np.int8), [0]])
-                    step = np.diff(hit)
-                    for s, e in zip(np.nonzero(step == 1)[0].tolist(), np.nonzero(step == -1)[0].tolist()):
-                        self.tell(out, oid[mine], check[mine], start[mine], s, e - 1 + LENGTH)
-            if out[0]:
-                yield tuple(np.concatenate(c) for c in out)
+            of = np.repeat(np.arange(len(pieces)), sizes)
+            whole = oid > highs[of]
+            yield self.told(oid[whole], place[whole], 0, lengths[of[whole]])
+            partly = np.nonzero((oid > lows[of]) & ~whole)[0]
+            for at in range(0, len(partly), SLICE // LENGTH):
+                part = partly[at:at + SLICE // LENGTH]
+                yield self.runs(least, oid[part], place[part], begin[of[part]], starts[of[part]])
+
+    @classmethod
+    def runs(cls, least, oid, place, begin, starts):
+        """The runs of string starts in each occurrence that a smaller document has too."""
+        row = np.repeat(np.arange(len(oid)), starts)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+        hit = least[begin[row] + inside] < oid[row]
+        same = row[1:] == row[:-1]
+        opens = np.nonzero(hit & ~np.append(False, hit[:-1] & same))[0]
+        closes = np.nonzero(hit & ~np.append(hit[1:] & same, False))[0]
+        return cls.told(oid[row[opens]], place[row[opens]], inside[opens], inside[closes] + LENGTH)
 
     @staticmethod
-    def tell(out, oid, check, start, a, b):
-        out[0].append(oid), out[1].append(check), out[2].append(start + a), out[3].append(start + b)
+    def told(oid, place, a, b):
+        return oid, place >> 32, (place & 0xFFFFFFFF) + a, (place & 0xFFFFFFFF) + b
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
