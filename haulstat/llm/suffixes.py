@@ -42,12 +42,13 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:len(out) - (width - step)], out[width - step:]) if step < width else out
 
 
-def anchor_windows(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def anchor_windows(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, wanted: np.ndarray | None = None):
     """Yields (positions, hashes, first start, last start) of anchors, slice by slice of a byte array.
 
     The starts are those of the ``length``-byte strings whose smallest hash,
     the leftmost on ties, is the anchor: every string belongs to one anchor,
-    and equal strings to equal places in it. ``gram`` is a power of two.
+    and equal strings to equal places in it. ``gram`` is a power of two. With
+    ``wanted`` (sorted positions) only those anchors are told.
     """
     width = length - gram + 1
     for begin in range(0, len(data) - length + 1, SLICE):
@@ -66,6 +67,10 @@ def anchor_windows(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         earlier = np.full(len(at), -1)
         again = own[order[1:]] == own[order[:-1]]
         earlier[order[1:][again]] = at[order[:-1][again]]
+        if wanted is not None:
+            a, b = np.searchsorted(wanted, [begin, begin + len(part)])
+            asked = np.isin(at, wanted[a:b] - begin, assume_unique=True)
+            at, own, earlier = at[asked], own[asked], earlier[asked]
         padded = np.concatenate([edge, low, edge])  # padded[s + width - 1] is low[s]; 0 is no hash of an anchor's window
         starts = at[:, None] + np.arange(1 - width, 1)
         mine = (padded[starts + width - 1] == own[:, None]) & (starts > earlier[:, None]) & (starts >= 0) & (starts < len(low))
@@ -186,19 +191,17 @@ class _Surroundings:
         self.held, self.found = 0, {}
 
     def __call__(self, rows):
-        import xxhash
         for oid, text, places in rows:
             if not places:
                 continue
             data = (text or "").encode("utf-8", "surrogatepass")
             check, wanted = check_of(data), np.unique(np.array(places, np.int64))
-            for at, _, first, last in anchor_windows(np.frombuffer(data, np.uint8)):
-                hit = np.isin(at, wanted, assume_unique=True)
-                for p, a, b in zip(at[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+            for _, own, first, last in anchor_windows(np.frombuffer(data, np.uint8), wanted=wanted):
+                for key, a, b in zip((own >> np.uint64(1)).tolist(), first.tolist(), last.tolist()):
                     piece = data[a:b + LENGTH]
                     known = self.found.get(piece)
                     if known is None:
-                        known = self.found[piece] = (xxhash.xxh64_intdigest(data[p:p + GRAM]) >> 1, [])
+                        known = self.found[piece] = (key, [])
                         self.held += 4 * LENGTH
                     known[1].extend((oid, check << 32 | a))
                     self.held += 16
