@@ -1,7 +1,6 @@
 """Reading and writing tables: fixed schemas in, fixed column lists out."""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,10 +83,9 @@ def export_lines(rows: DataFrame, columns: list[str], path: str, kind: str = "js
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str, prepare=lambda df: df,
                bucket: str = "bucket") -> None:
     """Append only rows whose key is not stored yet; ``prepare`` runs on those rows alone."""
-    try:
-        stored = spark.read.parquet(path).select(key)
+    fresh = incoming
+    if exists(spark, path):  # any other failure to read the store is an error, not an empty store
+        stored = spark.read.schema(T.StructType([T.StructField(key, incoming.schema[key].dataType)])).parquet(path)
         fresh = incoming.join(stored, key, "left_anti")
-    except AnalysisException:
-        fresh = incoming
     prefixed = prepare(fresh).withColumn(bucket, F.substring(F.md5(F.col(key).cast("string")), 1, 2))
     prefixed.write.mode("append").partitionBy(bucket).parquet(path)

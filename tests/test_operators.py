@@ -261,3 +261,13 @@ def test_broken_lines_are_left_out(spark):
     rows = [(1, 1, "x", '{"k": 3}'), (1, 2, "x", "junk"), (1, 3, "x", '{"k": '), (1, 4, "x", None), (1, 5, "x", "{}")]
     df = spark.createDataFrame(rows, "run_id long, event_id long, event_type string, props string")
     assert sorted((r.event_id, r.k) for r in parsed_events(df).collect()) == [(1, 3), (5, None)]
+
+
+def test_append_new_keeps_the_store_and_reports_a_broken_one(spark, tmp_path):
+    from haulstat.sources.files import append_new
+    path = str(tmp_path / "store")
+    append_new(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), path, "k")
+    append_new(spark, spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "d")]
+    with pytest.raises(Exception):
+        append_new(spark, spark.createDataFrame([("1", "a")], "k string, v string"), path, "k")
