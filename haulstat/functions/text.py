@@ -10,6 +10,7 @@ were has have had its it of on in at to for by as no not any some all both one t
 appear shows showing seen photo image frame side across along around near over under than more most
 less very rather still""".split()
 SAME_DEFECT, SAME_DEFECT_CROSS_ID = 0.42, 0.50
+SAME_TWIN = 0.30  # below the merge threshold, so that rates between twins are lower bounds
 CONTAINMENT_MIN_WORDS, CONTAINMENT_SHARE = 4, 0.75
 
 

@@ -81,7 +81,7 @@ def recall_against_panel(t):
 
     def matched(left, right):
         distinct = lambda df: df.select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"])
-        pairs = S.overlapping(distinct(left), distinct(right), gate, "text_key", "text_key", X.SAME_DEFECT)
+        pairs = S.overlapping(distinct(left), distinct(right), gate, "text_key", "text_key", X.SAME_TWIN)
         offers = (pairs.join(left.drop("words"), gate + ["text_key"]).join(right.drop("words").withColumnRenamed("text_key", "text_key_other"), gate + ["text_key_other"])
                   .withColumn("worse", -F.col("score")))
         return K.mutual_best(offers, gate + ["a"], gate + ["b"], ["worse"])

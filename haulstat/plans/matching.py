@@ -38,7 +38,7 @@ rec AS (SELECT DISTINCT g, 0::BIGINT AS r, [{{'r': 0::BIGINT, 'w': (['']::VARCHA
 home AS (SELECT src.*, rec.leader FROM src JOIN rec ON rec.g = src.g AND rec.r = src.r)"""
 
 
-@query("f05_best_leader_clusters", "sightings", "WITH_RECURSIVE " + leader_sql("sightings", "unit || '|' || variant || '|' || family", "sample, pos", "0.42", True) + """
+@query("f05_best_leader_clusters", "sightings", "WITH_RECURSIVE " + leader_sql("sightings", "unit || '|' || variant || '|' || family", "sample, pos", str(T.SAME_TWIN), True) + """
 SELECT h.unit, h.variant, h.family, l.sample AS leader_sample, l.pos AS leader_pos, count(*) AS n, count(DISTINCT h.sample) AS support,
  list_sort(list(CASE h.severity WHEN 'cosmetic' THEN 0 WHEN 'minor' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END))[(count(*) - 1) // 2 + 1] AS severity_rank
 FROM home h JOIN src l ON l.g = h.g AND l.r = h.leader GROUP BY ALL""")
@@ -48,7 +48,7 @@ def best_leader_clusters(t):
 
 
 def clustered(t):
-    return D.cluster_sightings(t.sightings, ["unit", "variant"], ["family"], "observation", ["sample", "pos"], T.SAME_DEFECT, "best")
+    return D.cluster_sightings(t.sightings, ["unit", "variant"], ["family"], "observation", ["sample", "pos"], T.SAME_TWIN, "best")
 
 
 def sighting_clusters(t, rows=None):
@@ -91,7 +91,7 @@ def merge_findings(t):
 WITH_RECURSIVE o AS (SELECT unit, family, pos, component, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original' AND sample = 0),
 d AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded' AND sample = 1),
 p AS (SELECT o.unit || '|' || o.family AS g, o.pos AS l, d.pos AS r, {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} AS s FROM o JOIN d ON o.unit = d.unit AND o.family = d.family),
-q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, l, r) AS i FROM p WHERE s >= 0.20),
+q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, l, r) AS i FROM p WHERE s >= {T.SAME_TWIN}),
 rec AS (SELECT DISTINCT g, 0::BIGINT AS i, ([0]::INTEGER[])[1:0] AS ul, ([0]::INTEGER[])[1:0] AS ur, NULL::INTEGER AS l, NULL::INTEGER AS r, NULL::DOUBLE AS s FROM q
  UNION ALL SELECT q.g, q.i, CASE WHEN ok THEN list_append(ul, q.l) ELSE ul END, CASE WHEN ok THEN list_append(ur, q.r) ELSE ur END,
   CASE WHEN ok THEN q.l END, CASE WHEN ok THEN q.r END, q.s FROM (SELECT q.g, q.i, q.l, q.r, q.s, rec.ul, rec.ur, NOT list_contains(rec.ul, q.l) AND NOT list_contains(rec.ur, q.r) AS ok
@@ -105,7 +105,7 @@ def greedy_match(t):
     left, right = side("original", 0, "left_pos"), side("degraded", 1, "right_pos")
     gate = ["unit", "family"]
     texts = lambda df: df.select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"])
-    pairs = S.overlapping(texts(left), texts(right), gate, "text_key", "text_key", 0.20)
+    pairs = S.overlapping(texts(left), texts(right), gate, "text_key", "text_key", T.SAME_TWIN)
     offers = (pairs.join(left.select(*gate, "text_key", "left_pos"), gate + ["text_key"])
               .join(right.select(*gate, F.col("text_key").alias("text_key_other"), "right_pos"), gate + ["text_key_other"])
               .withColumn("worse", -F.col("score")))
@@ -116,7 +116,7 @@ def greedy_match(t):
 @query("d17_samples_in_support", "sightings", f"""
 o AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original' AND sample = 0),
 d AS (SELECT unit, family, sample, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded')
-SELECT o.unit, o.family, o.pos, count(DISTINCT CASE WHEN {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} >= 0.42 THEN d.sample END) AS n_samples FROM o LEFT JOIN d ON o.unit = d.unit AND o.family = d.family GROUP BY ALL""")
+SELECT o.unit, o.family, o.pos, count(DISTINCT CASE WHEN {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} >= {T.SAME_TWIN} THEN d.sample END) AS n_samples FROM o LEFT JOIN d ON o.unit = d.unit AND o.family = d.family GROUP BY ALL""")
 def samples_in_support(t):
     base = cut_lineage(S.with_text_key(t.sightings, "observation").select("unit", "family", "variant", "sample", "pos", "words", "text_key"))
     left = base.where("variant = 'original' and sample = 0")
@@ -127,7 +127,7 @@ def supporting_samples(left, right, key):
     """Distinct samples of the other half that overlap with each row of ``left``."""
     gate = ["unit", "family"]
     texts = lambda df: df.select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"])
-    pairs = S.overlapping(texts(left), texts(right), gate, "text_key", "text_key", T.SAME_DEFECT)
+    pairs = S.overlapping(texts(left), texts(right), gate, "text_key", "text_key", T.SAME_TWIN)
     samples = right.select(*gate, F.col("text_key").alias("text_key_other"), "sample").distinct()
     per_text = pairs.join(samples, gate + ["text_key_other"]).groupBy(*gate, "text_key").agg(F.count_distinct("sample").alias("n_samples"))
     return left.join(per_text, gate + ["text_key"], "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
@@ -145,12 +145,13 @@ def consensus_of_reads(t):
        + leader_sql("lines", "unit", "pos", "0.42", False) + """,
 k AS (SELECT unit, pos, row_number() OVER (PARTITION BY unit ORDER BY pos) AS place FROM home WHERE leader = r AND t <> '')
 SELECT unit, pos, CAST(place AS INTEGER) AS place FROM k WHERE place <= 6""")
-def text_fold(t):
+def text_fold(t, most: int = 6):
+    """The first ``most`` different lines of a unit."""
     from pyspark.sql import Window as W
     lines = t.sightings.where("variant = 'degraded'").select("unit", (F.col("sample") * 100 + F.col("pos")).alias("pos"), "observation")
     rows = D.cluster_sightings(lines.withColumn("gate", F.lit("")), ["unit"], ["gate"], "observation", ["pos"], T.SAME_DEFECT, "first")
     kept = rows.where((F.col("leader.pos") == F.col("pos")) & (F.trim("observation") != "")).select("unit", "pos")
-    return kept.withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy("pos"))).where("place <= 6")
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy("pos"))).where(F.col("place") <= most)
 
 
 REVISION_SQL = """
@@ -214,7 +215,7 @@ def pair_scores(t, quorum=2):
 
     tw, og = half("degraded", "t"), half("original", "o")
     texts = lambda df: df.select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"])
-    pairs = S.overlapping(texts(tw), texts(og), gate, "text_key", "text_key", T.SAME_DEFECT)
+    pairs = S.overlapping(texts(tw), texts(og), gate, "text_key", "text_key", T.SAME_TWIN)
     offers = (pairs.join(tw.drop("words"), gate + ["text_key"])
               .join(og.drop("words").withColumnRenamed("text_key", "text_key_other"), gate + ["text_key_other"]).withColumn("worse", -F.col("score")))
     matched = K.mutual_best(offers, gate + ["t_leader"], gate + ["o_leader"], ["worse"])
