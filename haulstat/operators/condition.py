@@ -37,28 +37,23 @@ def component_frames(reads: DataFrame, unit: list[str]) -> DataFrame:
             .groupBy(*unit, "component").agg(F.sum("_n").alias("frames")))
 
 
-def saturated(values: Column) -> Column:
-    """Worst counts in full, each further one decays, capped. ``values`` is an array."""
-    ordered = F.reverse(F.array_sort(F.filter(values, lambda v: v > 0)))
-    weighted = F.transform(ordered, lambda v, i: v * F.pow(F.lit(C.DECAY), i))
-    return F.least(F.lit(C.FAMILY_CAP), F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v))
-
-
 def family_demerits(findings: DataFrame, unit: list[str]) -> DataFrame:
-    """Demerit per unit and family.
+    """Demerit per unit and family: the worst counts in full, each further one decays, capped.
 
-    Past the worst sixty findings the decay leaves less than 1e-23, so equal
-    demerits are counted first and only the sixty largest distinct values of a
-    family go on (the rank limit prunes them before the shuffle).
+    Equal demerits are counted first. A value of n findings behind r worse ones
+    adds v * d^r * (1 - d^n) / (1 - d), so every finding counts and no list is built.
     """
     value = C.demerit(F.col("severity"), F.col("price_impact"), F.col("confidence"), F.col("ungraded"))
     tagged = findings.withColumns({"family": C.family_of(F.col("component")), "_v": value})
     counted = tagged.groupBy(*unit, "family", "_v").agg(
         F.count("*").alias("_n"), F.max(F.when(~F.col("ungraded"), C.rank_of(C.SEVERITIES, F.col("severity")))).alias("_worst"))
-    totals = counted.groupBy(*unit, "family").agg(F.sum("_n").alias("n_findings"), C.level_of(C.SEVERITIES, F.max("_worst")).alias("worst"))
-    top = counted.withColumn("_k", F.row_number().over(W.partitionBy(*unit, "family").orderBy(F.desc("_v")))).where("_k <= 60")
-    repeats = F.flatten(F.collect_list(F.array_repeat("_v", F.least(F.col("_n"), F.lit(60)).cast("int"))))
-    return totals.join(top.groupBy(*unit, "family").agg(F.round(saturated(repeats), 4).alias("demerit")), unit + ["family"])
+    worse = W.partitionBy(*unit, "family").orderBy(F.col("_v").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumn("_r", F.coalesce(F.sum("_n").over(worse), F.lit(0)))
+    decay = F.lit(C.DECAY)
+    part = F.when(F.col("_v") > 0, F.col("_v") * F.pow(decay, F.col("_r")) * (1 - F.pow(decay, F.col("_n"))) / (1 - decay))
+    total = F.least(F.lit(C.FAMILY_CAP), F.coalesce(F.sum(part), F.lit(0.0)))
+    return placed.groupBy(*unit, "family").agg(F.sum("_n").alias("n_findings"), C.level_of(C.SEVERITIES, F.max("_worst")).alias("worst"),
+                                               F.round(total, 4).alias("demerit"))
 
 
 def family_rollup(findings: DataFrame, reads: DataFrame, unit: list[str]) -> DataFrame:

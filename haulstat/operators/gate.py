@@ -16,11 +16,11 @@ MIN_USABLE = 3
 def body_tag(photos: DataFrame, unit: list[str]) -> DataFrame:
     """Most frequent body tag of usable whole-vehicle frames and its upper-median confidence.
 
-    Confidences are counted in hundredths, so the median comes from a
-    histogram of at most a hundred bins.
+    Equal confidences are counted first; the median is read from their running
+    counts, as given and not rounded.
     """
     rows = photos.where(F.col("usable") & F.col("view").isin(*P.WHOLE_VIEWS) & (F.coalesce("body_tag", F.lit("unknown")) != "unknown"))
-    bins = rows.groupBy(*unit, "body_tag", F.round("body_tag_conf", 2).alias("c")).agg(F.count("*").alias("k"), F.min("photo_seq").alias("seq"))
+    bins = rows.groupBy(*unit, "body_tag", F.col("body_tag_conf").alias("c")).agg(F.count("*").alias("k"), F.min("photo_seq").alias("seq"))
     tags = bins.groupBy(*unit, "body_tag").agg(F.sum("k").alias("n"), F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("c", "k"))).alias("h"))
     upto = F.aggregate("h", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("c")),
                        lambda a, x: F.struct((a["n"] + x["k"]).alias("n"), F.when(a["c"].isNull() & (a["n"] + x["k"] > F.floor(F.col("n") / 2)), x["c"]).otherwise(a["c"]).alias("c")))

@@ -120,16 +120,26 @@ def registry_status(plates: DataFrame, registry: DataFrame, events: DataFrame, m
                     F.when(status == "matched", r["vin"]).alias("vin"))
 
 
-def history_effect(matches: DataFrame, events: DataFrame, money: list[str]) -> DataFrame:
-    """Blockers stop the price; otherwise the worst repaired accident takes its percentage off, once."""
+def history_effect(matches: DataFrame, events: DataFrame, money: list[str], country: str = "TR") -> DataFrame:
+    """Blockers stop the price; otherwise the worst repaired accident takes its percentage off, once.
+
+    ``matches`` carries the record's ``vin`` and ``country`` and the
+    photographed ``photo_vin``. Plates change vehicles and the rules hold for
+    one country, so without the same VIN or elsewhere nothing changes
+    (``confirmed`` is false).
+    """
     pct = F.element_at(L.alias_map(ACCIDENT_PERCENT), F.col("severity"))
     accident = F.col("type") == "accident"
-    blocks = F.col("type").isin(*BLOCKING_EVENTS) | (accident & (~F.col("repaired") | pct.isNull()))
+    blocks = F.col("type").isin(*BLOCKING_EVENTS) | (accident & (~F.coalesce("repaired", F.lit(False)) | pct.isNull()))
     per = events.groupBy("record_id").agg(F.bool_or(blocks).alias("_block"), F.max(F.when(accident & ~blocks, pct)).alias("_pct"))
     j = matches.join(per, "record_id", "left")
-    blocked, cut = F.coalesce("_block", F.lit(False)), F.coalesce("_pct", F.lit(0.0))
+    seen, held = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in ("photo_vin", "vin"))
+    confirmed = (seen != "") & (seen == held) & (F.upper(F.coalesce("country", F.lit(""))) == country)
+    blocked = confirmed & F.coalesce("_block", F.lit(False))
+    cut = F.when(confirmed, F.coalesce("_pct", F.lit(0.0))).otherwise(0.0)
     prices = {m: F.when(blocked, 0.0).otherwise(F.bround(F.col(m) * (1 - cut / 100), 2)) for m in money}
-    return j.select(*[c for c in matches.columns if c not in money], blocked.alias("blocked"), F.when(blocked, 0.0).otherwise(-cut).alias("adjustment_pct"), *[v.alias(k) for k, v in prices.items()])
+    return j.select(*[c for c in matches.columns if c not in money], confirmed.alias("confirmed"), blocked.alias("blocked"),
+                    F.when(blocked, 0.0).otherwise(0.0 - cut).alias("adjustment_pct"), *[v.alias(k) for k, v in prices.items()])
 
 
 def plate_winner(observations: DataFrame, unit: list[str]) -> DataFrame:

@@ -202,23 +202,29 @@ def registry_status(t):
 
 
 @query("f20_history_effect", "registry registry_events", REG_SQL + """,
-e AS (SELECT record_id, bool_or(type = 'flood' OR (type = 'accident' AND (NOT repaired OR severity = 'unknown'))) AS blk, max(CASE WHEN type = 'accident' AND repaired THEN CASE severity WHEN 'minor' THEN 3 WHEN 'moderate' THEN 8 WHEN 'major' THEN 15 END END) AS pct FROM registry_events GROUP BY 1)
-SELECT s_suppkey, coalesce(blk, false) AS blocked, CASE WHEN blk THEN 0.0 ELSE -coalesce(pct, 0)::DOUBLE END AS adjustment_pct, CASE WHEN blk THEN 0.0 ELSE round_even(point * (1 - coalesce(pct, 0) / 100), 2) END AS point
-FROM st LEFT JOIN e ON e.record_id = st.rid WHERE status = 'matched'""")
+e AS (SELECT record_id, bool_or(type = 'flood' OR (type = 'accident' AND (NOT repaired OR severity = 'unknown'))) AS blk, max(CASE WHEN type = 'accident' AND repaired THEN CASE severity WHEN 'minor' THEN 3 WHEN 'moderate' THEN 8 WHEN 'major' THEN 15 END END) AS pct FROM registry_events GROUP BY 1),
+m AS (SELECT *, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN reverse(vin) WHEN 2 THEN lower(vin) ELSE vin END AS photo_vin FROM st WHERE status = 'matched'),
+f AS (SELECT m.*, coalesce(upper(photo_vin) = vin, false) AND country = 'TR' AS confirmed, coalesce(blk, false) AS blk, coalesce(pct, 0) AS pct FROM m LEFT JOIN e ON e.record_id = m.rid)
+SELECT s_suppkey, confirmed, confirmed AND blk AS blocked, CASE WHEN confirmed AND NOT blk THEN 0.0::DOUBLE - pct ELSE 0.0::DOUBLE END AS adjustment_pct,
+ CASE WHEN NOT confirmed THEN round_even(point, 2) WHEN blk THEN 0.0 ELSE round_even(point * (1 - pct / 100), 2) END AS point FROM f""")
 def history_effect(t):
-    matched = I.registry_status(plates(t), t.registry, t.registry_events).where("status = 'matched'").select("s_suppkey", "record_id", "point")
-    return I.history_effect(matched, t.registry_events, ["point"]).drop("record_id")
+    """A photographed VIN is missing, another one, the same in lower case, or the same."""
+    matched = I.registry_status(plates(t), t.registry, t.registry_events).where("status = 'matched'")
+    k = F.col("s_suppkey") % 4
+    seen = F.when(k == 1, F.reverse("vin")).when(k == 2, F.lower("vin")).when(k == 3, F.col("vin"))
+    out = I.history_effect(matched.withColumn("photo_vin", seen), t.registry_events, ["point"])
+    return out.select("s_suppkey", "confirmed", "blocked", "adjustment_pct", "point")
 
 
 @query("d14_recalls_and_complaints", "listings", """
 r AS (SELECT p_brand, p_type, 2015 + p_size % 7 AS y, count(*) AS recalls, count_if(p_size % 5 = 0) AS severe FROM part GROUP BY 1, 2, 3),
-c AS (SELECT o_orderpriority, year(o_orderdate) + 20 AS y, count(*) AS complaints FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2)
+c AS (SELECT o_orderpriority, year(o_orderdate) + 20 AS y, count(*) AS complaints FROM orders GROUP BY 1, 2)
 SELECT listing_id, coalesce(recalls, 0) AS recalls, coalesce(severe, 0) AS severe, coalesce(complaints, 0) AS complaints FROM listings l LEFT JOIN r ON r.p_brand = l.make AND r.p_type = l.model AND r.y = l.year
  LEFT JOIN c ON c.o_orderpriority = l.seller_tier AND c.y = l.year""")
 def recalls(t):
     r = t.part.groupBy(F.col("p_brand").alias("make"), F.col("p_type").alias("model"), (F.col("p_size") % 7 + 2015).alias("year")).agg(
         F.count("*").alias("recalls"), F.count_if(F.col("p_size") % 5 == 0).alias("severe"))
-    c = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("seller_tier"), (F.year("o_orderdate") + 20).alias("year")).agg(F.count("*").alias("complaints"))
+    c = t.orders.groupBy(F.col("o_orderpriority").alias("seller_tier"), (F.year("o_orderdate") + 20).alias("year")).agg(F.count("*").alias("complaints"))
     j = t.listings.select("listing_id", "make", "model", "year", "seller_tier").join(r, ["make", "model", "year"], "left").join(c, ["seller_tier", "year"], "left")
     return j.select("listing_id", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("recalls", "severe", "complaints")])
 
@@ -232,7 +238,8 @@ t AS (SELECT unit, max(n) AS top, count(*) AS answers FROM c GROUP BY 1), l AS (
 SELECT unit, CASE WHEN won THEN plate END AS plate, CASE WHEN won THEN country END AS country, NOT won AS conflict FROM (SELECT *, answers = 1 OR (leaders = 1 AND top >= 2) AS won FROM l)""")
 def plate_conflicts(t):
     country = F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 29 == 1, "DE").otherwise("TR")
-    obs = t.events.where("value > 60").select(F.col("user_id").alias("unit"), (F.col("event_id") % 3).cast("string").alias("plate"), country.alias("country"), F.lit(0.97).alias("confidence"))
+    obs = t.events.select(F.col("user_id").alias("unit"), (F.col("event_id") % 3).cast("string").alias("plate"), country.alias("country"),
+                          F.when(F.col("value") > 60, 0.97).otherwise(0.6).alias("confidence"))
     return I.plate_winner(obs, UNIT)
 
 

@@ -172,5 +172,5 @@ FROM {customer}
 STANDINS["registry_events"] = """
 SELECT o_custkey AS record_id, o_orderkey AS event_id, CASE o_orderkey % 9 WHEN 0 THEN 'flood' WHEN 1 THEN 'inspection' ELSE 'accident' END AS type,
  CASE o_orderkey % 4 WHEN 0 THEN 'minor' WHEN 1 THEN 'moderate' WHEN 2 THEN 'major' ELSE 'unknown' END AS severity, o_orderkey % 10 <> 0 AS repaired
-FROM {orders} WHERE o_orderstatus = 'F'
+FROM {orders}
 """

@@ -271,3 +271,35 @@ def test_append_new_keeps_the_store_and_reports_a_broken_one(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "d")]
     with pytest.raises(Exception):
         append_new(spark, spark.createDataFrame([("1", "a")], "k string, v string"), path, "k")
+
+
+def test_history_needs_the_same_vin_and_country(spark):
+    from haulstat.operators.identity import history_effect
+    vin = "WDB9634031L123456"
+    rows = [(1, 10, vin, "TR", vin.lower(), 100.0), (2, 10, vin, "DE", vin, 100.0), (3, 10, vin, "TR", vin[::-1], 100.0), (4, 10, vin, "TR", None, 100.0),
+            (5, 11, vin, "TR", vin, 100.0), (6, 12, vin, "tr", vin, 100.0), (7, 13, "", "TR", "", 100.0), (8, 14, vin, "TR", vin, 100.0)]
+    matches = spark.createDataFrame(rows, "id int, record_id int, vin string, country string, photo_vin string, point double")
+    told = [(10, "accident", "major", True), (10, "accident", "minor", True), (11, "flood", None, None), (13, "flood", None, None), (14, "accident", "minor", None)]
+    events = spark.createDataFrame(told, "record_id int, type string, severity string, repaired boolean")
+    got = {r.id: (r.confirmed, r.blocked, r.adjustment_pct, r.point) for r in history_effect(matches, events, ["point"]).collect()}
+    left_alone = (False, False, 0.0, 100.0)
+    assert got == {1: (True, False, -15.0, 85.0), 2: left_alone, 3: left_alone, 4: left_alone, 5: (True, True, 0.0, 0.0),
+                   6: (True, False, 0.0, 100.0), 7: left_alone, 8: (True, True, 0.0, 0.0)}
+
+
+def test_family_demerit_counts_every_finding(spark):
+    from haulstat.functions import condition as C
+    from haulstat.operators.condition import family_demerits
+    rng = random.Random(4)
+    rows = [("u", "corrosion", rng.choice(C.SEVERITIES), "none", rng.randrange(101) / 100, False) for _ in range(400)]
+    rows += [("v", "corrosion", "cosmetic", "none", 0.3, False)] * 90 + [("w", "corrosion", "cosmetic", "none", 0.3, True)]
+    df = spark.createDataFrame(rows, "unit string, component string, severity string, price_impact string, confidence double, ungraded boolean")
+    each = df.select("unit", C.demerit(F.col("severity"), F.col("price_impact"), F.col("confidence"), F.col("ungraded")).alias("v")).collect()
+    for r in family_demerits(df, ["unit"]).collect():
+        values = sorted((x.v for x in each if x.unit == r.unit and (x.v or 0) > 0), reverse=True)
+        assert r.demerit == pytest.approx(min(C.FAMILY_CAP, sum(v * C.DECAY ** i for i, v in enumerate(values))), abs=1e-4)
+        assert r.n_findings == sum(x.unit == r.unit for x in each)
+
+
+def test_twins_match_below_the_merge_threshold():
+    assert T.SAME_TWIN < T.SAME_DEFECT < T.SAME_DEFECT_CROSS_ID
