@@ -99,14 +99,14 @@ def recall_against_panel(t):
 
 
 @query("k02_bootstrap_of_any_statistic", "metric_units", """
-d AS (SELECT suite, draw, unit, n, hits, (('0x' || substr(md5('3|' || CAST(draw AS VARCHAR) || '|' || unit), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM metric_units, (SELECT unnest(range(100)) AS draw) WHERE run = 'after'),
-w AS (SELECT suite, draw, sum(hits * k) AS h, sum(n * k) AS n FROM (SELECT *, """ + " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in I.POISSON_ONE) + """ AS k FROM d) GROUP BY 1, 2),
-v AS (SELECT suite, list_sort(list(ln((h + 1) / (n - h + 1)))) AS s FROM w WHERE n > h GROUP BY 1)
-SELECT suite, round(s[CAST(greatest(0, floor(len(s) * 0.1 / 2)) AS BIGINT) + 1], 4) AS ci_lo, round(s[CAST(ceil(len(s) * (1 - 0.1 / 2)) AS BIGINT)], 4) AS ci_hi FROM v""")
+d AS (SELECT run, suite, draw, unit, n, hits, (('0x' || substr(md5('3|' || CAST(draw AS VARCHAR) || '|' || unit), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM metric_units, (SELECT unnest(range(2000)) AS draw)),
+w AS (SELECT run, suite, draw, sum(hits * k) AS h, sum(n * k) AS n FROM (SELECT *, """ + " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in I.POISSON_ONE) + """ AS k FROM d) GROUP BY 1, 2, 3),
+v AS (SELECT run, suite, list_sort(list(ln((h + 1) / (n - h + 1)))) AS s FROM w WHERE n > h GROUP BY 1, 2)
+SELECT run, suite, round(s[CAST(greatest(0, floor(len(s) * 0.1 / 2)) AS BIGINT) + 1], 4) AS ci_lo, round(s[CAST(ceil(len(s) * (1 - 0.1 / 2)) AS BIGINT)], 4) AS ci_hi FROM v""")
 def bootstrap_of_any_statistic(t):
     log_odds = lambda s: F.when(s["n"] > s["hits"], F.log((s["hits"] + 1) / (s["n"] - s["hits"] + 1)))
-    out = I.bootstrap(t.metric_units.where("run = 'after'"), ["suite"], "unit", ["n", "hits"], log_odds, draws=100, seed=3, alpha=0.1)
-    return out.select("suite", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
+    out = I.bootstrap(t.metric_units, ["run", "suite"], "unit", ["n", "hits"], log_odds, draws=2000, seed=3, alpha=0.1)
+    return out.select("run", "suite", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
 
 
 @U.suite("hit_rate")

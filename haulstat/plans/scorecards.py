@@ -40,13 +40,13 @@ POISSON_SQL = " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in I.POISSO
 
 
 @query("g02_unit_bootstrap", "metric_units", f"""
-d AS (SELECT run, suite, draw, unit, n, hits, (('0x' || substr(md5('7|' || CAST(draw AS VARCHAR) || '|' || unit), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM metric_units, (SELECT unnest(range(200)) AS draw)),
+d AS (SELECT run, suite, draw, unit, n, hits, (('0x' || substr(md5('7|' || CAST(draw AS VARCHAR) || '|' || unit), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM metric_units, (SELECT unnest(range(2000)) AS draw)),
 w AS (SELECT run, suite, draw, sum(hits * ({POISSON_SQL})) AS h, sum(n * ({POISSON_SQL})) AS n FROM d GROUP BY 1, 2, 3),
 v AS (SELECT run, suite, list_sort(list(h / n)) AS s FROM w WHERE n > 0 GROUP BY 1, 2)
 SELECT run, suite, (SELECT count(*) FROM metric_units m WHERE m.run = v.run AND m.suite = v.suite) AS units, round(s[CAST(greatest(0, floor(len(s) * 0.05 / 2)) AS BIGINT) + 1], 4) AS ci_lo,
  round(s[CAST(ceil(len(s) * (1 - 0.05 / 2)) AS BIGINT)], 4) AS ci_hi FROM v""")
 def unit_bootstrap(t):
-    out = I.bootstrap(t.metric_units, ["run", "suite"], "unit", ["n", "hits"], lambda s: F.when(s["n"] > 0, s["hits"] / s["n"]), draws=200)
+    out = I.bootstrap(t.metric_units, ["run", "suite"], "unit", ["n", "hits"], lambda s: F.when(s["n"] > 0, s["hits"] / s["n"]), draws=2000)
     return out.select("run", "suite", "units", F.round("ci_lo", 4).alias("ci_lo"), F.round("ci_hi", 4).alias("ci_hi"))
 
 
