@@ -3,6 +3,8 @@
 Numbers, units and names become typed placeholders, so a question whose slots
 were filled anew keeps its template. Windows of template words are joined by
 hash, and a match counts only if the slot values map one to one.
+Beside them stand case-folded windows that keep their slot values, so a
+verbatim copy matches whatever its words are and however it is capitalised.
 """
 from __future__ import annotations
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, map_rows
 
 WINDOW = 13
-LEAST_LITERALS = 5  # a window of placeholders alone says nothing
+LEAST_LITERALS = 5  # a template window of placeholders alone says nothing
+VERBATIM = np.uint64(0x94D049BB133111EB)  # keeps hashes of verbatim windows apart from those of template windows
 MOST_HASHES = 2_000_000  # benchmark windows up to this number (16 MB) are sent to the tasks as a filter
 
 # Units of measure that count as a placeholder behind a number.
@@ -36,37 +39,43 @@ class Reader:
         self.cache: dict[str, tuple] = {}
 
     def form(self, raw: str) -> tuple:
-        """((kind, hash, value), ...) of one raw word, whether it is capitalised and whether it ends a sentence."""
+        """((kind, hash, value, hash of the value), ...) of one raw word, whether it is capitalised and whether it ends a sentence."""
         import xxhash
+
+        def slot(kind: str, value: str) -> tuple:
+            return kind, SLOTS[kind], value, xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"))
+
         word = _TRIM.sub("", raw)
         ends = raw[-1] in ".!?" or (len(raw) > 1 and raw[-2] in ".!?")
         if not word:
             out = ((), False, ends)
         elif _NUMBER.match(word):
-            out = ((("n", SLOTS["n"], word.rstrip(".,")),), False, ends)
+            out = ((slot("n", word.rstrip(".,")),), False, ends)
         elif (m := _JOINED.match(word)) and m[2].lower() in UNITS:
-            out = ((("n", SLOTS["n"], m[1]), ("u", SLOTS["u"], m[2].lower())), False, ends)
+            out = ((slot("n", m[1]), slot("u", m[2].lower())), False, ends)
         else:
             low = word.lower()
-            out = ((("", xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")), low),), word[0].isupper(), ends)
+            h = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+            out = ((("", h, low, h),), word[0].isupper(), ends)
         if len(self.cache) > 300_000:
             self.cache.clear()
         self.cache[raw] = out
         return out
 
-    def read(self, text: str | None, first_is_name: bool = False) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """(template hashes, [(position, typed value) of each slot]).
+    def read(self, text: str | None, first_is_name: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
+        """(template hashes, hashes of the case-folded words, [(position, typed value) of each slot]).
 
         A capitalised word inside a sentence is a name. ``first_is_name`` reads
         the first word as one too, as it looks when quoted inside a sentence.
         """
         hashes: list[int] = []
+        folded: list[int] = []
         slots: list[tuple[int, str]] = []
         get, starts = self.cache.get, not first_is_name
         number = False
         for raw in (text or "").split():
             forms, capital, ends = get(raw) or self.form(raw)
-            for kind, h, value in forms:
+            for kind, h, value, own in forms:
                 if not kind:
                     if capital and not starts:
                         kind, h = "p", SLOTS["p"]
@@ -76,8 +85,9 @@ class Reader:
                     slots.append((len(hashes), f"{kind}:{value}"))
                 number = kind == "n"
                 hashes.append(h)
+                folded.append(own)
             starts = ends if forms else starts or ends
-        return np.array(hashes, np.uint64), slots
+        return np.array(hashes, np.uint64), np.array(folded, np.uint64), slots
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -90,36 +100,39 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def windows(reader: Reader, text: str | None, width: int, first_is_name: bool = False):
-    """(position, signed hash, slot values, words in all) of every window with enough literal words."""
-    hashes, slots = reader.read(text, first_is_name)
+    """(position, signed hash, slot values, verbatim, filled, words in all) of every window.
+
+    Template windows need enough literal words. Verbatim windows need nothing
+    and carry no slot values; ``filled`` tells whether a window holds a slot.
+    """
+    hashes, folded, slots = reader.read(text, first_is_name)
     width = min(width, len(hashes))
     if not width:
         return
-    filled = np.zeros(len(hashes) + 1, np.int64)
-    for p, _ in slots:
-        filled[p + 1] = 1
-    filled = np.cumsum(filled)
-    own = window_hashes(hashes, width).view(np.int64)
+    at = np.array([p for p, _ in slots], np.int64)
+    own = window_hashes(hashes, width).view(np.int64).tolist()
+    same = (window_hashes(folded, width) ^ VERBATIM).view(np.int64).tolist()
     for p in range(len(own)):
-        inside = int(filled[p + width] - filled[p])
-        if width - inside >= min(LEAST_LITERALS, width):
-            yield p, int(own[p]), [v for _, v in slots[int(filled[p]):int(filled[p]) + inside]], width, len(hashes)
+        a, b = np.searchsorted(at, [p, p + width]).tolist()
+        if width - (b - a) >= min(LEAST_LITERALS, width):
+            yield p, own[p], [v for _, v in slots[a:b]], False, b > a, width, len(hashes)
+        yield p, same[p], [], True, b > a, width, len(hashes)
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, h, item_pos, item_slots, width, item_words); an item shorter than the window is one window."""
+    """(item_id, h, item_pos, item_slots, verbatim, filled, width, item_words); an item shorter than the window is one window."""
     def work(rows):
         reader = Reader()
         for item_id, text in rows:
             told = set()
             for first in (False, True):
-                for p, h, values, w, n in windows(reader, text, width, first):
+                for p, h, *rest in windows(reader, text, width, first):
                     if (p, h) not in told:
                         told.add((p, h))
-                        yield item_id, h, p, values, w, n
+                        yield item_id, h, p, *rest
 
-    return map_rows(benchmark.select("item_id", "text"), work,
-                    "item_id long, h long, item_pos int, item_slots array<string>, width int, item_words int")
+    return map_rows(benchmark.select("item_id", "text"), work, "item_id long, h long, item_pos int, item_slots array<string>, "
+                    "verbatim boolean, filled boolean, width int, item_words int")
 
 
 def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | None) -> DataFrame:
@@ -136,18 +149,19 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
 
         def work(rows):
             for doc_id, text in rows:
-                hashes, slots = reader.read(text)
+                hashes, folded, slots = reader.read(text)
                 at = np.array([p for p, _ in slots], np.int64)
                 for width in widths:
-                    own = window_hashes(hashes, width)
-                    if wanted is None:
-                        hit = np.arange(len(own))
-                    else:
-                        hit = np.nonzero(bitmap[own >> np.uint64(64 - bits)])[0]
-                        hit = hit[np.isin(own[hit].view(np.int64), wanted)] if len(hit) else hit
-                    low, high = np.searchsorted(at, hit), np.searchsorted(at, hit + width)
-                    for p, a, b in zip(hit.tolist(), low.tolist(), high.tolist()):
-                        yield doc_id, int(own[p].view(np.int64)), p, [v for _, v in slots[a:b]]
+                    for verbatim in (False, True):
+                        own = window_hashes(folded, width) ^ VERBATIM if verbatim else window_hashes(hashes, width)
+                        if wanted is None:
+                            hit = np.arange(len(own))
+                        else:
+                            hit = np.nonzero(bitmap[own >> np.uint64(64 - bits)])[0]
+                            hit = hit[np.isin(own[hit].view(np.int64), wanted)] if len(hit) else hit
+                        low, high = (hit, hit) if verbatim else (np.searchsorted(at, hit), np.searchsorted(at, hit + width))
+                        for p, a, b in zip(hit.tolist(), low.tolist(), high.tolist()):
+                            yield doc_id, int(own[p].view(np.int64)), p, [v for _, v in slots[a:b]] if b > a and not verbatim else []
 
         return work
 

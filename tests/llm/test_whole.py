@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from haulstat.llm import near
+from haulstat.llm import decontaminate, near
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,3 +73,23 @@ def test_large_bucket_of_near_copies_in_blocks(spark):
     for block in (8, 512):
         links = [(name[a], name[b]) for a, b in near.similar_sets(rows_, prints, block=block).collect()]
         assert {x for p in links for x in p} >= set(range(90)) or len(links) >= 89
+
+
+def leaks(spark, items, told):
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(told)), "doc_id long, text string")
+    out = {}
+    for most in (0, 1000):
+        rows = decontaminate.contaminated(docs, asked, most_hashes=most).collect()
+        got = {(r.doc_id, r.item_id): r.reparameterised for r in rows}
+        assert not out or got == out
+        out = got
+    return out
+
+
+def test_verbatim_copies_of_items_without_literal_windows(spark):
+    items = ["Compute 12 times 7", "WHO WROTE THE GREAT RUSSIAN NOVEL WAR AND PEACE", "Alle Kinder der Stadt essen am Sonntag Kuchen mit Sahne",
+             "Is Alice Brown or Carl Dean or Eva Ford or Gina Hall the Queen"]
+    told = [f"Here we go. {t} Next." for t in items] + [t.lower() for t in items] + [f"so {t.upper()} ok" for t in items] + ["Compute 13 times 7"]
+    got = leaks(spark, items, told)
+    assert {(k, k % 4) for k in range(12)} <= set(got) and (12, 0) not in got and not any(got[k, k % 4] for k in range(12))
