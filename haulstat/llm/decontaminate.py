@@ -2,7 +2,7 @@
 
 Numbers, units and names become typed placeholders, so a question whose slots
 were filled anew keeps its template. Windows of template words are joined by
-hash, and a match counts only if the slot values map one to one.
+hash, and a match counts only if each item value stands for one document value.
 Beside them stand case-folded windows that keep their slot values, so a
 verbatim copy matches whatever its words are and however it is capitalised.
 """
@@ -169,11 +169,9 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, h long, doc_pos int, doc_slots array<string>")
 
 
-def one_to_one(pairs):
-    """Whether an array of (item value, document value) pairs maps both ways without conflict."""
-    distinct = F.size(F.array_distinct(pairs))
-    return ((F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"]))) == distinct)
-            & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["doc_slots"]))) == distinct))
+def one_value_each(pairs):
+    """Whether each item value of an array of (item value, document value) pairs stands for one document value."""
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p["item_slots"]))) == F.size(F.array_distinct(pairs))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most_hashes: int = MOST_HASHES) -> DataFrame:
@@ -184,7 +182,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mos
     any other and grouped under null; repeated rows count their windows
     together; an empty table on either side gives an empty result. Windows on
     the same alignment must agree on what each slot stands for, so equal
-    sentences around unrelated values do not match.
+    sentences around unrelated values do not match. Where they do not agree,
+    what the document has verbatim still counts, unless it is a single window
+    without a slot: that says the same in every filling of the template.
 
     The hashes of the benchmark go to the tasks as a filter while there are at
     most ``most_hashes``; beyond that every window is joined. Both give the same rows.
@@ -196,12 +196,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, mos
     wanted = np.array([r.h for r in distinct.collect()], np.int64) if small else None
     found = document_windows(docs, widths, wanted)
     pairs = F.arrays_zip("item_slots", "doc_slots")
+    same = F.col("verbatim") | ~F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
     met = (found.join(items, "h").where(F.size("item_slots") == F.size("doc_slots"))
-           .select("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("offset"), "item_pos", pairs.alias("pairs"))
-           .where(one_to_one(F.col("pairs"))))
+           .select("doc_id", "item_id", "item_words", (F.col("doc_pos") - F.col("item_pos")).alias("offset"), "item_pos", "verbatim", "filled",
+                   pairs.alias("pairs"))
+           .withColumn("same", same).where(one_value_each(F.col("pairs"))))
     lined = met.groupBy("doc_id", "item_id", "item_words", "offset").agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    lined = lined.where(one_to_one(F.col("pairs")))
+        F.countDistinct("item_pos").alias("n_all"), F.countDistinct(F.when(F.col("same"), F.col("item_pos"))).alias("n_same"),
+        F.max(F.col("same") & F.col("filled")).alias("quoted"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lined = lined.withColumn("agrees", one_value_each(F.col("pairs"))).where("agrees or quoted or n_same > 1")
+    pairs = F.when(F.col("agrees"), F.col("pairs")).otherwise(F.filter("pairs", lambda p: p["item_slots"] == p["doc_slots"]))
+    lined = lined.withColumn("pairs", pairs).withColumn("n_windows", F.when(F.col("agrees"), F.col("n_all")).otherwise(F.col("n_same")))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["doc_slots"])
     return lined.groupBy("doc_id", "item_id", "item_words").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"), F.min(changed).alias("reparameterised"))

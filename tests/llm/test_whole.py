@@ -87,6 +87,19 @@ def leaks(spark, items, told):
     return out
 
 
+def test_verbatim_part_of_a_disagreeing_alignment_is_a_leak(spark):
+    item = ("the farmer sold 5 baskets of red apples at the market near the old stone bridge and then the farmer walked slowly back home along "
+            "the river to feed the hungry brown horses before the sun went down and then he counted all 5 baskets again in the empty barn at night")
+    late = item.replace("all 5", "all 7")
+    plain = "it was said that " + item.replace("sold 5", "sold 6").replace("all 5", "all 7")
+    assert leaks(spark, [item], [late, plain]) == {(0, 0): False, (1, 0): False}
+
+
+def test_two_item_values_may_become_one(spark):
+    item = "a boy has 3 green pears and his sister has 5 green pears so how many green pears have the two of them"
+    assert leaks(spark, [item], [item.replace("3", "4").replace("5", "4")]) == {(0, 0): True}
+
+
 def test_verbatim_copies_of_items_without_literal_windows(spark):
     items = ["Compute 12 times 7", "WHO WROTE THE GREAT RUSSIAN NOVEL WAR AND PEACE", "Alle Kinder der Stadt essen am Sonntag Kuchen mit Sahne",
              "Is Alice Brown or Carl Dean or Eva Ford or Gina Hall the Queen"]
