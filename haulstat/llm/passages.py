@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut_lineage, map_rows
 from .components import Forest, components
+from .runs import byte_spans, keyed_rows, repeated_runs
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -275,25 +276,56 @@ def repeated_units(docs: DataFrame, threshold: float = THRESHOLD, least: int = L
                                            (F.col("place") > F.col("keeper")).alias("removed"))
 
 
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
+def repeats(docs: DataFrame, **options) -> DataFrame:
+    """``repeated_units`` of every row of ``docs``, and the runs of at least ``runs.RUN`` words that an earlier place has.
+
+    A run's row has no unit but ``from_word``, its first word in the text; it is
+    found wherever it stands, also across or inside sentences and lines. Rows
+    with a null id and repeated rows are rows of their own here.
+    """
+    rows = keyed_rows(docs, ["doc_id", "text"])
+    ids = rows.select("_row", "doc_id")
+    keepers = ids.select(F.col("_row").alias("keeper_row"), F.col("doc_id").alias("keeper_doc_id"))
+    units_ = repeated_units(_by_row(rows), **options).withColumnsRenamed({"doc_id": "_row", "keeper_doc_id": "keeper_row"})
+    units_ = units_.withColumn("from_word", F.lit(None).cast("int"))
+    found = repeated_runs(rows, _WORDS).withColumn("removed", F.lit(True))
+    both = units_.unionByName(found, allowMissingColumns=True)
+    return both.join(ids, "_row").join(keepers, "keeper_row").select(
+        "doc_id", "unit", "n_words", "component_id", "component_size", "keeper_doc_id", "removed", "from_word")
+
+
 def without_repeats(docs: DataFrame, columns: list[str], **options) -> DataFrame:
-    """``docs`` with the removed units cut out of their texts; every row stays, and n_chars (if there) is counted anew."""
-    gone = repeated_units(docs, **options).where(F.col("removed") & F.col("doc_id").isNotNull())
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("unit")).alias("_gone"))
-    both = docs.select(*columns).join(gone, "doc_id", "left")
+    """``docs`` without removed units and repeated runs; every row stays, and n_chars (if there) is counted anew."""
+    rows = keyed_rows(docs, columns)
+    gone = repeated_units(_by_row(rows), **options).where("removed")
+    gone = gone.groupBy(F.col("doc_id").alias("_row")).agg(F.array_sort(F.collect_set("unit")).alias("_gone"))
+    lost = repeated_runs(rows, _WORDS).groupBy("_row").agg(F.array_sort(F.collect_list(F.array("from_word", "n_words"))).alias("_lost"))
+    both = rows.join(cut_lineage(gone.join(lost, "_row", "full")), "_row", "left")
 
     @F.pandas_udf("string")
-    def cut(text, gone):
+    def cut(text, gone, lost):
         import pandas as pd
         out = []
-        for t, g in zip(text, gone):
-            if g is None or t is None:
+        for t, g, r in zip(text, gone, lost):
+            if t is None or (g is None and r is None):
                 out.append(t)
                 continue
-            data, lost = t.encode("utf-8", "surrogatepass"), set(g)
-            out.append(b"".join(data[a:b] for i, (a, b, _) in enumerate(units(data)) if i not in lost).decode("utf-8", "replace"))
+            data, dropped = t.encode("utf-8", "surrogatepass"), set() if g is None else set(g)
+            spans = [(a, b) for i, (a, b, _) in enumerate(units(data)) if i in dropped] if dropped else []
+            spans += byte_spans(data, r, _WORDS) if r is not None else []
+            kept, at = [], 0
+            for a, b in sorted(spans):
+                kept.append(data[at:a])
+                at = max(at, b)
+            out.append(b"".join([*kept, data[at:]]).decode("utf-8", "replace"))
         return pd.Series(out, dtype=object)
 
-    both = both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut("text", "_gone")))
+    same = F.col("_gone").isNull() & F.col("_lost").isNull()
+    both = both.withColumn("text", F.when(same, F.col("text")).otherwise(cut("text", "_gone", "_lost")))
     if "n_chars" in columns:
-        both = both.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        both = both.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return both.select(*columns)

@@ -92,8 +92,8 @@ def op9_decontaminate(spark, folder):
 
 @registered
 def op3_substring_dedup(spark, folder):
-    """Every sentence or line that repeats, exactly or nearly, and which copy stays."""
-    return passages.repeated_units(table(spark, folder, "documents"))
+    """Every sentence or line that repeats, exactly or nearly, every repeated run of 50 words or more, and which copy stays."""
+    return passages.repeats(table(spark, folder, "documents"))
 
 
 @registered

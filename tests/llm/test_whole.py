@@ -3,14 +3,20 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from haulstat.llm import decontaminate, near
+from haulstat.llm import decontaminate, near, passages, runs
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@pytest.fixture(scope="module")
+def docs_by_id(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
 def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
@@ -106,3 +112,49 @@ def test_verbatim_copies_of_items_without_literal_windows(spark):
     told = [f"Here we go. {t} Next." for t in items] + [t.lower() for t in items] + [f"so {t.upper()} ok" for t in items] + ["Compute 13 times 7"]
     got = leaks(spark, items, told)
     assert {(k, k % 4) for k in range(12)} <= set(got) and (12, 0) not in got and not any(got[k, k % 4] for k in range(12))
+
+
+def stretches_of(texts):
+    """Brute force over texts in order: words covered by 50-word windows that stand at an earlier place without overlap."""
+    signs = [t.encode().translate(passages._WORDS).split() for t in texts]
+    seen, out = {}, []
+    for i, w in enumerate(signs):
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - 49):
+            j, q = seen.setdefault(tuple(w[p:p + 50]), (i, p))
+            if j < i or q + 50 <= p:
+                gone[p:p + 50] = True
+        out.append([k for k, g in enumerate(gone) if g])
+    return out
+
+
+def test_runs_against_brute_force(spark, docs_by_id):
+    ids = sorted(docs_by_id)
+    frame = spark.createDataFrame([(i, docs_by_id[i]) for i in ids], "_row long, text string")
+    got = defaultdict(set)
+    for r in runs.repeated_runs(frame, passages._WORDS).collect():
+        got[r._row] |= set(range(r.from_word, r.from_word + r.n_words))
+        assert r.keeper_row <= r._row
+    want = {i: set(s) for i, s in zip(ids, stretches_of([docs_by_id[i] for i in ids])) if s}
+    assert dict(got) == want and want
+
+
+def passage_rows():
+    long = " ".join(f"word{k * 7919 % 1000}" for k in range(56))
+    verse = "\n".join(f"line {k} sings of sea{k}" for k in range(14))
+    a = [f"{n}{k}" for n in "pq" for k in range(30)]
+    return long, verse, [(1, f"Start of it.\n{long}\n{verse}\nEnd of the first."), (2, " ".join(a[:30]) + f" {long} " + " ".join(a[30:])),
+                         (3, "Some own words first\n" + verse + "\nand some own words last"), *((None, f"{long} " + " ".join(f"{n}{k}" for k in range(30))) for n in "xy")]
+
+
+def test_passages_inside_lines_and_made_of_short_lines_are_cut(spark):
+    long, verse, rows = passage_rows()
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SHAPE)
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, frame, "").collect()]
+    left = dict(out)
+    assert (1, rows[0][1]) in out
+    assert left[2].split() == rows[1][1].replace(long, "").split()
+    assert left[3] == "Some own words first\nand some own words last"
+    assert sorted(t for i, t in out if i is None) == [" ".join(f"{n}{k}" for k in range(30)) for n in "xy"]
+    found = {(r.doc_id, r.from_word, r.n_words, r.keeper_doc_id) for r in passages.repeats(frame).collect() if r.from_word is not None}
+    assert {(2, 30, 56, 1), (3, 4, 70, 1), (None, 0, 56, 1)} <= found
