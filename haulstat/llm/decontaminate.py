@@ -29,7 +29,7 @@ _TRIM = re.compile(r"^[\"'(\[{<«„“‘¿¡*_#]+|[\"')\]}>»”’.,;:!?*_#]+
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?$")
 _JOINED = re.compile(r"([$€£]?[+-]?\d[\d.,]*)([a-zA-Z]+)$")
 SLOTS = {"n": 0x9E3779B97F4A7C15, "u": 0xC2B2AE3D27D4EB4F, "p": 0x165667B19E3779F9}  # number, unit, proper name
-BASE = np.uint64(0x100000001B3)
+BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Reader:
@@ -90,13 +90,27 @@ class Reader:
         return np.array(hashes, np.uint64), np.array(folded, np.uint64), slots
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse modulo 2 ** 64, kept for the next text."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        many = max(n, 4096)
+        _POWERS = tuple(np.cumprod(np.append(np.uint64(1), np.full(many - 1, x, np.uint64)), dtype=np.uint64)
+                        for x in (int(BASE), pow(int(BASE), -1, 1 << 64)))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_POWERS: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
-    if len(out):
-        for i in range(width):
-            out = (out * BASE + hashes[i:len(hashes) - width + 1 + i])
-            out ^= out >> np.uint64(31)
-    return out + np.uint64(width)
+    """One hash for every ``width`` neighbours: differences of prefix sums, shifted back to power 0."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(hashes))
+    total = np.cumsum(np.append(np.uint64(0), hashes * up), dtype=np.uint64)
+    return (total[width:] - total[:n]) * down[:n] + np.uint64(width)
 
 
 def windows(reader: Reader, text: str | None, width: int, first_is_name: bool = False):
