@@ -172,7 +172,8 @@ def document_windows(docs: DataFrame, widths: list[int], wanted: np.ndarray | No
                             hit = np.arange(len(own))
                         else:
                             hit = np.nonzero(bitmap[own >> np.uint64(64 - bits)])[0]
-                            hit = hit[np.isin(own[hit].view(np.int64), wanted)] if len(hit) else hit
+                            asked = own[hit].view(np.int64)
+                            hit = hit[wanted[np.minimum(np.searchsorted(wanted, asked), len(wanted) - 1)] == asked] if len(hit) else hit
                         low, high = (hit, hit) if verbatim else (np.searchsorted(at, hit), np.searchsorted(at, hit + width))
                         for p, a, b in zip(hit.tolist(), low.tolist(), high.tolist()):
                             yield doc_id, int(own[p].view(np.int64)), p, [v for _, v in slots[a:b]] if b > a and not verbatim else []
