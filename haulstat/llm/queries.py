@@ -5,7 +5,7 @@ import os
 
 import corpus_pipeline
 
-from . import decontaminate, language, lattice, mixing, passages, quality, simhash, suffixes, toxicity, urls
+from . import decontaminate, language, lattice, mixing, passages, quality, simhash, suffixes, toxicity, urls, whitening
 from .common import table
 
 VOCABULARY = os.environ.get("LATTICE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -112,3 +112,9 @@ def pipeline(spark, folder):
 def op8_suffix_dedup(spark, folder):
     """Bytes of every document that an earlier document has already."""
     return suffixes.repeated_bytes(table(spark, folder, "documents")).drop("spans")
+
+
+@registered
+def op11_whitening(spark, folder):
+    """Whitened components of every usable embedding, from exact cross-products."""
+    return whitening.components_of(table(spark, folder, "embeddings"))
