@@ -4,11 +4,13 @@ from __future__ import annotations
 import os
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, lattice, mixing, passages, quality, simhash, suffixes, toxicity, urls, whitening
+from . import decontaminate, language, lattice, mixing, packing, passages, quality, simhash, suffixes, toxicity, urls, whitening
 from .common import table
 
 VOCABULARY = os.environ.get("LATTICE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+PACKING_VOCABULARY = os.environ.get("PACKING_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
 
@@ -118,3 +120,10 @@ def op8_suffix_dedup(spark, folder):
 def op11_whitening(spark, folder):
     """Whitened components of every usable embedding, from exact cross-products."""
     return whitening.components_of(table(spark, folder, "embeddings"))
+
+
+@registered
+def op12_packing(spark, folder):
+    """Pieces of every document in full sequences, with the checksum of their ids."""
+    packed = packing.pack_documents(table(spark, folder, "documents"), PACKING_VOCABULARY)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
