@@ -6,7 +6,8 @@ import os
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lattice, mixing, packing, passages, quality, simhash, suffixes, toxicity, urls, whitening
+from . import (decontaminate, divergence, language, lattice, mixing, packing, passages, quality, simhash, suffixes, toxicity, urls,
+               whitening)
 from .common import table
 
 VOCABULARY = os.environ.get("LATTICE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -127,3 +128,44 @@ def op12_packing(spark, folder):
     """Pieces of every document in full sequences, with the checksum of their ids."""
     packed = packing.pack_documents(table(spark, folder, "documents"), PACKING_VOCABULARY)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@registered
+def op13_divergence(spark, folder):
+    """Distances of the sources of a language, and the terms each source has most too many of."""
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+LLM_ORACLES["op13_divergence"] = r"""
+WITH plain AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+found AS (SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM plain),
+kept AS (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM plain),
+counted AS (SELECT f.lang, f.source, f.term, count(*) AS n FROM found f JOIN kept k ON f.lang = k.lang AND f.term = k.term GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, s.v
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + v))::HUGEINT AS p FROM dense),
+whole AS (
+  SELECT lang, term, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + v))::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n, max(v) AS v FROM dense GROUP BY lang, term)),
+pairs AS (
+  SELECT g.lang, g.source, o.source AS item, coalesce(d.value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+             FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) d
+    ON d.lang = g.lang AND d.source = g.source AND d.item = o.source),
+terms AS (
+  SELECT a.lang, a.source, a.term AS item, ((a.p - w.q) * (a.p - w.q)) // w.q AS value
+  FROM shares a JOIN whole w ON a.lang = w.lang AND a.term = w.term WHERE a.n > 0 AND a.p > w.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
