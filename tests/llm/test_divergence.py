@@ -2,6 +2,7 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from haulstat.llm import divergence
@@ -73,9 +74,10 @@ def test_terms_handed_on_early_are_added_up(spark, monkeypatch):
     import random
     rng = random.Random(4)
     rows = [(rng.choice(["en", "de"]), f"s{rng.randrange(5)}", " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + int(rng.random() ** 3 * 26))}" for _ in range(40))) for _ in range(300)]
-    counts = divergence._Counts()
     monkeypatch.setattr(divergence, "HELD", 50)
-    parts = list(counts((a, b, c.encode()) for a, b, c in rows)) + list(counts.finish())
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2].encode() for r in rows])], ["lang", "source", "text"])
+    parts = [row for out in divergence.count_terms([batch]) for row in zip(*[c.to_pylist() for c in out.columns])]
+    assert len(parts) > len({row[:3] for row in parts})
     sums = Counter()
     for lang, source, term, n, _ in parts:
         if term is not None:
