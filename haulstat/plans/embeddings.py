@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.draws import fold_of, hash32, uniform
 from ..operators import boxes as B
 from ..operators import clusters as C
+from ..operators import permutations as M
 from ..operators import ranking as R
 from ..operators import regression as G
 from ..operators import vectors as V
 from ..session import cut_lineage, spread_out
-from .pricing import SHIFTS, by_key, frame
+from .pricing import SHIFTS, by_key, frame, spec_residuals
 from .registry import query
 
 EMB_SQL = """
@@ -246,37 +247,89 @@ def arm_shortlist(t):
 
 # ---- probes and heads ----
 
+PROBE_DRAWS, LEAST_VEHICLES = 60, 12
+POOLS = {"TR": ("TR",), "US": ("US",), "pooled": ("TR", "US")}
+
+
+def vehicle_embeddings(t):
+    """(vehicle, e0, e1, ...): the mean of a vehicle's photo vectors, of length one. Two photos in a row show one vehicle."""
+    width = t.embeddings.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 0
+    names = [f"e{i}" for i in range(width)]
+    photos = t.embeddings.select(F.floor(F.col("vec_id") / 2).cast("string").alias("vehicle"), *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(names)])
+    means = photos.groupBy("vehicle").agg(*[F.avg(c).alias(c) for c in names])
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))) + 1e-9
+    return means.withColumn("_length", length).select("vehicle", *[(F.col(c) / F.col("_length")).alias(c) for c in names]), names
+
+
+def probe_nulls(df, xs, dims, draws=PROBE_DRAWS, seed="residual"):
+    """Nested R2 of ``y`` on ``xs``, and of ``y`` permuted between the vehicles of a fold, ``draws`` times.
+
+    ``df`` has vehicle, fold, y and the columns xs. The columns' products with each other are summed once; a
+    permuted target needs only its own products with them, added up where the vehicles are.
+    """
+    d = len(xs)
+    cells = {}
+    for (fold,), m in V.gram_cells(df.withColumn("_xs", F.array(*[F.col(c) for c in xs])), ["fold"], "_xs", ["y"]).items():
+        big = np.zeros((d + 2 + draws, d + 2 + draws))
+        big[:d + 2, :d + 2] = m
+        cells[fold] = big
+    place = {"1": 0, **{c: i + 1 for i, c in enumerate(xs)}}
+    for r in M.permuted_sums(df, "y", xs, "vehicle", draws, seed, strata=["fold"], by=["fold"]).where("draw > 0").toLocalIterator():
+        at = d + 1 + r.draw
+        i = at if r.term == "1^2" else place[r.term]
+        cells[r.fold][i, at] = cells[r.fold][at, i] = r.value
+    scores = V.nested_probe(cells, d, 1 + draws, dims=dims)
+    return float(scores[0]), scores[1:]
+
+
+def probe_row(name, df, xs, dims, extra=()):
+    """One line of a probe's table; fewer than ``LEAST_VEHICLES`` vehicles, or fewer than three folds with any, are not asked."""
+    df = cut_lineage(df.withColumn("fold", fold_of(F.col("vehicle"), 5)))
+    n, folds, sd = df.agg(F.count("*"), F.countDistinct("fold"), F.stddev_pop("y")).first()
+    if n < LEAST_VEHICLES or folds < 3:
+        return (name, n, *extra, None, None, None, None, 0, None, "skipped")
+    real, null = probe_nulls(df, xs, dims)
+    p = float(np.mean(null >= real))
+    return (name, n, *extra, float(sd), real, float(np.median(null)), float(np.percentile(null, 95)), len(null), p, "signal" if p < 0.05 else "no_signal")
+
+
+def pool_residuals(t, markets):
+    """(vehicle, y): the mean out-of-fold residual of a vehicle's adverts, fitted on these markets alone."""
+    return spec_residuals(frame(t).where(F.col("market").isin(*markets))).groupBy("vehicle").agg(F.avg("resid").alias("y"))
+
+
 @query("i13_residual_signal_probe")
-def residual_signal_probe(t, replicas: int = 20):
-    """Do the embeddings explain a residual? Nested folds against sign-flipped targets."""
-    y = F.sin(F.col("vec_id").cast("double")) + F.col("label") * 0.0
-    df = t.embeddings.withColumn("fold", fold_of(F.col("vec_id").cast("string"), 5)).withColumn("y0", y)
-    flips = {f"y{r}": F.when(F.pmod(hash32(F.concat(F.lit(f"{r}|"), F.col("vec_id").cast("string"))), F.lit(2)) == 0, F.col("y0")).otherwise(-F.col("y0")) for r in range(1, replicas + 1)}
-    names = ["y0", *flips]
-    cells = V.gram_cells(df.withColumns(flips), ["fold"], "embedding", names)
-    cells = {k[0]: m for k, m in cells.items()}
-    d = next(iter(cells.values())).shape[0] - 1 - len(names)
-    scores = V.nested_probe(cells, d, len(names))
-    null = scores[1:]
-    return t.spark.createDataFrame([(float(scores[0]), float(np.median(null)), float(np.percentile(null, 95)), float(np.mean(null >= scores[0])))],
-                                   "r2 double, null_median double, null_p95 double, p_value double")
+def residual_signal_probe(t):
+    """Do the embeddings explain what the price model leaves? By market and pooled, nested folds against permuted residuals."""
+    vectors, xs = vehicle_embeddings(t)
+    vectors = cut_lineage(vectors)
+    rows = [probe_row(name, pool_residuals(t, markets).join(vectors, "vehicle"), xs, (4, 8, 16, 32)) for name, markets in POOLS.items()]
+    return t.spark.createDataFrame(rows, """pool string, n_vehicles bigint, residual_sd double, r2 double, null_median double, null_p95 double, draws bigint,
+        p_value double, verdict string""")
+
+
+def panel_features(t):
+    """(vehicle, panel_score, one column for each rater's mean level): a rater without a reading of a vehicle counts as 0."""
+    raters = sorted(r["rater"] for r in t.ratings.where("rater is not null").select("rater").distinct().collect())  # a panel
+    share = F.col("level") / 3.0
+    each = [F.coalesce(F.avg(F.when(F.col("rater") == r, share)), F.lit(0.0)).alias(f"rater_{i}") for i, r in enumerate(raters)]
+    return t.ratings.groupBy("vehicle").agg(F.avg(share).alias("panel_score"), *each), ["panel_score", *[f"rater_{i}" for i in range(len(raters))]]
 
 
 @query("i14_panel_score_probe")
-def panel_score_probe(t, replicas: int = 20):
-    """Do panel scores explain a residual, where they spread enough to be asked?"""
-    v = t.ratings.groupBy("vehicle").agg(F.array(F.avg("level"), F.stddev_pop("level"), F.avg("hidden").cast("double"), F.avg((F.col("level") == 3).cast("double"))).alias("x"),
-                                         F.avg(F.col("seq") % 17).alias("y0"))
-    centre = v.agg(F.avg("y0").alias("mu"))
-    df = R.with_row(v, centre, "mu").withColumn("y0", F.col("y0") - F.col("mu")).withColumn("fold", fold_of(F.col("vehicle"), 5))
-    spread = t.ratings.agg(F.stddev_pop("level").alias("sd")).first()["sd"]
-    flips = {f"y{r}": F.when(F.pmod(hash32(F.concat(F.lit(f"{r}|"), F.col("vehicle"))), F.lit(2)) == 0, F.col("y0")).otherwise(-F.col("y0")) for r in range(1, replicas + 1)}
-    names = ["y0", *flips]
-    cells = {k[0]: m for k, m in V.gram_cells(df.withColumns(flips), ["fold"], "x", names).items()}
-    scores = V.nested_probe(cells, 4, len(names), dims=(1, 2, 4))
-    p = float(np.mean(scores[1:] >= scores[0]))
-    decision = "no_spread" if spread < 0.1 else ("signal" if p < 0.05 else "no_signal")
-    return t.spark.createDataFrame([(float(spread), float(scores[0]), p, decision)], "spread double, r2 double, p_value double, decision string")
+def panel_score_probe(t):
+    """Do panel scores explain what the price model leaves, where they spread at all? The same pools and null; alpha alone is chosen."""
+    features, xs = panel_features(t)
+    features = cut_lineage(features)
+    rows = []
+    for name, markets in POOLS.items():
+        df = cut_lineage(pool_residuals(t, markets).join(features, "vehicle"))
+        spread = df.agg(F.stddev_samp("panel_score").alias("sd"), F.countDistinct("panel_score").alias("n")).first()
+        row = probe_row(name, df, xs, (len(xs),), (spread["sd"], spread["n"]))
+        rows.append((*row[:-1], "no_spread" if row[-1] != "skipped" and spread["sd"] < 0.05 else row[-1]))
+    passed = sum(1 for r in rows if r[0] in ("TR", "pooled") and r[-1] == "signal" and r[5] > r[7])
+    return t.spark.createDataFrame([(*r, passed >= 2) for r in rows], """pool string, n_vehicles bigint, spread double, distinct_scores bigint, residual_sd double, r2 double, null_median double,
+        null_p95 double, draws bigint, p_value double, verdict string, weights_may_be_fitted boolean""")
 
 
 @query("i15_usage_dummy_probe")

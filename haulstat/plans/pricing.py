@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import fold_of, uniform
 from ..functions import listings as L
+from ..operators import holdouts as H
 from ..operators import neighbours as N
+from ..operators import permutations as M
 from ..operators import prices as P
 from ..operators import ranking as R
 from ..operators import regression as G
 from ..session import cut_lineage, small_table, spread_out
 from .registry import query
+from .statements import permuted_sql, ridge_sql
 
 DENSE = ["log1p_age", "log_km", "euro6", "np_value", "np_missing"]
 SHIFTS = {"log1p_age": 2.0, "log_km": 12.0, "y": 10.0}
@@ -209,6 +212,40 @@ def ridge_full(t):
                                    "feature string, coef double, scale double")
 
 
+# Columns of the statement: 1-5 dense, 6 and 7 markets, 8 other makes, 9-34 the makes.
+RESIDUAL_SQL = FRAME_SQL + """,
+priced AS (SELECT *, avg(ln(new_price)) OVER () AS fill, CASE WHEN count(*) OVER (PARTITION BY brand) >= 5 THEN 8 + dense_rank() OVER (ORDER BY brand) ELSE 8 END AS b FROM frame),
+d AS (SELECT listing_id, fold, b, log1p_age - 2 AS x1, log_km - 12 AS x2, euro6 AS x3, coalesce(ln(new_price), fill) AS x4, (new_price IS NULL)::DOUBLE AS x5, (market = 'TR')::DOUBLE AS x6, (market = 'EU')::DOUBLE AS x7, y - 10 AS z FROM priced),
+long AS (SELECT listing_id, fold, b, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 3, 'x': x3}, {'i': 4, 'x': x4}, {'i': 5, 'x': x5}, {'i': 6, 'x': x6}, {'i': 7, 'x': x7}, {'i': 999, 'x': z}], recursive := true) FROM d),
+pairs AS (SELECT s.fold, s.b, s.i, t.i AS j, sum(s.x * t.x) AS v FROM long s JOIN long t USING (listing_id) GROUP BY ALL),
+moments AS (SELECT 'all' AS tag, fold, i, j, sum(v) AS v FROM (SELECT fold, i, j, v FROM pairs UNION ALL SELECT fold, b, j, v FROM pairs WHERE i = 0 UNION ALL SELECT fold, j, b, v FROM pairs WHERE i = 0
+  UNION ALL SELECT fold, b, b, v FROM pairs WHERE i = 0 AND j = 0) GROUP BY ALL),""" + ridge_sql("fit", "moments", 34) + """,
+resid AS (SELECT l.listing_id, any_value(l.fold) AS fold, sum(l.x * f.b) + any_value(m.b) AS resid FROM long l JOIN fit_beta f ON f.fold = l.fold AND f.i = l.i AND l.i > 0 JOIN fit_beta m ON m.fold = l.fold AND m.i = l.b GROUP BY 1),
+constants AS (SELECT fold, b AS c FROM fit_beta WHERE i = 0),
+residuals AS (SELECT listing_id, split_part(listing_id, '-', 1) AS vehicle, resid + c AS resid FROM resid JOIN constants USING (fold))"""
+
+
+def spec_residuals(df):
+    """(listing_id, vehicle, market, resid): out-of-fold residuals of the full design, folds of whole spec groups, as a stored table."""
+    rows = full_cells(df, ["fold", "market", "brand"])
+    design, brands = full_design(rows)
+    whole = design.moments(rows)
+    prepare, fill = imputer(design, whole)
+    fits = [({"fold": int(f)}, G.fit(prepare(whole - design.moments(part)), design.columns)) for f, part in by_key(rows, "fold").items()]
+    lines = G.line_table(df.sparkSession, fits, design, {"market": ["TR", "EU", "US"], "brand_used": brands}).withColumn("fold", F.col("fold").cast("int"))
+    filled = df.withColumn("np_value", F.when(F.col("np_missing") == 1, F.lit(float(fill))).otherwise(F.col("np_value")))
+    filled = filled.withColumn("brand_used", F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other"))
+    scored = G.score(filled, lines, ["fold", "market", "brand_used"], design)
+    return cut_lineage(scored.select("listing_id", F.split_part("listing_id", F.lit("-"), F.lit(1)).alias("vehicle"), "market", (F.col("y") - F.col("predicted")).alias("resid")))
+
+
+@query("i13_vehicle_residuals", "listings", "WITH_RECURSIVE " + RESIDUAL_SQL + """
+SELECT vehicle, count(*) AS n_listings, round(avg(resid), 6) AS residual FROM residuals GROUP BY 1""")
+def vehicle_residuals(t):
+    """The residual a vehicle's adverts share: the target of the probes."""
+    return spec_residuals(frame(t)).groupBy("vehicle").agg(F.count("*").alias("n_listings"), F.round(F.avg("resid"), 6).alias("residual"))
+
+
 NO_PRICE = ["log1p_age", "log_km", "euro6"]
 
 
@@ -353,76 +390,177 @@ def brand_holdouts(t, level, markets=("TR", "EU", "US")):
     return stats.join(widen, by).join(middle, by).withColumn("median_ape", F.round("median_ape", 4))
 
 
-@query("i07_anchor_holdout")
+# Columns of the statement: 1-3 dense, 4 other makes, 5-30 the makes. A tag is a held-out make.
+HOLDOUT_SQL = FRAME_SQL + """,
+d AS (SELECT listing_id, brand, fold, log1p_age - 2 AS x1, log_km - 12 AS x2, euro6 AS x3, y, y - 10 AS z, ln(new_price) AS p, new_price_source AS src, y - ln(new_price) AS k, count(*) OVER (PARTITION BY brand) AS size,
+  CASE WHEN count(*) OVER (PARTITION BY brand) >= 3 THEN 4 + dense_rank() OVER (ORDER BY brand) ELSE 4 END AS b FROM frame WHERE market = 'TR'),
+held AS (SELECT brand AS tag, max(size) AS size FROM d GROUP BY 1 HAVING max(size) >= 3 AND (SELECT count(*) FROM d) - max(size) >= 8),
+long AS (SELECT listing_id, brand, fold, b, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 3, 'x': x3}, {'i': 999, 'x': z}], recursive := true) FROM d),
+pairs AS (SELECT s.brand, s.fold, s.b, s.i, t.i AS j, sum(s.x * t.x) AS v FROM long s JOIN long t USING (listing_id) GROUP BY ALL),
+by_make AS (SELECT brand, fold, i, j, v FROM pairs UNION ALL SELECT brand, fold, b, j, v FROM pairs WHERE i = 0 UNION ALL SELECT brand, fold, j, b, v FROM pairs WHERE i = 0
+  UNION ALL SELECT brand, fold, b, b, v FROM pairs WHERE i = 0 AND j = 0),
+rest AS (SELECT tag, fold, i, j, sum(v) AS v FROM held JOIN by_make ON brand <> tag GROUP BY ALL),
+rest_whole AS (SELECT tag, -1 AS fold, i, j, sum(v) AS v FROM rest GROUP BY ALL),
+ret_long AS (SELECT listing_id, brand, fold, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 999, 'x': k}], recursive := true) FROM d WHERE p IS NOT NULL),
+ret_pairs AS (SELECT s.brand, s.fold, s.i, t.i AS j, sum(s.x * t.x) AS v FROM ret_long s JOIN ret_long t USING (listing_id) GROUP BY ALL),
+ret AS (SELECT tag, fold, i, j, sum(v) AS v FROM held JOIN ret_pairs ON brand <> tag GROUP BY ALL),
+ret_whole AS (SELECT tag, -1 AS fold, i, j, sum(v) AS v FROM ret GROUP BY ALL),""" + ",".join([
+    ridge_sql("hed", "rest", 30), ridge_sql("full", "rest_whole", 30, False), ridge_sql("cur", "ret", 2), ridge_sql("curve", "ret_whole", 2, False)]) + """,
+lines AS (SELECT 'hed' AS fit, * FROM hed_beta UNION ALL SELECT 'full', * FROM full_beta UNION ALL SELECT 'cur', * FROM cur_beta UNION ALL SELECT 'curve', * FROM curve_beta),
+line AS (SELECT fit, tag, fold, max(CASE WHEN i = 0 THEN b END) AS b0, max(CASE WHEN i = 1 THEN b END) AS b1, max(CASE WHEN i = 2 THEN b END) AS b2, max(CASE WHEN i = 3 THEN b END) AS b3 FROM lines GROUP BY ALL),
+inner_resid AS (SELECT l.tag, d.z + l.b0 + l.b1 * x1 + l.b2 * x2 + l.b3 * x3 + m.b AS r FROM d JOIN line l ON l.fit = 'hed' AND l.fold = d.fold AND l.tag <> d.brand
+  JOIN lines m ON m.fit = 'hed' AND m.tag = l.tag AND m.fold = l.fold AND m.i = d.b),
+spread AS (SELECT tag, stddev_pop(r) AS sd, quantile_cont(r, 0.1) AS lo, quantile_cont(r, 0.9) AS hi FROM inner_resid GROUP BY 1),
+ret_spread AS (SELECT l.tag, stddev_pop(d.k + l.b0 + l.b1 * x1 + l.b2 * x2) AS sd, count(*) AS n FROM d JOIN line l ON l.fit = 'cur' AND l.fold = d.fold AND l.tag <> d.brand WHERE d.p IS NOT NULL GROUP BY 1),
+priced AS (SELECT d.brand, d.y, s.sd, s.lo, s.hi, 10 - (l.b0 + l.b1 * x1 + l.b2 * x2 + l.b3 * x3 + m.b) AS mu, CASE WHEN c.n >= 20 THEN d.p - (r.b0 + r.b1 * x1 + r.b2 * x2) END AS other, c.sd * CASE WHEN d.src = 'oem_official' THEN 1.0 ELSE 1.35 END AS osd
+  FROM d JOIN spread s ON s.tag = d.brand JOIN line l ON l.fit = 'full' AND l.tag = d.brand JOIN lines m ON m.fit = 'full' AND m.tag = d.brand AND m.i = 4
+  LEFT JOIN ret_spread c ON c.tag = d.brand LEFT JOIN line r ON r.fit = 'curve' AND r.tag = d.brand),
+weighed AS (SELECT *, 1 / (sd * 1.85::DOUBLE) ** 2 AS w, CASE WHEN other IS NOT NULL THEN 1 / greatest(osd, 1e-6) ** 2 END AS v FROM priced),
+blended AS (SELECT *, coalesce((w * mu + v * other) / (w + v), mu) AS both_mu, CASE WHEN other IS NULL THEN 1.85::DOUBLE ELSE greatest(1.0, sqrt(1 / (w + v)) / sd) END AS f, v / (w + v) AS weight FROM weighed),
+report AS (SELECT brand, count(*) AS n_held_out, round(avg((y BETWEEN mu + lo * 1.85::DOUBLE AND mu + hi * 1.85::DOUBLE)::INT), 3) AS coverage_widened_only, round(avg((y BETWEEN both_mu + lo * f AND both_mu + hi * f)::INT), 3) AS coverage_with_anchor,
+  round(median(abs(exp(mu - y) - 1)) * 100, 1) AS median_ape_widened_only, round(median(abs(exp(both_mu - y) - 1)) * 100, 1) AS median_ape_with_anchor,
+  1.85::DOUBLE AS band_factor_widened_only, round(avg(f), 2) AS band_factor_with_anchor, round(coalesce(avg(weight), 0), 3) AS mean_anchor_weight FROM blended GROUP BY 1)"""
+
+
+def anchor_report(t):
+    report = H.holdout_report(H.price_unknown_makes(frame(t).where("market = 'TR'")))
+    r = lambda c, n, name=None: F.round(c, n).alias(name or c)
+    return report.select(F.col("held").alias("brand"), "n_held_out", r("coverage_widened_only", 3), r("coverage_with_anchor", 3), r("median_plain", 1, "median_ape_widened_only"),
+                         r("median_anchored", 1, "median_ape_with_anchor"), F.lit(P.UNKNOWN_BRAND_WIDENING).alias("band_factor_widened_only"), r("band_factor_with_anchor", 2), r("mean_anchor_weight", 3))
+
+
+@query("i07_anchor_holdout", "listings", "WITH_RECURSIVE " + HOLDOUT_SQL + " SELECT * FROM report")
 def anchor_holdout(t):
     """Whole makes priced as unknowns: widening alone against the blended new-price route."""
-    df = frame(t).where("market = 'TR'")
-    design, fits = two_column_fits(df, "y")
-    priced = df.where("new_price is not null").withColumn("z", F.log(F.col("price") / F.col("new_price")))
-    ret_design, ret_fits = two_column_fits(priced, "z")
-    curve = ret_fits[0][1]
-    scored = out_of_fold_residuals(t, df, design, fits)
-    spread = scored.agg(F.stddev_pop("resid").alias("sd"))
-    bands = R.exact_percentiles(scored, [], "resid", [0.1, 0.9], ["lo", "hi"])
-    scored = R.with_row(R.with_row(scored, spread, "sd"), bands, "lo", "hi")
-    anchor = {"mean": [float(m + SHIFTS[c]) for m, c in zip(curve.mean, ret_design.dense)], "scale": curve.scale.tolist(), "coef": curve.coef.tolist(),
-              "intercept": float(curve.intercept)}
-    other = F.log("new_price") + P.retention(anchor, F.col("log1p_age"), F.col("log_km"))
-    source = F.coalesce(F.element_at(L.alias_map(P.SOURCE_WIDENING), F.col("new_price_source")), F.lit(1.35))
-    mu, sd, weight = P.blend(F.col("predicted"), F.col("sd") * P.UNKNOWN_BRAND_WIDENING, other, F.col("sd") * source)
-    has = F.col("new_price").isNotNull()
-    factor = F.when(has, F.greatest(F.lit(1.0), sd / F.col("sd"))).otherwise(P.UNKNOWN_BRAND_WIDENING)
-    final = F.when(has, mu).otherwise(F.col("predicted"))
-    y = F.col("y")
-    plain = y.between(F.col("predicted") + F.col("lo") * P.UNKNOWN_BRAND_WIDENING, F.col("predicted") + F.col("hi") * P.UNKNOWN_BRAND_WIDENING)
-    anchored = y.between(final + F.col("lo") * factor, final + F.col("hi") * factor)
-    return scored.groupBy("brand").agg(
-        F.count("*").alias("n_held_out"), F.round(F.avg(plain.cast("double")), 3).alias("coverage_widened_only"),
-        F.round(F.avg(anchored.cast("double")), 3).alias("coverage_with_anchor"), F.round(F.avg(factor), 2).alias("band_factor"),
-        F.round(F.avg(F.when(has, weight)), 3).alias("mean_anchor_weight"))
-
-
-@query("i08_new_price_permutations")
-def new_price_permutations(t):
-    """Exact over all assignments of prices to models, and a random-draw null over rows.
+    return anchor_report(t)
+
+
+@query("i07_anchor_holdout_summary", "listings", "WITH_RECURSIVE " + HOLDOUT_SQL + """
+SELECT count(*) > 0 AS ran, count(*) AS holdouts, round(median(median_ape_widened_only), 2) AS median_ape_widened_only, round(median(median_ape_with_anchor), 2) AS median_ape_with_anchor FROM report""")
+def anchor_holdout_summary(t):
+    """Medians of both routes' errors over the held-out makes."""
+    report = anchor_report(t)
+    return report.agg((F.count("*") > 0).alias("ran"), F.count("*").alias("holdouts"), F.round(F.median("median_ape_widened_only"), 2).alias("median_ape_widened_only"),
+                      F.round(F.median("median_ape_with_anchor"), 2).alias("median_ape_with_anchor"))
+
+
+PERMUTED_COLUMNS = ["log1p_age", "log_km", "euro6"]
+NULL_DRAWS, EXACT_MODELS = 200, 8
+# Columns of the statement: 1-3 dense, 4 the new price, 5 other makes, 6-30 the makes.
+PERMUTATION_SQL = FRAME_SQL + """,
+d AS (SELECT listing_id, fold, brand || '|' || model AS key, log1p_age - 2 AS x1, log_km - 12 AS x2, euro6 AS x3, ln(new_price) AS p, y - 10 AS z,
+  CASE WHEN count(*) OVER (PARTITION BY brand) >= 5 THEN 5 + dense_rank() OVER (ORDER BY brand) ELSE 5 END AS b FROM frame WHERE market = 'TR' AND new_price IS NOT NULL),
+long AS (SELECT fold, b, listing_id, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 3, 'x': x3}, {'i': 999, 'x': z}], recursive := true) FROM d),
+pairs AS (SELECT s.fold, s.b, s.i, t.i AS j, sum(s.x * t.x) AS v FROM long s JOIN long t USING (listing_id) GROUP BY ALL),
+base AS (SELECT fold, i, j, sum(v) AS v FROM (SELECT fold, i, j, v FROM pairs UNION ALL SELECT fold, b, j, v FROM pairs WHERE i = 0 UNION ALL SELECT fold, j, b, v FROM pairs WHERE i = 0
+  UNION ALL SELECT fold, b, b, v FROM pairs WHERE i = 0 AND j = 0) GROUP BY ALL),
+keys AS (SELECT key, max(p) AS p FROM d GROUP BY 1),""" + permuted_sql("by_model", "keys", "p", "key", "", NULL_DRAWS, "np-model") + "," + permuted_sql("by_row", "d", "p", "listing_id", "", NULL_DRAWS, "np-row") + """,
+cells AS (SELECT fold, b, key, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3, sum(z) AS sz FROM d GROUP BY ALL),
+crossed AS (SELECT 'm' || draw AS tag, fold, b, sum(pv * n) AS c0, sum(pv * s1) AS c1, sum(pv * s2) AS c2, sum(pv * s3) AS c3, sum(pv * sz) AS cz, sum(pv * pv * n) AS cc
+  FROM by_model JOIN cells USING (key) GROUP BY ALL
+  UNION ALL SELECT 'r' || draw, fold, b, sum(pv), sum(pv * x1), sum(pv * x2), sum(pv * x3), sum(pv * z), sum(pv * pv) FROM by_row WHERE draw > 0 GROUP BY ALL),
+priced AS (SELECT tag, fold, j, sum(v) AS v FROM (SELECT tag, fold, unnest([{'j': 0, 'v': c0}, {'j': 1, 'v': c1}, {'j': 2, 'v': c2}, {'j': 3, 'v': c3}, {'j': 999, 'v': cz}, {'j': 4, 'v': cc}, {'j': b, 'v': c0}], recursive := true)
+  FROM crossed) GROUP BY ALL),
+moments AS (SELECT tag, fold, i, j, v FROM (SELECT DISTINCT tag FROM crossed) CROSS JOIN base UNION ALL SELECT tag, fold, 4, j, v FROM priced UNION ALL SELECT tag, fold, j, 4, v FROM priced WHERE j <> 4),""" + ridge_sql(
+    "fit", "moments", 30)
+
+
+def permuted_column(per_fold, design, sums, name="np"):
+    """(draw -> R2) of ``design`` with one more column, whose products with the others are given for each draw and fold.
+
+    ``sums`` maps (draw, fold, x) to the sum of x times the column, x a column, 1, the target, or ``column^2``.
+    """
+    columns = [*design.columns, name]
+    draws = sorted({d for d, _, _ in sums})
+    at = len(columns)
+    out = {}
+    for d in draws:
+        folds = {}
+        for f, m in per_fold.items():
+            big = np.insert(np.insert(m, at, 0.0, axis=0), at, 0.0, axis=1)
+            line = np.array([sums.get((d, f, c), 0.0) for c in ["1", *design.columns, f"{name}^2", design.target]])
+            big[at, :], big[:, at] = line, line
+            folds[f] = big
+        whole = sum(folds.values())
+        left = sum(G.squared_error(m, columns, G.fit(whole - m, columns)) for m in folds.values())
+        out[d] = float(1 - left / G.total_squares(whole))
+    return out
+
 
-    The price is constant inside a (make, model) cell, so every assignment is
-    scored from the same cells; the row null draws values from the observed
-    distribution inside each row, so no replica is ever shuffled.
+def price_nulls(df, draws=NULL_DRAWS, exact_models=EXACT_MODELS):
+    """Is the new-price column worth its values? R2 of the truth, of permuted assignments to models, and of permuted rows.
+
+    ``df`` has listing_id, brand, model, fold, y, the dense columns and log_new_price, one value for
+    each (brand, model). The assignments of every model's price are permuted ``draws`` times, and all of
+    them are tried where there are at most ``exact_models``; the rows' values are permuted ``draws`` times. The price is
+    constant inside a (fold, brand, model) cell, so assignments are scored from the cells' sums.
     """
-    df = frame(t).where("market = 'TR' and new_price is not null")
-    xs = ["log1p_age", "log_km"]
-    by_model = df.groupBy("model").agg(F.avg("log_new_price").alias("log_new_price"))
-    values = {r["model"]: r["log_new_price"] for r in G.to_driver(by_model)}
-    models = sorted(values)
-    if not 2 <= len(models) <= 8:
-        raise ValueError("the exact test enumerates two to eight models")
-    rows = G.to_driver(G.moment_cells(df, ["fold", "model"], xs, "y", SHIFTS))
-    design = G.Design([*xs, "np"], {}, SHIFTS)
-
-    def r2(assigned):
-        cells = []
-        for r in rows:
-            v = assigned[r["model"]]
-            cells.append({**r, "s_np": v * r["n"], "s_np_y": v * r["s_y"], "s_np_np": v * v * r["n"],
-                          "s_log1p_age_np": v * r["s_log1p_age"], "s_log_km_np": v * r["s_log_km"]})
-        return G.r_squared(by_key(cells, "fold"), design)["r2"]
-
-    observed = r2(values)
-    across = [r2(dict(zip(models, p))) for p in itertools.permutations(values[m] for m in models)]
-    draws = 50
-    cut = np.cumsum([1 / len(models)] * len(models))
-    u = F.col("u")
-    picked = F.lit(float(values[models[-1]]))
-    for edge, m in reversed(list(zip(cut[:-1], models[:-1]))):
-        picked = F.when(u <= float(edge), float(values[m])).otherwise(picked)
-    replicas = (spread_out(cut_lineage(df.select("fold", "y", *xs, "listing_id"))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-                .withColumn("u", uniform("np-null", "draw", "listing_id")).withColumn("np", picked))
-    cells = G.to_driver(G.moment_cells(replicas, ["draw", "fold"], [*xs, "np"], "y", SHIFTS))
-    null = [G.r_squared(by_key(part, "fold"), design)["r2"] for part in by_key(cells, "draw").values()]
-    rank = sum(1 for v in across if v >= observed - 1e-9)
-    row = (float(observed), len(across), rank, rank / len(across), 1 / len(across), float(np.mean([v >= observed for v in null])), float(max(null)))
-    return t.spark.createDataFrame([row], "observed_r2 double, permutations bigint, rank_of_truth bigint, p_exact double, p_floor double, p_rows double, null_max double")
+    xs = PERMUTED_COLUMNS
+    counts = G.to_driver(df.groupBy("brand").agg(F.count("*").alias("n")))
+    brands = sorted(r["brand"] for r in counts if r["n"] >= 5) + ["other"]
+    moved = {c: F.col(c) - SHIFTS.get(c, 0.0) for c in [*xs, "y"]}
+    df = cut_lineage(df.select("listing_id", "fold", "log_new_price", F.concat_ws("|", "brand", "model").alias("key"), *[v.alias(c) for c, v in moved.items()],
+                               F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other").alias("brand_used")))
+    design = G.Design(xs, {"brand_used": brands})
+    cells = G.to_driver(G.moment_cells(df, ["fold", "brand_used"], xs, "y"))
+    per_fold = {f: design.moments(rows) for f, rows in by_key(cells, "fold").items()}
+    folds = sorted(per_fold)
+
+    def in_design(draw, fold, brand, term, value, sums):
+        names = {"1^2": ["np^2"], "1": ["1", f"brand_used_{brand}"]}.get(term, [term])
+        for name in names:
+            sums[draw, fold, name] = sums.get((draw, fold, name), 0.0) + value
+
+    by_row: dict = {}
+    for r in M.permuted_sums(df, "log_new_price", [*xs, "y"], "listing_id", draws, "np-row", by=["fold", "brand_used"]).collect():
+        in_design(r.draw, r.fold, r.brand_used, r.term, r.value, by_row)
+    n_of = {f: F.count(F.when(F.col("fold") == f, 1)).alias(f"{f}|1") for f in folds}
+    sum_of = [F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0)).alias(f"{f}|{c}") for f in folds for c in [*xs, "y"]]
+    keys = cut_lineage(df.groupBy("brand_used", "key").agg(F.max("log_new_price").alias("value"), *n_of.values(), *sum_of))
+    names = [f"{f}|{c}" for f in folds for c in ["1", *xs, "y"]]
+    by_model: dict = {}
+    for r in M.permuted_sums(keys, "value", names, "key", draws, "np-model", by=["brand_used"], squares=[f"{f}|1" for f in folds]).collect():
+        if "|" in r.term:
+            fold, term = r.term.split("|")
+            in_design(r.draw, int(fold), r.brand_used, {"1^2": "1^2"}.get(term, term), r.value, by_model)
+    rows_null = permuted_column(per_fold, design, by_row)
+    models_null = permuted_column(per_fold, design, by_model)
+    observed = models_null.pop(0)
+    rows_null.pop(0)
+    few = keys.limit(exact_models + 1).collect()
+    exact = None
+    if 2 <= len(few) <= exact_models:
+        exact = []
+        for order in itertools.permutations([r["value"] for r in few]):
+            sums: dict = {}
+            for r, v in zip(few, order):
+                for name in names:
+                    fold, term = name.split("|")
+                    in_design(0, int(fold), r["brand_used"], term, v * r[name], sums)
+                    if term == "1":
+                        in_design(0, int(fold), r["brand_used"], "1^2", v * v * r[name], sums)
+            exact.append(permuted_column(per_fold, design, sums)[0])
+    return {"observed": observed, "models": [models_null[d] for d in sorted(models_null)], "rows": [rows_null[d] for d in sorted(rows_null)], "exact": exact,
+            "n_models": keys.count()}
+
+
+@query("i08_new_price_permutations", "listings", "WITH_RECURSIVE " + PERMUTATION_SQL + """,
+o AS (SELECT r2 AS observed FROM fit_r2 WHERE tag = 'm0'), m AS (SELECT * FROM fit_r2, o WHERE tag LIKE 'm%' AND tag <> 'm0'), w AS (SELECT * FROM fit_r2, o WHERE tag LIKE 'r%')
+SELECT round(observed, 4) AS observed_r2, (SELECT count(*) FROM keys) AS n_models, NULL::BIGINT AS permutations, NULL::BIGINT AS rank_of_truth, NULL::DOUBLE AS p_exact, (SELECT count(*) FROM m) AS model_draws,
+ (SELECT round((1 + count(*) FILTER (WHERE r2 >= observed - 1e-9)) / (1.0::DOUBLE + count(*)), 4) FROM m) AS p_models, (SELECT round(max(r2), 4) FROM m) AS models_max, (SELECT round(median(r2), 4) FROM m) AS models_median,
+ (SELECT count(*) FROM w) AS row_draws, (SELECT round((1 + count(*) FILTER (WHERE r2 >= observed - 1e-9)) / (1.0::DOUBLE + count(*)), 4) FROM w) AS p_rows, (SELECT round(max(r2), 4) FROM w) AS rows_max, (SELECT round(avg(r2), 4) FROM w) AS rows_mean
+FROM o""")
+def new_price_permutations(t):
+    """Truth against 200 assignments of the prices to models (all of them where models are few) and 200 permutations of the rows."""
+    nulls = price_nulls(frame(t).where("market = 'TR' and new_price is not null"))
+    observed, exact = nulls["observed"], nulls["exact"]
+    reach = None if exact is None else sum(1 for v in exact if v >= observed - 1e-9)
+    r4 = lambda v: round(float(v), 4)
+    row = (r4(observed), nulls["n_models"], None if exact is None else len(exact), reach, None if exact is None else r4(reach / len(exact)),
+           len(nulls["models"]), r4(M.exact_share(nulls["models"], observed)[1]), r4(max(nulls["models"])), r4(np.median(nulls["models"])),
+           len(nulls["rows"]), r4(M.exact_share(nulls["rows"], observed)[1]), r4(max(nulls["rows"])), r4(np.mean(nulls["rows"])))
+    return t.spark.createDataFrame([row], """observed_r2 double, n_models bigint, permutations bigint, rank_of_truth bigint, p_exact double, model_draws bigint,
+        p_models double, models_max double, models_median double, row_draws bigint, p_rows double, rows_max double, rows_mean double""")
 
 
 @query("i11_model_card")

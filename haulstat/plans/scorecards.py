@@ -4,13 +4,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_key
 from ..operators import facets as FA
 from ..operators import intervals as I
+from ..operators import permutations as M
 from ..operators import ranking as R
 from ..operators import regression as G
-from ..session import cut_lineage, spread_out
+from ..session import cut_lineage
 from .registry import query
+from .statements import permuted_sql
 
 WILSON_SQL = """CASE WHEN n > 0 THEN greatest(0, (h / n + 3.8416 / (2 * n) - 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) END AS ci_lo,
  CASE WHEN n > 0 THEN least(1, (h / n + 3.8416 / (2 * n) + 1.96 * sqrt(h / n * (1 - h / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) END AS ci_hi"""
@@ -192,9 +193,10 @@ def correlations(row, names):
 
 def partial(r, a, b, controls):
     """Correlation of a and b with the controls taken out."""
-    keep = [a, b, *controls]
-    p = np.linalg.inv(r[np.ix_(keep, keep)])
-    return float(-p[0, 1] / np.sqrt(p[0, 0] * p[1, 1]))
+    pair = [a, b]
+    left = r[np.ix_(pair, pair)] - r[np.ix_(pair, controls)] @ np.linalg.pinv(r[np.ix_(controls, controls)]) @ r[np.ix_(controls, pair)]
+    spread = left[0, 0] * left[1, 1]
+    return float(left[0, 1] / np.sqrt(spread)) if spread > 0 else float("nan")
 
 
 def rank_frame(t):
@@ -224,17 +226,59 @@ def rank_sums(df, by, names):
     return G.to_driver(df.groupBy(*by).agg(*sums))
 
 
-@query("i16_stratified_null")
-def stratified_null(t, draws: int = 20):
-    """Distances shuffled inside (market, make): the n-th row in draw order takes the n-th distance."""
+STRATIFIED_DRAWS = 2000
+STRATIFIED_SQL = """
+r0 AS (SELECT listing_id, market, make, rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0::DOUBLE AS d, rank() OVER (ORDER BY km) + (count(*) OVER (PARTITION BY km) - 1) / 2.0::DOUBLE AS k,
+ rank() OVER (ORDER BY -year) + (count(*) OVER (PARTITION BY year) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY n_images) + (count(*) OVER (PARTITION BY n_images) - 1) / 2.0::DOUBLE AS q, count(*) OVER () AS n FROM listings WHERE km IS NOT NULL),
+r AS (SELECT listing_id, market, make, n, d - (n + 1) / 2.0::DOUBLE AS d, k - (n + 1) / 2.0::DOUBLE AS k, a - (n + 1) / 2.0::DOUBLE AS a, q - (n + 1) / 2.0::DOUBLE AS q FROM r0),
+fixed AS (SELECT sum(d * d) AS dd, sum(a * a) AS aa, sum(q * q) AS qq, sum(k * k) AS kk, sum(d * a) AS da, sum(d * q) AS dq, sum(a * q) AS aq FROM r),""" + permuted_sql(
+    "shuffled", "r", "k", "listing_id", "market, make", STRATIFIED_DRAWS, "null") + """,
+c AS (SELECT draw, sum(d * pv) / sqrt(any_value(dd) * any_value(kk)) AS dk, sum(pv * a) / sqrt(any_value(kk) * any_value(aa)) AS ka, sum(pv * q) / sqrt(any_value(kk) * any_value(qq)) AS kq,
+  any_value(da / sqrt(dd * aa)) AS da, any_value(dq / sqrt(dd * qq)) AS dq, any_value(aq / sqrt(aa * qq)) AS aq FROM shuffled, fixed GROUP BY 1),
+p AS (SELECT draw, (dk - da * ka) / sqrt((1 - da * da) * (1 - ka * ka)) AS dk_a, (dq - da * aq) / sqrt((1 - da * da) * (1 - aq * aq)) AS dq_a, (kq - ka * aq) / sqrt((1 - ka * ka) * (1 - aq * aq)) AS kq_a FROM c),
+s AS (SELECT draw, (dk_a - dq_a * kq_a) / sqrt((1 - dq_a * dq_a) * (1 - kq_a * kq_a)) AS rho FROM p), o AS (SELECT rho AS observed FROM s WHERE draw = 0)"""
+
+
+@query("i16_stratified_null", "listings", STRATIFIED_SQL + """
+SELECT round(max(observed), 6) AS rho_partial, count(*) AS draws, round(avg(rho), 6) AS null_mean, round(quantile_cont(rho, 0.025), 6) AS null_low, round(quantile_cont(rho, 0.975), 6) AS null_high,
+ round((1 + count(*) FILTER (WHERE rho <= observed + 1e-12)) / (1.0::DOUBLE + count(*)), 6) AS negative_tail_p FROM s, o WHERE draw > 0""")
+def stratified_null(t, draws: int = STRATIFIED_DRAWS):
+    """Distances permuted inside (market, make): how often is the partial correlation at least this negative?
+
+    Only the products of the permuted rank with the three other ranks change from draw to draw,
+    so a draw is four sums, added up where the rows are.
+    """
+    ranks = rank_frame(t)
+    n = ranks.agg(F.count("*").alias("n"))
     names = ["demerit_r", "km_r", "age_r", "quality_r"]
-    df = cut_lineage(rank_frame(t))
-    observed = partial(correlations(rank_sums(df, [], names)[0], names), 0, 1, [2, 3])
-    spread = spread_out(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", draw_key("null", "draw", "listing_id"))
-    by = ["draw", "market", "make"]
-    placed = R.grouped_positions(spread, by, [F.col("_k"), F.col("listing_id")], "at", "size")
-    source = R.grouped_positions(df.select("market", "make", "listing_id", F.col("km_r").alias("km_new")), ["market", "make"], [F.col("listing_id")], "at", "size")
-    shuffled = placed.drop("km_r", "size").join(source.select("market", "make", "at", F.col("km_new").alias("km_r")), ["market", "make", "at"])
-    null = [partial(correlations(r, names), 0, 1, [2, 3]) for r in rank_sums(shuffled, ["draw"], names)]
-    p = (1 + sum(v <= observed for v in null)) / (len(null) + 1)
-    return t.spark.createDataFrame([(float(observed), len(null), float(np.mean(null)), float(p))], "rho_partial double, draws bigint, null_mean double, negative_tail_p double")
+    centred = R.with_row(ranks, n, "n")
+    centred = cut_lineage(centred.select("listing_id", "market", "make", *[(F.col(c) - (F.col("n") + 1) / 2.0).alias(c) for c in names]))
+    fixed = correlation_sums(centred, names)
+    others = ["demerit_r", "age_r", "quality_r"]
+    sums = M.permuted_sums(centred, "km_r", others, "listing_id", draws, "null", strata=["market", "make"])
+    wide = sums.where(F.col("term").isin(others)).groupBy("draw").pivot("term", others).agg(F.first("value")).collect()
+    scores = {}
+    for r in wide:
+        products = fixed.copy()
+        for c in others:
+            i, j = names.index(c), names.index("km_r")
+            products[i, j] = products[j, i] = r[c]
+        scale = np.sqrt(np.diag(products))
+        scores[r["draw"]] = partial(products / np.outer(scale, scale), 0, 1, [2, 3])
+    observed = scores.pop(0)
+    null = np.array([v for v in scores.values() if np.isfinite(v)])
+    p = (1 + int((null <= observed + 1e-12).sum())) / (len(null) + 1)
+    r6 = lambda v: round(float(v), 6)
+    low, high = np.quantile(null, [0.025, 0.975])
+    return t.spark.createDataFrame([(r6(observed), len(null), r6(null.mean()), r6(low), r6(high), r6(p))],
+                                   "rho_partial double, draws bigint, null_mean double, null_low double, null_high double, negative_tail_p double")
+
+
+def correlation_sums(centred, names):
+    """Products of centred columns, summed."""
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = centred.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    out = np.zeros((len(names), len(names)))
+    for i, j in pairs:
+        out[i, j] = out[j, i] = row[f"p{i}_{j}"]
+    return out
