@@ -2,20 +2,22 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions import listings as L
 from ..functions.draws import fold_of, hash32, uniform
 from ..operators import boxes as B
 from ..operators import clusters as C
+from ..operators import heads as D
 from ..operators import permutations as M
 from ..operators import ranking as R
 from ..operators import regression as G
+from ..operators import sampling as S
 from ..operators import vectors as V
 from ..session import cut_lineage, spread_out
 from .pricing import SHIFTS, by_key, frame, spec_residuals
 from .registry import query
+from .statements import ridge_sql
 
 EMB_SQL = """
 e AS (SELECT vec_id, label, list_transform_d AS v, substr(md5(CAST(vec_id // 2 AS VARCHAR)), 1, 16) AS h FROM (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS list_transform_d FROM embeddings))"""
@@ -368,44 +370,144 @@ def degradation_auc(t):
     return rank_auc(rows, "s", "deg").withColumn("auc", F.round("auc", 6))
 
 
+FOLDS, FALSE_FLAGS, SEVERITY_ALPHA = 5, 0.05, 10.0
+CAPTURE = ["sharpness", "brightness", "contrast", "dark_frac", "bright_frac"]
+
+
+def corrupted(t):
+    """Every photo and its corrupted copy: variant, vehicle fold, capture metrics, severity and a 0/1 column for each of the 14 corruptions.
+
+    The copy's corruptions and severity are the drawn plan's; its metrics move as the corruptions say.
+    """
+    atoms = sorted(S.CORRUPTION_WEIGHTS)
+    plan = S.weighted_draw(t.photos.select("path"), ["path"], S.CORRUPTION_WEIGHTS, 9)
+    plan = plan.select("path", "chosen", F.round(S.triangular(uniform("9#s", "path"), 0.15, 0.55, 1.0), 3).alias("strength"))
+    has = lambda *names: F.arrays_overlap("chosen", F.array(*[F.lit(n) for n in names])).cast("double") * F.col("strength")
+    columns = ["path", "source_key", "listing_id", "blur", "brightness", "contrast", "dark_frac", "bright_frac"]
+    clean = t.photos.select(*columns, F.lit("original").alias("variant"), F.lit(0.0).alias("severity"), *[F.lit(0).alias(a) for a in atoms])
+    worn = t.photos.select(*columns).join(plan, "path").withColumns({
+        "blur": F.col("blur") * (1 - 0.7 * has("motion_blur", "defocus", "downscaled")),
+        "brightness": F.col("brightness") - 0.5 * has("underexposed", "low_light_noise") + 0.4 * has("overexposed", "sun_glare"),
+        "contrast": F.col("contrast") * (1 - 0.5 * has("jpeg_crush", "rain", "mud_spatter")),
+        "dark_frac": F.col("dark_frac") + 0.4 * has("harsh_shadow", "underexposed"),
+        "bright_frac": F.col("bright_frac") + 0.4 * has("sun_glare", "overexposed")})
+    worn = worn.select(*columns, F.lit("degraded").alias("variant"), F.col("strength").alias("severity"), *[F.array_contains("chosen", a).cast("int").alias(a) for a in atoms])
+    both = clean.unionByName(worn).withColumn("fold", fold_of(F.concat_ws("/", "source_key", "listing_id"), FOLDS)).withColumn("sharpness", F.log1p("blur"))
+    return cut_lineage(both.select("path", "variant", "fold", "severity", *CAPTURE, *atoms)), atoms
+
+
 @query("i17_degradation_heads")
 def degradation_heads(t):
-    """One logistic head per degradation, vehicle-grouped folds, AUC from held-out ranks."""
-    metrics = ["blur", "brightness", "contrast", "dark_frac", "bright_frac"]
-    both = t.photos.withColumn("degradations", F.lit("")).select("source_key", "listing_id", *metrics, "degradations").unionByName(
-        t.twins.select("source_key", "listing_id", *metrics, "degradations"))
-    base = cut_lineage(both.withColumn("fold", fold_of(F.concat_ws("/", "source_key", "listing_id"), 3)).withColumn("features", array_to_vector(F.array(F.log1p("blur"), *metrics[1:]))))
-    out = None
-    for atom in ("motion_blur", "jpeg_crush"):
-        rows = base.withColumn("label", F.array_contains(F.split("degradations", r"\|"), atom).cast("double"))
-        held = None
-        for f in range(3):
-            model = LogisticRegression(maxIter=25, regParam=0.001).fit(rows.where(F.col("fold") != f))
-            scored = model.transform(rows.where(F.col("fold") == f)).select(F.element_at(vector_to_array("probability"), 2).alias("p"), (F.col("label") == 1).alias("deg"))
-            held = scored if held is None else held.unionByName(scored)
-        one = rank_auc(held, "p", "deg").select(F.lit(atom).alias("head"), F.round("auc", 4).alias("auc"), "positives", "negatives")
-        out = one if out is None else out.unionByName(one)
+    """All 14 corruption heads over five vehicle-grouped folds: held-out AUC of each, of any of them against a clean photo, and the mean."""
+    rows, atoms = corrupted(t)
+    heads = D.fit_heads(rows, CAPTURE, atoms)
+    scored = cut_lineage(D.held_out_scores(rows, heads, ["variant", *atoms]))
+    each = cut_lineage(D.head_aucs(scored, atoms, {a: a for a in atoms}))
+    any_ = rank_auc(scored.select(F.array_max("scores").alias("p"), (F.col("variant") == "degraded").alias("deg")), "p", "deg")
+    any_ = any_.select(F.lit("degraded_vs_original").alias("head"), "auc", "positives", "negatives")
+    mean = each.agg(F.lit("mean_of_heads").alias("head"), F.avg("auc").alias("auc"), F.lit(None).cast("bigint").alias("positives"), F.lit(None).cast("bigint").alias("negatives"))
+    return each.unionByName(any_).unionByName(mean).withColumn("auc", F.round("auc", 4))
+
+
+@query("i17_packed_heads")
+def packed_heads(t):
+    """The heads fitted on all photos, as stored: coefficient, intercept, mean and scale of each column."""
+    rows, atoms = corrupted(t)
+    return t.spark.createDataFrame(D.fit_heads(rows, CAPTURE, atoms).packed(), "head string, feature string, coef double, intercept double, mean double, scale double")
+
+
+# The same rows in the statement: the drawn plan, then the metrics as the corruptions move them.
+CORRUPTED_SQL = """
+n(name, w) AS (VALUES """ + ", ".join(f"('{n}', {w})" for n, w in S.CORRUPTION_WEIGHTS.items()) + """),
+u AS (SELECT path, (('0x' || substr(md5('9#k|' || path), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS uk, (('0x' || substr(md5('9#s|' || path), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS us FROM photos),
+seats AS (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY -ln((('0x' || substr(md5('9#' || name || '|' || path), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE) / w::DOUBLE, name) AS seat FROM photos, n),
+drawn AS (SELECT path, list(name) AS l FROM seats JOIN u USING (path) WHERE seat <= CASE WHEN uk <= 0.4 THEN 2 WHEN uk <= 0.8 THEN 3 ELSE 4 END GROUP BY 1),
+plan AS (SELECT path, CASE WHEN list_contains(l, 'underexposed') AND list_contains(l, 'overexposed') THEN [x for x in l if x <> 'overexposed'] ELSE l END AS l,
+  round(CASE WHEN us < 0.4 / 0.85 THEN 0.15 + sqrt(us * 0.85 * 0.4) ELSE 1.0 - sqrt((1 - us) * 0.85 * 0.45) END, 3) AS k FROM drawn JOIN u USING (path)),
+both_rows AS (SELECT path, 'original' AS variant, source_key, listing_id, 0.0::DOUBLE AS severity, blur, brightness, contrast, dark_frac, bright_frac FROM photos UNION ALL
+  SELECT path, 'degraded', source_key, listing_id, k, blur * (1 - 0.7::DOUBLE * k * list_has_any(l, ['motion_blur', 'defocus', 'downscaled'])::INT),
+   brightness - 0.5::DOUBLE * k * list_has_any(l, ['underexposed', 'low_light_noise'])::INT + 0.4::DOUBLE * k * list_has_any(l, ['overexposed', 'sun_glare'])::INT,
+   contrast * (1 - 0.5::DOUBLE * k * list_has_any(l, ['jpeg_crush', 'rain', 'mud_spatter'])::INT), dark_frac + 0.4::DOUBLE * k * list_has_any(l, ['harsh_shadow', 'underexposed'])::INT,
+   bright_frac + 0.4::DOUBLE * k * list_has_any(l, ['sun_glare', 'overexposed'])::INT FROM photos JOIN plan USING (path)),
+d AS (SELECT path || variant AS id, variant, ('0x' || substr(md5(source_key || '/' || listing_id), 1, 8))::BIGINT % 5 AS fold, ln(1 + blur) AS x1, brightness AS x2, contrast AS x3, dark_frac AS x4, bright_frac AS x5, severity AS z FROM both_rows),
+long AS (SELECT id, fold, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 3, 'x': x3}, {'i': 4, 'x': x4}, {'i': 5, 'x': x5}, {'i': 999, 'x': z}], recursive := true) FROM d),
+moments AS (SELECT 'all' AS tag, s.fold, s.i, t.i AS j, sum(s.x * t.x) AS v FROM long s JOIN long t USING (id) GROUP BY ALL),""" + ridge_sql("fit", "moments", 5, alpha=SEVERITY_ALPHA) + """,
+scored AS (SELECT d.variant, d.z, d.z - r.r AS p FROM d JOIN (SELECT l.id, sum(l.x * f.b) AS r FROM long l JOIN fit_beta f ON f.fold = l.fold AND f.i = l.i GROUP BY 1) r ON r.id = d.id),
+cut AS (SELECT quantile_cont(p, 0.95) AS cut FROM scored WHERE variant = 'original')"""
+
+
+@query("i17_severity_regressor", "photos", "WITH_RECURSIVE " + CORRUPTED_SQL + """
+SELECT count(*) AS n, round((SELECT r2 FROM fit_r2), 4) AS severity_r2, round(any_value(cut), 4) AS fine_detail_severity, 0.05::DOUBLE AS false_flag_rate,
+ round(avg((p >= cut)::INT) FILTER (WHERE variant = 'degraded'), 4) AS degraded_caught FROM scored, cut""")
+def severity_regressor(t):
+    """Severity from capture metrics, out of fold; the cut that flags one clean photo in twenty, and the share of degraded ones it catches."""
+    rows, _ = corrupted(t)
+    design = G.Design(CAPTURE, {}, {}, "severity")
+    cells = G.to_driver(G.moment_cells(rows, ["fold"], CAPTURE, "severity"))
+    per_fold = {c["fold"]: design.moments([c]) for c in cells}
+    whole = sum(per_fold.values())
+    fits = [({"fold": int(f)}, G.fit(whole - m, CAPTURE, SEVERITY_ALPHA)) for f, m in per_fold.items()]
+    left = sum(G.squared_error(per_fold[tag["fold"]], CAPTURE, fit) for tag, fit in fits)
+    lines = G.line_table(t.spark, fits, design, {}).withColumn("fold", F.col("fold").cast("int"))
+    scored = cut_lineage(G.score(rows, lines, ["fold"], design).select("variant", "predicted"))
+    cut = R.exact_percentiles(scored.where("variant = 'original'"), [], "predicted", [1 - FALSE_FLAGS], ["cut"])
+    caught = F.avg(F.when(F.col("variant") == "degraded", (F.col("predicted") >= F.col("cut")).cast("double")))
+    out = R.with_row(scored, cut, "cut").agg(F.count("*").alias("n"), F.round(F.lit(float(1 - left / G.total_squares(whole))), 4).alias("severity_r2"),
+                                             F.round(F.max("cut"), 4).alias("fine_detail_severity"), F.lit(FALSE_FLAGS).alias("false_flag_rate"), F.round(caught, 4).alias("degraded_caught"))
     return out
 
 
+def labelled_vectors(t):
+    """(vec_id, x, label, fold): every embedding with its label; the photos of a vehicle share a fold."""
+    vehicle = F.floor(F.col("vec_id") / 2).cast("string")
+    return cut_lineage(t.embeddings.where("embedding is not null and label is not null").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("string").alias("label"), fold_of(vehicle, FOLDS).alias("fold")))
+
+
 @query("i18_view_and_brand_heads")
 def view_and_brand_heads(t):
-    """Multinomial head over embeddings by grouped folds, against the majority class."""
-    base = cut_lineage(t.embeddings.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double")))).withColumn(
-        "fold", fold_of(F.floor(F.col("vec_id") / 5).cast("string"), 3)).select("vec_id", F.col("label").cast("double").alias("label"), "fold", "features"))
-    held = None
-    for f in range(3):
-        model = LogisticRegression(maxIter=20, regParam=0.01, family="multinomial").fit(base.where(F.col("fold") != f))
-        scored = model.transform(base.where(F.col("fold") == f)).select("vec_id", "label", "prediction")
-        held = scored if held is None else held.unionByName(scored)
-    held = cut_lineage(held)
-    counts = held.groupBy("label").agg(F.count("*").alias("k")).agg((F.max("k") / F.sum("k")).alias("majority"))
-    pair = held.groupBy(F.floor(F.col("vec_id") / 2).alias("pair")).agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi"), F.count("*").alias("k")).where("k = 2")
-    agree = pair.agg(F.avg((F.col("lo") == F.col("hi")).cast("int")).alias("twin_agreement"))
-    acc = held.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("accuracy"),
-                   F.avg(F.when(F.col("label") >= 5, (F.col("prediction") < 5).cast("int"))).alias("dangerous_error"))
-    out = R.with_row(R.with_row(acc, counts, "majority"), agree, "twin_agreement")
-    return out.select("n", *[F.round(c, 4).alias(c) for c in ("accuracy", "majority", "twin_agreement", "dangerous_error")])
+    """The view head over five vehicle-grouped folds: agreement with the teacher, and twin agreement beside that of zero-shot tags.
+
+    The two photos of a vehicle stand for an original and its degraded twin.
+    """
+    rows = labelled_vectors(t)
+    heads = D.fit_softmax(rows, "x", "label")
+    held = cut_lineage(D.held_out_classes(rows, heads, "x", ["vec_id", "label"]))
+    tags = V.zero_shot(t.embeddings, "embedding", bank(t), 25.0).select("vec_id", F.col("tag").cast("string").alias("tag"))
+    pair = held.join(tags, "vec_id").groupBy(F.floor(F.col("vec_id") / 2).alias("pair")).agg(
+        F.count("*").alias("k"), (F.min("predicted") == F.max("predicted")).cast("double").alias("same"), (F.min("tag") == F.max("tag")).cast("double").alias("same_tag")).where("k = 2")
+    agree = pair.agg(F.count("*").alias("n_pairs"), F.avg("same").alias("twin_agreement_head"), F.avg("same_tag").alias("twin_agreement_zeroshot"))
+    top = held.groupBy("label").agg(F.count("*").alias("k")).agg((F.max("k") / F.sum("k")).alias("majority"))
+    acc = held.agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("agreement_with_teacher"))
+    out = R.with_row(R.with_row(acc, top, "majority"), agree, "n_pairs", "twin_agreement_head", "twin_agreement_zeroshot")
+    return out.select("n", "n_pairs", *[F.round(c, 4).alias(c) for c in ("agreement_with_teacher", "majority", "twin_agreement_head", "twin_agreement_zeroshot")])
+
+
+@query("i18_brand_head")
+def brand_head(t):
+    """Make from a vehicle's mean vector, one row a vehicle, five folds, against the commonest make."""
+    vectors, names = vehicle_embeddings(t)
+    makes = t.listings.groupBy(F.split_part("listing_id", F.lit("-"), F.lit(1)).alias("vehicle")).agg(F.min_by("make", "listing_id").alias("make"))
+    rows = vectors.join(makes.where("make is not null"), "vehicle").select(
+        "vehicle", L.normal_brand(F.col("make")).alias("label"), F.array(*names).alias("x"), fold_of(F.col("vehicle"), FOLDS).alias("fold"))
+    rows = cut_lineage(rows)
+    held = cut_lineage(D.held_out_classes(rows, D.fit_softmax(rows, "x", "label"), "x", ["vehicle", "label"]))
+    top = held.groupBy("label").agg(F.count("*").alias("k")).agg((F.max("k") / F.sum("k")).alias("majority"), F.count("*").alias("n_classes"))
+    acc = held.agg(F.count("*").alias("n_vehicles"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    return R.with_row(acc, top, "majority", "n_classes").select("n_vehicles", "n_classes", F.round("accuracy", 4).alias("accuracy"), F.round("majority", 4).alias("majority_baseline"))
+
+
+@query("i18_framing_head")
+def framing_head(t):
+    """Whole vehicle or part, fitted on the dev split alone: accuracy on the test split, and parts called whole there."""
+    split = F.when(fold_of(F.concat(F.lit("framing|"), F.floor(F.col("vec_id") / 2).cast("string")), 10) < 7, 0).otherwise(1)
+    framing = F.when(F.col("label") < 5, "whole").otherwise("part")
+    rows = cut_lineage(t.embeddings.where("embedding is not null and label is not null").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"), framing.alias("framing"), split.alias("split")))
+    heads = D.fit_softmax(rows, "x", "framing", fold="split")  # the fit that leaves split 1 out is the dev fit
+    held = D.held_out_classes(rows.where("split = 1"), heads, "x", ["framing"], fold="split")
+    wrong = F.avg(F.when(F.col("framing") == "part", (F.col("predicted") == "whole").cast("double")))
+    return held.agg(F.count("*").alias("n_test"), F.round(F.avg((F.col("framing") == F.col("predicted")).cast("double")), 4).alias("held_out_acc"), F.round(wrong, 4).alias("dangerous_error"))
 
 
 @query("i19_apply_linear_heads", oracle=EMB_SQL + """,

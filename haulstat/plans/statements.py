@@ -20,7 +20,7 @@ def permuted_sql(name: str, source: str, value: str, row: str, strata: str, draw
   JOIN {name}_values b ON b._at = a._base + (d.p * a._i + d.draw) % a._m)"""
 
 
-def ridge_sql(name: str, moments: str, columns: int, held_out: bool = True) -> str:
+def ridge_sql(name: str, moments: str, columns: int, held_out: bool = True, alpha: float = 1.0) -> str:
     """CTEs ``name``_coef (tag, fold, i, coef, sd, mean, n) and ``name``_r2 (tag, n, r2, sse, sst) from ``moments`` (tag, fold, i, j, v).
 
     Index 0 is the constant, 1 to ``columns`` the columns, 999 the target; pairs that are absent are zero. The
@@ -37,7 +37,7 @@ def ridge_sql(name: str, moments: str, columns: int, held_out: bool = True) -> s
 {name}_cov AS (SELECT t.tag, t.fold, t.i, t.j, t.v - a.s * b.s / a.n AS c, a.n, a.s FROM {name}_train t JOIN {name}_head a ON a.tag = t.tag AND a.fold = t.fold AND a.i = t.i
   JOIN {name}_head b ON b.tag = t.tag AND b.fold = t.fold AND b.i = t.j WHERE t.i BETWEEN 1 AND {columns} AND t.j > 0),
 {name}_sd AS (SELECT tag, fold, i, CASE WHEN c / n <= 1e-12 THEN 1.0 ELSE sqrt(c / n) END AS d, s / n AS mean, n FROM {name}_cov WHERE i = j),
-{name}_sys AS (SELECT c.tag, c.fold, c.i, list(CASE WHEN c.j = 999 THEN c.c / a.d ELSE c.c / a.d / b.d + (c.i = c.j)::INT END ORDER BY c.j) AS r
+{name}_sys AS (SELECT c.tag, c.fold, c.i, list(CASE WHEN c.j = 999 THEN c.c / a.d ELSE c.c / a.d / b.d + (c.i = c.j)::INT * {alpha}::DOUBLE END ORDER BY c.j) AS r
   FROM {name}_cov c JOIN {name}_sd a ON a.tag = c.tag AND a.fold = c.fold AND a.i = c.i LEFT JOIN {name}_sd b ON b.tag = c.tag AND b.fold = c.fold AND b.i = c.j GROUP BY 1, 2, 3),
 {name}_elim AS (SELECT tag, fold, i, 0 AS step, r FROM {name}_sys UNION ALL
   SELECT tag, fold, i, step + 1, CASE WHEN i = step + 1 THEN [r[x] / r[1] FOR x IN range(2, len(r) + 1)] ELSE [r[x] - r[1] * p[x] / p[1] FOR x IN range(2, len(r) + 1)] END

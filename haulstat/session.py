@@ -44,6 +44,9 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL_FOLDER: dict[str, str] = {}
 
 
+_WRITTEN: list[str] = []  # tables that this process cut, oldest first
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from the table.
 
@@ -52,9 +55,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_tables() -> list[str]:
+    """Paths of the tables cut so far, oldest first; those that were dropped are not among them."""
+    return list(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete cut tables that no later plan reads, wherever the shared folder is."""
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffles nobody refers to any more
+
+
 def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """Driver-made rows (coefficients, fixed tables) as a local relation.
 
