@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, map_rows
-from .decontaminate import window_hashes
+from .decontaminate import prefix_sums, window_hashes
 from .suffixes import _batches, _slide
 
 RUN = 50
@@ -39,7 +39,7 @@ def word_hashes(text: str | None, signs: bytes) -> np.ndarray:
 
 def anchors(words: np.ndarray, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the grams that are the smallest of some ``run`` words."""
-    h, width = window_hashes(words, gram), run - gram + 1
+    h, width = window_hashes(prefix_sums(words), gram), run - gram + 1
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     edge = np.zeros(width - 1, np.uint64)
@@ -63,7 +63,7 @@ class _Windows:
             np.add.at(marks, np.maximum(at - (self.run - self.gram), 0), 1)
             np.add.at(marks, np.minimum(at + 1, n), -1)
             starts = np.nonzero(np.cumsum(marks)[:n] > 0)[0]
-            h = window_hashes(words, self.run)[starts].view(np.int64)
+            h = window_hashes(prefix_sums(words), self.run)[starts].view(np.int64)
             _, first, back = np.unique(h, return_index=True, return_inverse=True)
             if len(h):
                 yield h, np.full(len(h), row, np.int64), starts.astype(np.int32), starts[first[back]].astype(np.int32)

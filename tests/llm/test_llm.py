@@ -331,4 +331,4 @@ def test_pipeline_stages(spark, sf_dir):
             assert frame.columns == corpus_pipeline.COLUMNS
         assert 0 < frame.count() <= before.count()
     assert frame.where("taken <= 0 or taken > 3 * size").count() == 0
-    assert set(LLM_QUERIES) >= {"pipeline"} and len(LLM_QUERIES) == 11
+    assert set(LLM_QUERIES) >= {"pipeline"} and len(LLM_QUERIES) == 14

@@ -158,3 +158,31 @@ def test_passages_inside_lines_and_made_of_short_lines_are_cut(spark):
     assert sorted(t for i, t in out if i is None) == [" ".join(f"{n}{k}" for k in range(30)) for n in "xy"]
     found = {(r.doc_id, r.from_word, r.n_words, r.keeper_doc_id) for r in passages.repeats(frame).collect() if r.from_word is not None}
     assert {(2, 30, 56, 1), (3, 4, 70, 1), (None, 0, 56, 1)} <= found
+
+
+def test_rows_that_share_an_id_leak_one_by_one(spark, sf_dir):
+    item = "the old mill near Max grinds 8 sacks of rye and 9 sacks of oats each day so how many sacks of grain does it grind"
+    told = [item.replace("8", "6").replace("9", "4"), item.replace("8", "3").replace("9", "7")]
+    asked = spark.createDataFrame([(0, item)], "item_id long, text string")
+    for ids in ((4, 5), (4, 4), (None, None)):
+        docs = spark.createDataFrame([(i, t) for i, t in zip(ids, told)] + [(4, "nothing of the kind"), (None, "nor here")], "doc_id long, text string")
+        got = decontaminate.contaminated(docs, asked).collect()
+        assert {(r.doc_id, r.reparameterised) for r in got} == {(i, True) for i in ids}
+
+
+def test_stages_drop_the_tables_of_the_stage_before(spark, sf_dir):
+    import os
+
+    from haulstat.llm.common import cut_lineage
+    from haulstat.session import written_tables
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    (_, first), (_, second), (_, third) = corpus_pipeline.STAGES[:3]
+    kept = cut_lineage(first(spark, frame, sf_dir))
+    lazy = second(spark, kept, sf_dir)  # not written: the next stage reads its tables
+    own = list(corpus_pipeline._LEFT)
+    assert own and all(os.path.exists(p) for p in own)
+    out = cut_lineage(third(spark, lazy, sf_dir))
+    assert out.count() and all(os.path.exists(p) for p in own)
+    mine = list(corpus_pipeline._LEFT)
+    again = cut_lineage(second(spark, kept, sf_dir))
+    assert again.count() and not any(os.path.exists(p) or p in written_tables() for p in mine)
