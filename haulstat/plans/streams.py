@@ -44,13 +44,25 @@ def idle_sessions(t):
     return out.select("run_id", clock("s.start").alias("started"), clock("s.end").alias("expires"), "n")
 
 
+def reads_and_plan(t):
+    """Reads of photos by run, and what each run planned: a third of the runs planned one read more than ever arrives."""
+    reads = events(t).select(F.col("run_id").alias("unit"), F.col("event_id").alias("read_id"), "ts")
+    plan = t.events.groupBy(F.col("user_id").cast("string").alias("unit")).agg((F.count("*") + F.when(F.first("user_id") % 3 == 0, 1).otherwise(0)).alias("planned"))
+    return reads, plan
+
+
 @query("j04_completed_plans", oracle="""
 SELECT CAST(user_id AS VARCHAR) AS unit, count(*) AS reads FROM events WHERE user_id % 3 <> 0 GROUP BY user_id""")
 def completed_plans(t):
-    reads = events(t).select(F.col("run_id").alias("unit"), F.col("event_id").alias("read_id"), "ts")
-    # A third of the runs planned one read more than ever arrives.
-    plan = t.events.groupBy(F.col("user_id").cast("string").alias("unit")).agg((F.count("*") + F.when(F.first("user_id") % 3 == 0, 1).otherwise(0)).alias("planned"))
-    return J.drain(J.completed_plans(reads, plan))
+    return J.drain(J.completed_plans(*reads_and_plan(t)))
+
+
+@query("j04_overdue_plans", oracle="""
+SELECT CAST(user_id AS VARCHAR) AS unit, count(*) AS reads, count(*) + 1 AS planned FROM events WHERE user_id % 3 = 0 GROUP BY user_id
+HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def overdue_plans(t):
+    """Runs still short of a read two hours after their last one."""
+    return J.drain(J.tracked_plans(*reads_and_plan(t), patience="2 hours").where("not complete").select("unit", "reads", "planned"))
 
 
 @query("j05_first_photo_of_hash", oracle="SELECT min(event_id) AS event_id, md5(props) AS phash FROM events GROUP BY 2")

@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import prices as P
 from ..session import shared_folder
@@ -67,32 +69,72 @@ def idle_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return events.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap).alias("s"), "run_id").agg(F.count("*").alias("n"))
 
 
-def completed_plans(reads: DataFrame, plan: DataFrame) -> DataFrame:
-    """Units whose planned reads have all arrived, in whatever order.
+class PlanTracker(StatefulProcessor):
+    """Rows (unit, read_id, planned, ts) of one unit in; one row when its planned reads have all arrived, one each time it has been overdue.
 
-    The state of a unit is the set of read ids still to be told apart; it is
-    dropped when the unit completes or when nothing came for a day.
+    The read ids seen are a map, so a batch touches only those it brings; they are dropped when the
+    unit completes, and what stays is that it did. A timer says that nothing came for ``patience`` of event time;
+    it forgets nothing, so a read that comes later still counts.
     """
-    out = T.StructType([T.StructField("unit", T.StringType()), T.StructField("reads", T.LongType())])
-    state = T.StructType([T.StructField("seen", T.ArrayType(T.LongType())), T.StructField("done", T.BooleanType())])
-
-    def update(key, batches, held):
-        if held.hasTimedOut:
-            held.remove()
-            return
-        seen, done = held.get if held.exists else ([], False)
-        seen, planned = set(seen), 0
-        for pdf in batches:
-            seen.update(int(x) for x in pdf["read_id"])
-            planned = int(pdf["planned"].iloc[0])
-        complete = not done and planned > 0 and len(seen) >= planned
-        held.update(([] if complete or done else sorted(seen), done or complete))
-        held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + 86_400_000)
+
+    def __init__(self, patience_ms: int):
+        self.patience = patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("read_id", T.LongType())]), T.StructType([T.StructField("ts", T.LongType())]))
+        self.told = handle.getValueState("told", T.StructType([T.StructField("reads", T.LongType()), T.StructField("planned", T.LongType()), T.StructField("done", T.BooleanType()), T.StructField("timer", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        reads, planned, done, timer = self.told.get() if self.told.exists() else (0, 0, False, 0)
+        latest = 0
+        for row in rows:
+            planned = row["planned"]
+            latest = max(latest, int(row["ts"].timestamp() * 1000))
+            if done or row["read_id"] is None or self.seen.containsKey((row["read_id"],)):
+                continue
+            self.seen.updateValue((row["read_id"],), (latest,))
+            reads += 1
+        complete = not done and 0 < planned <= reads
+        if timer:
+            self.handle.deleteTimer(timer)
+            timer = 0
+        if complete:
+            self.seen.clear()
+        elif not done and planned > 0:
+            timer = latest + self.patience
+            self.handle.registerTimer(timer)
+        self.told.update((reads, planned, done or complete, timer))
         if complete:
-            yield pd.DataFrame({"unit": [key[0]], "reads": [len(seen)]})
+            yield Row(unit=key[0], reads=reads, planned=planned, complete=True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        reads, planned, done, _ = self.told.get()
+        self.told.update((reads, planned, done, 0))
+        if not done:
+            yield Row(unit=key[0], reads=reads, planned=planned, complete=False)
+
+    def close(self) -> None:
+        pass
 
-    joined = reads.join(plan, "unit").withWatermark("ts", "10 minutes")
-    return joined.groupBy("unit").applyInPandasWithState(update, out, state, "append", "EventTimeTimeout")
+
+def tracked_plans(reads: DataFrame, plan: DataFrame, patience: str = "1 day", lateness: str = "10 minutes") -> DataFrame:
+    """(unit, reads, planned, complete): a row when a unit's planned reads have all arrived, in whatever order, and one each time it is overdue.
+
+    ``reads`` has unit, read_id and ts, ``plan`` unit and planned. Repeated reads count once. A unit is overdue
+    when the watermark passes its latest read by ``patience``; it may complete after that. A unit that
+    planned nothing is neither. Needs the RocksDB state store.
+    """
+    reads.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = T.StructType([T.StructField("unit", T.StringType()), T.StructField("reads", T.LongType()), T.StructField("planned", T.LongType()), T.StructField("complete", T.BooleanType())])
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+    joined = reads.join(plan, "unit").withWatermark("ts", lateness)
+    return joined.groupBy("unit").transformWithState(PlanTracker(wait), out, "append", "EventTime")
+
+
+def completed_plans(reads: DataFrame, plan: DataFrame) -> DataFrame:
+    """Units whose planned reads have all arrived."""
+    return tracked_plans(reads, plan).where("complete").select("unit", "reads")
 
 
 def first_photos(photos: DataFrame, window: str = "1 day") -> DataFrame:
@@ -100,23 +142,38 @@ def first_photos(photos: DataFrame, window: str = "1 day") -> DataFrame:
     return photos.withWatermark("ts", window).dropDuplicatesWithinWatermark(["phash"])
 
 
-def land_first_of_hash(photos: DataFrame, order: str) -> DataFrame:
-    """For all time: a batch keeps the hashes the stored table does not have yet."""
+PREFIX_DIGITS = 2  # of a hash: the store has 16 to this power parts
+
+
+def stored_hashes(spark: SparkSession, out: str, number: int, prefixes: list[str]) -> DataFrame:
+    """Hashes that batches before ``number`` stored under these prefixes; no other part of the store is opened."""
+    shape = T.StructType([T.StructField("phash", T.StringType()), T.StructField("batch", T.LongType()), T.StructField("prefix", T.StringType())])
+    return spark.read.schema(shape).parquet(out).where((F.col("batch") < number) & F.col("prefix").isin(prefixes)).select("phash")
+
+
+def land_first_of_hash(photos: DataFrame, order: str, digits: int = PREFIX_DIGITS) -> DataFrame:
+    """For all time: a batch keeps the hashes the stored table does not have yet, of equal ones the first by ``order``.
+
+    The store is laid out by hash prefix, so a batch reads the parts its own hashes fall in. A repeated batch
+    overwrites its own folder. A null hash is a hash of its own, stored under an empty prefix.
+    """
     spark, folder = photos.sparkSession, work_folder(photos.sparkSession)
     out, schema = f"{folder}/data", photos.schema
     row = F.struct(*schema.names)
-    stored_schema = T.StructType(schema.fields + [T.StructField("batch", T.LongType())])
+    prefix = F.concat(F.lit("p"), F.substring(F.coalesce("phash", F.lit("")), 1, digits))
 
     def land(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy("phash").agg(F.min_by(row, order).alias("r")).select("r.*")
+        first = batch.groupBy("phash").agg(F.min_by(row, order).alias("r")).select("r.*", prefix.alias("prefix"))
         if number > 0:
-            old = spark.read.schema(stored_schema).parquet(out).where(F.col("batch") < number).select("phash")
-            first = first.join(old, "phash", "left_anti")
-        first.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            prefixes = [r["prefix"] for r in batch.select(prefix.alias("prefix")).distinct().collect()]  # 16 ** digits at most
+            old = stored_hashes(spark, out, number, prefixes)
+            first = first.alias("n").join(old.alias("o"), F.expr("n.phash <=> o.phash"), "left_anti")
+        first.write.mode("overwrite").partitionBy("prefix").parquet(f"{out}/batch={number}")
 
     query = photos.writeStream.foreachBatch(land).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stored_schema).parquet(out).drop("batch")
+    stored = T.StructType(schema.fields + [T.StructField("batch", T.LongType()), T.StructField("prefix", T.StringType())])
+    return spark.read.schema(stored).parquet(out).drop("batch", "prefix")
 
 
 def score_listings(listings: DataFrame, model: P.PriceModel) -> DataFrame:
