@@ -180,6 +180,19 @@ def price_word_guard(t):
     return D.price_leaks(t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
+@query("a12_card_leaks", oracle="""
+n AS (SELECT doc_id // 10 AS card_id, text, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT card_id, '[0].known_weak_points[' || k || '].note' AS path, regexp_extract(text, '(?i)(₺|\\$|€|£|\\bTRY\\b|\\bUSD\\b|\\bTL\\b|\\blira\\b|\\bdolar\\b|\\bEUR\\b|\\bprice[sd]?\\b|\\bpricing\\b|\\bcost(?:s|ing)?\\b|\\bfiyat\\b|\\bworth\\s+(?:about\\s+|around\\s+|roughly\\s+)?[₺$€£\\d]|\\bexpensive\\b|\\bcheap(?:er|est)?\\b)', 1) AS hit FROM n
+WHERE regexp_matches(text, '(?i)(₺|\\$|€|£|\\bTRY\\b|\\bUSD\\b|\\bTL\\b|\\blira\\b|\\bdolar\\b|\\bEUR\\b|\\bprice[sd]?\\b|\\bpricing\\b|\\bcost(?:s|ing)?\\b|\\bfiyat\\b|\\bworth\\s+(?:about\\s+|around\\s+|roughly\\s+)?[₺$€£\\d]|\\bexpensive\\b|\\bcheap(?:er|est)?\\b)')""")
+def card_leaks(t):
+    """Nested reference cards, ten texts each: the path of every note that reads as money; sources and basis are not read."""
+    notes = t.documents.groupBy(F.floor(F.col("doc_id") / 10).alias("card_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("l"))
+    model = F.struct(F.concat(F.lit("model "), F.col("card_id").cast("string")).alias("name"), F.transform("l", lambda x: F.struct(x["text"].alias("note"))).alias("known_weak_points"),
+                     F.transform("l", lambda x: x["text"]).alias("sources"), F.struct(F.get("l", F.lit(0))["text"].alias("text")).alias("basis"))
+    cards = notes.select("card_id", F.to_json(F.struct(F.lit("no price here is read").alias("header"), F.array(model).alias("models"))).alias("card"))
+    return D.card_leaks(cards, "card_id", "card").drop("excerpt")
+
+
 @query("a06_package_columns", "photos listings", """
 SELECT source_key, listing_id, image_index, variant, path, view FROM photos""")
 def package_columns(t):

@@ -1,6 +1,11 @@
 """Landed pages and landed model answers -> typed rows, with every refusal counted."""
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,3 +165,48 @@ def price_leaks(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Rows whose text reads as money, with the words that gave it away."""
     hit = F.regexp_extract(text, PRICE_WORDS, 1)
     return rows.where(F.col(text).rlike(PRICE_WORDS)).select(key, hit.alias("hit"))
+
+
+# Keys of a reference card that no prompt reads.
+UNREAD_KEYS = {"corpus", "basis", "sources", "aliases", "maintainer_note"}
+
+
+def strings_of(node, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, string) of every string below ``node``, in document order, without what stands under unread keys."""
+    open_ = [(path, node)]
+    while open_:
+        path, node = open_.pop()
+        if isinstance(node, dict):
+            open_ += [(f"{path}.{k}", v) for k, v in reversed(node.items()) if k not in UNREAD_KEYS]
+        elif isinstance(node, list):
+            open_ += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(node)))]
+        elif isinstance(node, str):
+            yield path, node
+
+
+def card_leaks(cards: DataFrame, key: str, card: str) -> DataFrame:
+    """(key, path, hit, excerpt): every string of a nested JSON card that reads as money, with the place it stands at.
+
+    Of a card with ``models`` only these are walked. A card that is no JSON gives one row
+    with a null path; a null card, and one without strings, gives none.
+    """
+    def walk(batches):
+        words = re.compile(PRICE_WORDS)
+        for batch in batches:
+            out = []
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                try:
+                    read = json.loads(text)
+                except ValueError:
+                    out.append((own, None, "unreadable", text[:80]))
+                    continue
+                if isinstance(read, dict) and "models" in read:
+                    read = read["models"]
+                out += [(own, path, found.group(1), string[:80]) for path, string in strings_of(read) if (found := words.search(string))]
+            columns = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *[pa.array(c, pa.string()) for c in columns[1:]]], [key, "path", "hit", "excerpt"])
+
+    shape = f"`{key}` {cards.schema[key].dataType.simpleString()}, path string, hit string, excerpt string"
+    return cards.select(key, card).mapInArrow(walk, shape)

@@ -303,3 +303,19 @@ def test_family_demerit_counts_every_finding(spark):
 
 def test_twins_match_below_the_merge_threshold():
     assert T.SAME_TWIN < T.SAME_DEFECT < T.SAME_DEFECT_CROSS_ID
+
+
+def test_leaks_in_nested_cards_have_a_path(spark):
+    import json
+
+    from haulstat.sources import landing
+    card = {"header": "price list", "models": [{"name": "x", "aliases": ["cheap one"], "basis": {"deep": ["USD"]},
+                                                "known_weak_points": [{"note": "tank cracks"}, {"note": "it is expensive to replace", "corpus": "cost"}], "years": [2001, None, True]},
+                                               {"a": [[["worth 500,000"], "worth a close look"]], "sources": "EUR", "euro": "Euro 6 engine", "b": "fiyat"}]}
+    plain = [1, ["no", {"k": "costs a lot"}]]
+    rows = [(1, json.dumps(card)), (2, json.dumps(plain)), (3, "{broken"), (4, None), (None, json.dumps("a PRICE")), (5, "{}"), (6, "[]")]
+    frame = spark.createDataFrame(rows, "id long, card string").withColumn("path", F.lit(1))
+    got = {(r.id, r.path, r.hit) for r in landing.card_leaks(frame, "id", "card").collect()}
+    assert got == {(1, "[0].known_weak_points[1].note", "expensive"), (1, "[1].a[0][0][0]", "worth 5"), (1, "[1].b", "fiyat"), (2, "[1][1].k", "costs"),
+                   (3, None, "unreadable"), (None, "", "PRICE")}
+    assert landing.card_leaks(frame.limit(0), "id", "card").collect() == []
