@@ -14,8 +14,8 @@ from ..operators import ranking as R
 from ..operators import regression as G
 from ..operators import sampling as S
 from ..operators import vectors as V
-from ..session import cut_lineage, spread_out
-from .pricing import SHIFTS, by_key, frame, spec_residuals
+from ..session import cut_lineage
+from .pricing import SHIFTS, by_key, frame, permuted_column, spec_residuals
 from .registry import query
 from .statements import ridge_sql
 
@@ -334,23 +334,94 @@ def panel_score_probe(t):
         null_p95 double, draws bigint, p_value double, verdict string, weights_may_be_fitted boolean""")
 
 
+USAGE_DRAWS, USAGE_ALPHAS, USAGE_LEVEL = 100, (0.1, 1.0, 10.0, 100.0), 0.8
+
+
+def chosen_alpha(folds, columns):
+    """The penalty with the least out-of-fold error over these folds; of equal ones the first."""
+    whole = sum(folds.values())
+    errors = [sum(G.squared_error(m, columns, G.fit(whole - m, columns, a)) for m in folds.values()) for a in USAGE_ALPHAS]
+    return USAGE_ALPHAS[int(np.argmin(errors))]
+
+
+def nested_r2(folds, columns):
+    """Out-of-fold R2 where each fold's penalty is chosen on the others alone."""
+    whole, left = sum(folds.values()), 0.0
+    for k, m in folds.items():
+        rest = {f: v for f, v in folds.items() if f != k}
+        left += G.squared_error(m, columns, G.fit(whole - m, columns, chosen_alpha(rest, columns)))
+    return float(1 - left / G.total_squares(whole))
+
+
+def grouped_coverage(df, folds, columns, design):
+    """(covered share, rows): bands from the training folds' own out-of-fold residuals, asked of the fold left out."""
+    whole = sum(folds.values())
+    outer, inner = [], []
+    for k, m in folds.items():
+        rest = {f: v for f, v in folds.items() if f != k}
+        outer.append(({"fold": int(k)}, G.fit(whole - m, columns, chosen_alpha(rest, columns))))
+        for g, v in rest.items():
+            left = {f: u for f, u in rest.items() if f != g}
+            inner.append(({"outer": int(k), "fold": int(g)}, G.fit(whole - m - v, columns, chosen_alpha(left, columns))))
+    known = {"brand_used": design.levels["brand_used"]}
+    wide = G.Design(design.dense + ["usage"], design.levels, {}, "y")
+    spark = df.sparkSession
+    lines = G.line_table(spark, inner, wide, known).withColumn("fold", F.col("fold").cast("int"))
+    resid = G.score(df, lines, ["fold", "brand_used"], wide).select("outer", (F.col("y") - F.col("predicted")).alias("resid"))
+    tail = (1 - USAGE_LEVEL) / 2
+    bands = R.exact_percentiles(resid, ["outer"], "resid", [tail, 1 - tail], ["lo", "hi"]).select(F.col("outer").cast("int").alias("fold"), "lo", "hi")
+    tested = G.score(df, G.line_table(spark, outer, wide, known).withColumn("fold", F.col("fold").cast("int")), ["fold", "brand_used"], wide)
+    row = tested.join(bands, "fold").agg(F.avg((F.col("y") - F.col("predicted")).between(F.col("lo"), F.col("hi")).cast("double")).alias("share"), F.count("*").alias("n")).first()
+    return row["share"], row["n"]
+
+
+def usage_probe(df, draws=USAGE_DRAWS):
+    """Does a usage class earn a column? Nested R2 with and without it, its null, its sign and its coverage.
+
+    ``df`` has listing_id, fold, brand, y, the dense columns and usage (0 or 1). The null permutes the dummy over the rows.
+    """
+    xs = ["log1p_age", "log_km", "euro6"]
+    counts = G.to_driver(df.groupBy("brand").agg(F.count("*").alias("n")))
+    brands = sorted(r["brand"] for r in counts if r["n"] >= 3) + ["other"]
+    moved = {c: F.col(c) - SHIFTS.get(c, 0.0) for c in [*xs, "y"]}
+    df = cut_lineage(df.select("listing_id", "fold", "usage", *[v.alias(c) for c, v in moved.items()],
+                               F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other").alias("brand_used")))
+    design = G.Design(xs, {"brand_used": brands})
+    per_fold = {f: design.moments(rows) for f, rows in by_key(G.to_driver(G.moment_cells(df, ["fold", "brand_used"], xs, "y")), "fold").items()}
+    sums: dict = {}
+    for r in M.permuted_sums(df, "usage", [*xs, "y"], "listing_id", draws, "usage", by=["fold", "brand_used"]).collect():
+        for name in {"1^2": ["usage^2"], "1": ["1", f"brand_used_{r.brand_used}"]}.get(r.term, [r.term]):
+            sums[r.draw, r.fold, name] = sums.get((r.draw, r.fold, name), 0.0) + r.value
+    kept = {}
+
+    def score(folds, columns):
+        kept.setdefault("observed", folds)  # draw 0, the order as it is
+        return nested_r2(folds, columns)
+
+    scores = permuted_column(per_fold, design, sums, "usage", score)
+    observed, null = scores.pop(0), np.array(list(scores.values()))
+    columns = [*design.columns, "usage"]
+    folds = kept["observed"]
+    coefficient = float(G.fit(sum(folds.values()), columns, chosen_alpha(folds, columns)).coef[-1])
+    base, n = grouped_coverage(df, per_fold, design.columns, design)
+    used, _ = grouped_coverage(df, folds, columns, design)
+    return {"without": nested_r2(per_fold, design.columns), "with": observed, "null": null, "coefficient": coefficient, "n": n, "coverage_base": base, "coverage_usage": used}
+
+
 @query("i15_usage_dummy_probe")
-def usage_dummy_probe(t, replicas: int = 20):
-    """Does one usage class earn a column? Gain, sign and a null of re-drawn dummies of the same size."""
-    xs = ["log1p_age", "log_km", "usage"]
-    df = cut_lineage(frame(t).withColumn("usage", (F.col("model") == "PROMO").cast("double")).select("listing_id", "fold", "y", *xs))
-    design = G.Design(xs, {}, SHIFTS)
-    rows = G.to_driver(G.moment_cells(df, ["fold"], xs, "y", SHIFTS))
-    folds = by_key(rows, "fold")
-    without, with_it = G.r_squared(folds, design, keep=xs[:2])["r2"], G.r_squared(folds, design)["r2"]
-    sign = float(G.fit(design.moments(rows), design.columns).coef[2])
-    share = sum(r["s_usage"] for r in rows) / sum(r["n"] for r in rows)
-    drawn = spread_out(df).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("usage", (uniform("usage", "draw", "listing_id") <= share).cast("double"))
-    cells = G.to_driver(G.moment_cells(drawn, ["draw", "fold"], xs, "y", SHIFTS))
-    null = [G.r_squared(by_key(part, "fold"), design)["r2"] for part in by_key(cells, "draw").values()]
-    p = float(np.mean([v >= with_it for v in null]))
-    return t.spark.createDataFrame([(float(without), float(with_it), sign, p, bool(with_it - without >= 0.02 and p < 0.05))],
-                                   "r2_without double, r2_with double, coefficient double, p_value double, ship boolean")
+def usage_dummy_probe(t):
+    """Four rules for shipping a usage column: above the null's 95th percentile, a negative effect, no loss of coverage, and a held-out make that confirms it.
+
+    The last one is never met by this probe alone, so the column is reported, not shipped.
+    """
+    df = frame(t).where("market = 'TR'").withColumn("usage", (F.col("model") == "PROMO").cast("double"))
+    out = usage_probe(df)
+    p95 = float(np.percentile(out["null"], 95))
+    beats, negative, covers = out["with"] > p95, out["coefficient"] < 0, out["coverage_usage"] >= out["coverage_base"]
+    row = (out["n"], *[round(float(v), 6) for v in (out["without"], out["with"], np.median(out["null"]), p95)], len(out["null"]), round(float(np.mean(out["null"] >= out["with"])), 4),
+           round(out["coefficient"], 6), round(out["coverage_base"], 4), round(out["coverage_usage"], 4), bool(beats), bool(negative), bool(covers), False)
+    return t.spark.createDataFrame([row], """n bigint, r2_without double, r2_with double, null_median double, null_p95 double, draws bigint, p_value double, coefficient double,
+        coverage_without double, coverage_with double, beats_null boolean, negative_effect boolean, keeps_coverage boolean, ship boolean""")
 
 
 def rank_auc(df, score, flag):

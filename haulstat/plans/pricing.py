@@ -202,29 +202,34 @@ def by_key(rows, key):
     return out
 
 
-@query("i01_ridge_full_design")
-def ridge_full(t):
-    rows = full_cells(frame(t), ["market", "brand"])
-    design, _ = full_design(rows)
-    prepare, _ = imputer(design, design.moments(rows))
-    model = G.fit(prepare(design.moments(rows)), design.columns)
-    return t.spark.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(model.columns, model.coef, model.scale)],
-                                   "feature string, coef double, scale double")
-
-
 # Columns of the statement: 1-5 dense, 6 and 7 markets, 8 other makes, 9-34 the makes.
-RESIDUAL_SQL = FRAME_SQL + """,
+FULL_SQL = FRAME_SQL + """,
 priced AS (SELECT *, avg(ln(new_price)) OVER () AS fill, CASE WHEN count(*) OVER (PARTITION BY brand) >= 5 THEN 8 + dense_rank() OVER (ORDER BY brand) ELSE 8 END AS b FROM frame),
 d AS (SELECT listing_id, fold, b, log1p_age - 2 AS x1, log_km - 12 AS x2, euro6 AS x3, coalesce(ln(new_price), fill) AS x4, (new_price IS NULL)::DOUBLE AS x5, (market = 'TR')::DOUBLE AS x6, (market = 'EU')::DOUBLE AS x7, y - 10 AS z FROM priced),
 long AS (SELECT listing_id, fold, b, unnest([{'i': 0, 'x': 1.0::DOUBLE}, {'i': 1, 'x': x1}, {'i': 2, 'x': x2}, {'i': 3, 'x': x3}, {'i': 4, 'x': x4}, {'i': 5, 'x': x5}, {'i': 6, 'x': x6}, {'i': 7, 'x': x7}, {'i': 999, 'x': z}], recursive := true) FROM d),
 pairs AS (SELECT s.fold, s.b, s.i, t.i AS j, sum(s.x * t.x) AS v FROM long s JOIN long t USING (listing_id) GROUP BY ALL),
 moments AS (SELECT 'all' AS tag, fold, i, j, sum(v) AS v FROM (SELECT fold, i, j, v FROM pairs UNION ALL SELECT fold, b, j, v FROM pairs WHERE i = 0 UNION ALL SELECT fold, j, b, v FROM pairs WHERE i = 0
-  UNION ALL SELECT fold, b, b, v FROM pairs WHERE i = 0 AND j = 0) GROUP BY ALL),""" + ridge_sql("fit", "moments", 34) + """,
+  UNION ALL SELECT fold, b, b, v FROM pairs WHERE i = 0 AND j = 0) GROUP BY ALL),
+columns AS (SELECT b AS i, CASE WHEN b = 8 THEN 'brand_used_other' ELSE 'brand_used_' || brand END AS feature FROM (SELECT DISTINCT b, CASE WHEN b > 8 THEN brand END AS brand FROM priced) UNION
+  SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]), unnest(['log1p_age', 'log_km', 'euro6', 'np_value', 'np_missing', 'market_TR', 'market_EU', 'brand_used_other']))"""
+RESIDUAL_SQL = FULL_SQL + "," + ridge_sql("fit", "moments", 34) + """,
 resid AS (SELECT l.listing_id, any_value(l.fold) AS fold, sum(l.x * f.b) + any_value(m.b) AS resid FROM long l JOIN fit_beta f ON f.fold = l.fold AND f.i = l.i AND l.i > 0 JOIN fit_beta m ON m.fold = l.fold AND m.i = l.b GROUP BY 1),
 constants AS (SELECT fold, b AS c FROM fit_beta WHERE i = 0),
 residuals AS (SELECT listing_id, split_part(listing_id, '-', 1) AS vehicle, resid + c AS resid FROM resid JOIN constants USING (fold))"""
 
 
+@query("i01_ridge_full_design", "listings", "WITH_RECURSIVE " + FULL_SQL + """,
+whole AS (SELECT tag, -1 AS fold, i, j, sum(v) AS v FROM moments GROUP BY ALL),""" + ridge_sql("full", "whole", 34, False) + """
+SELECT feature, round(coef, 6) AS coef, round(sd, 6) AS scale FROM full_coef JOIN columns USING (i)""")
+def ridge_full(t):
+    rows = full_cells(frame(t), ["market", "brand"])
+    design, _ = full_design(rows)
+    prepare, _ = imputer(design, design.moments(rows))
+    model = G.fit(prepare(design.moments(rows)), design.columns)
+    return t.spark.createDataFrame([(c, round(float(b), 6), round(float(s), 6)) for c, b, s in zip(model.columns, model.coef, model.scale)],
+                                   "feature string, coef double, scale double")
+
+
 def spec_residuals(df):
     """(listing_id, vehicle, market, resid): out-of-fold residuals of the full design, folds of whole spec groups, as a stored table."""
     rows = full_cells(df, ["fold", "market", "brand"])
@@ -274,13 +279,16 @@ def training_set_choice(t):
                                    "candidate string, n bigint, r2 double, r2_with_new_price double, chosen boolean, column_gains boolean")
 
 
-@query("i10_brand_column_ablation")
+@query("i10_brand_column_ablation", "listings", "WITH_RECURSIVE " + FULL_SQL + """,
+kinds(tag, k) AS (VALUES ('all', 0), ('no_brand', 1), ('no_new_price', 2)),
+kept AS (SELECT kinds.tag, fold, i, j, v FROM kinds, moments m WHERE k = 0 OR (k = 1 AND i NOT BETWEEN 8 AND 34 AND j NOT BETWEEN 8 AND 34) OR (k = 2 AND i NOT IN (4, 5) AND j NOT IN (4, 5))),""" + ridge_sql("fit", "kept", 34) + """
+SELECT tag AS columns, (SELECT count(*) FROM columns) - CASE tag WHEN 'no_brand' THEN (SELECT count(*) FROM columns WHERE i >= 8) WHEN 'no_new_price' THEN 2 ELSE 0 END AS n_columns, round(r2, 6) AS r2 FROM fit_r2""")
 def brand_ablation(t):
     rows = full_cells(frame(t), ["fold", "market", "brand"])
     design, _ = full_design(rows)
     sets = {"all": design.columns, "no_brand": [c for c in design.columns if not c.startswith("brand_used_")],
             "no_new_price": [c for c in design.columns if not c.startswith("np_")]}
-    return t.spark.createDataFrame([(k, len(v), float(r2_of(rows, v, None, design)["r2"])) for k, v in sets.items()],
+    return t.spark.createDataFrame([(k, len(v), round(float(r2_of(rows, v, None, design)["r2"]), 6)) for k, v in sets.items()],
                                    "columns string, n_columns bigint, r2 double")
 
 
@@ -465,8 +473,15 @@ moments AS (SELECT tag, fold, i, j, v FROM (SELECT DISTINCT tag FROM crossed) CR
     "fit", "moments", 30)
 
 
-def permuted_column(per_fold, design, sums, name="np"):
-    """(draw -> R2) of ``design`` with one more column, whose products with the others are given for each draw and fold.
+def grouped_r2(folds, columns):
+    """Out-of-fold R2 at the fixed penalty, from moments by fold."""
+    whole = sum(folds.values())
+    left = sum(G.squared_error(m, columns, G.fit(whole - m, columns)) for m in folds.values())
+    return float(1 - left / G.total_squares(whole))
+
+
+def permuted_column(per_fold, design, sums, name="np", score=grouped_r2):
+    """(draw -> score) of ``design`` with one more column, whose products with the others are given for each draw and fold.
 
     ``sums`` maps (draw, fold, x) to the sum of x times the column, x a column, 1, the target, or ``column^2``.
     """
@@ -481,9 +496,7 @@ def permuted_column(per_fold, design, sums, name="np"):
             line = np.array([sums.get((d, f, c), 0.0) for c in ["1", *design.columns, f"{name}^2", design.target]])
             big[at, :], big[:, at] = line, line
             folds[f] = big
-        whole = sum(folds.values())
-        left = sum(G.squared_error(m, columns, G.fit(whole - m, columns)) for m in folds.values())
-        out[d] = float(1 - left / G.total_squares(whole))
+        out[d] = score(folds, columns)
     return out
 
 

@@ -184,3 +184,58 @@ def test_stratified_null_centres_on_zero(spark):
     assert row.draws == 400 and abs(row.null_mean) < 0.01 and row.null_low < -0.05 < 0.05 < row.null_high and 0.001 < row.negative_tail_p < 0.999
     worn = frame.withColumn("price", F.col("km") * -1 + F.col("price") * 20_000)
     assert scorecards.stratified_null(type("T", (), {"listings": worn, "spark": spark})(), draws=100).first().negative_tail_p == round(1 / 101, 6)
+
+
+def test_usage_probe_against_direct_fits(spark):
+    from haulstat.plans import embeddings as E
+    pdf = listings(240, 3, 12).drop(columns="log_new_price")
+    rng = np.random.default_rng(3)
+    pdf["usage"] = (rng.random(240) < 0.3).astype(float)
+    pdf["y"] -= 0.6 * pdf.usage
+    got = E.usage_probe(spark.createDataFrame(pdf), draws=25)
+    used = pdf.brand.to_numpy()
+    base = np.column_stack([pdf[["log1p_age", "log_km", "euro6"]].to_numpy(), *[(used == m).astype(float) for m in sorted(set(used))]])
+    y, fold = pdf.y.to_numpy(), pdf.fold.to_numpy()
+
+    def fitted(x, y, alpha):
+        mean, scale = x.mean(0), x.std(0)
+        scale[scale < 1e-6] = 1
+        z = (x - mean) / scale
+        coef = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean()))
+        return (lambda q: (q - mean) / scale @ coef + y.mean()), coef
+
+    def oof(x, y, fold, alpha):
+        out = np.zeros(len(y))
+        for f in np.unique(fold):
+            out[fold == f] = fitted(x[fold != f], y[fold != f], alpha)[0](x[fold == f])
+        return out
+
+    def choose(x, y, fold):
+        return min(E.USAGE_ALPHAS, key=lambda a: ((y - oof(x, y, fold, a)) ** 2).sum())
+
+    def nested(x):
+        out = np.zeros(len(y))
+        for f in np.unique(fold):
+            tr = fold != f
+            out[~tr] = fitted(x[tr], y[tr], choose(x[tr], y[tr], fold[tr]))[0](x[~tr])
+        return 1 - ((y - out) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+    def coverage(x):
+        hits = []
+        for f in np.unique(fold):
+            tr = fold != f
+            inner = np.zeros(tr.sum())
+            xt, yt, ft = x[tr], y[tr], fold[tr]
+            for g in np.unique(ft):
+                a = ft != g
+                inner[~a] = fitted(xt[a], yt[a], choose(xt[a], yt[a], ft[a]))[0](xt[~a])
+            lo, hi = np.quantile(yt - inner, [0.1, 0.9])
+            left = y[~tr] - fitted(xt, yt, choose(xt, yt, ft))[0](x[~tr])
+            hits += ((left >= lo) & (left <= hi)).tolist()
+        return np.mean(hits)
+
+    full = np.column_stack([base, pdf.usage])
+    assert np.isclose(got["without"], nested(base)) and np.isclose(got["with"], nested(full))
+    assert np.isclose(got["coefficient"], fitted(full, y, choose(full, y, fold))[1][-1]) and got["coefficient"] < 0
+    assert np.isclose(got["coverage_base"], coverage(base)) and np.isclose(got["coverage_usage"], coverage(full))
+    assert len(got["null"]) == 25 and got["null"].max() < got["with"]
