@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_rows
+from .common import crc_bucket, cut_lineage, map_rows
 
 BUCKETS = 1 << 13
 SIZES = (1, 2, 3)
@@ -64,12 +64,12 @@ class KernelModel:
         return (sets.astype(np.float32) @ self.weights) / size[:, None]
 
 
-def fit_kernel(texts: list[str], langs: list[str], per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
-    """Kernel ridge regression on Nyström features of the first ``per_language`` texts of each language."""
+def fit_kernel(sets: np.ndarray, langs: list[str], per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> KernelModel:
+    """Kernel ridge regression on Nyström features of the first ``per_language`` presence vectors of each language."""
     languages = sorted(set(langs))
     if not languages:
         return KernelModel(["und"], np.zeros((BUCKETS, 1), np.float32))
-    sets = np.array([present(t)[0] for t in texts], np.float32)
+    sets = sets.astype(np.float32)
     unit = sets / np.sqrt(np.maximum(sets.sum(axis=1, keepdims=True), 1.0))
     seen: dict[str, int] = {}
     marks = []
@@ -89,26 +89,34 @@ def fit_kernel(texts: list[str], langs: list[str], per_language: int = LANDMARKS
 
 
 def train_language(docs: DataFrame, held_out: int = 5, per_language: int = SAMPLE_PER_LANGUAGE) -> KernelModel:
-    """Fit on at most ``per_language`` texts of each language, in hash order, outside the held-out ids.
+    """Fit on at most ``per_language`` ids of each language, in hash order, outside the held-out ids.
 
-    The ids are chosen first from the narrow columns; only their texts travel.
+    The ids are chosen first from the narrow columns and sent to the rows. Each chosen (id, language) has
+    one text, of several the least; its n-grams are looked up where it lies and come to the driver as
+    ``BUCKETS`` bits, so what is collected does not grow with texts or with repeated ids.
     """
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (docs.select("doc_id", "lang")
-              .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), held_out) != 0))
-              .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_language))
-    rows = (docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
-            .join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").collect())
-    rows = sorted(((r.lang, r.doc_id, r.text) for r in rows))
-    return fit_kernel([t for _, _, t in rows], [lang for lang, _, _ in rows])
+              .where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (crc_bucket(F.col("doc_id"), held_out) != 0)).distinct()
+              .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_language).select("doc_id", "lang"))
+    texts = (docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(F.broadcast(cut_lineage(chosen)), ["doc_id", "lang"])
+             .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+
+    def look_up(rows):
+        for lang, doc_id, text in rows:
+            yield lang, doc_id, np.packbits(present(text)[0]).tobytes()
+
+    rows = sorted(tuple(r) for r in map_rows(texts, look_up, f"lang string, doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits binary").collect())
+    sets = np.array([np.unpackbits(np.frombuffer(bits, np.uint8)) for _, _, bits in rows]).reshape(len(rows), BUCKETS)
+    return fit_kernel(sets, [lang for lang, _, _ in rows])
 
 
 def identify_language(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     Needs doc_id, text and, for learning, lang. A null text or one without
-    letters is ``und`` with score 0; repeated rows are each judged; without a
-    labelled row everything is ``und``; an empty table gives an empty result.
+    letters is ``und`` with score 0; repeated rows are each judged; of equal scores the
+    language first in order is taken; without a labelled row everything is ``und``; an empty table gives an empty result.
     One narrow pass over whole texts; the model is n-grams x languages.
     """
     model = train_language(docs, **options)

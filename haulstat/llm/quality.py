@@ -57,17 +57,18 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(quality, features) of at most ``most`` labelled documents, taken in hash order."""
+    """(quality, features) of at most ``most`` labelled ids, taken in hash order; an id of several texts has the least features."""
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def work(rows):
-        for quality, text in rows:
-            yield float(quality), statistics(text)[1]
+        for doc_id, quality, text in rows:
+            yield doc_id, float(quality), statistics(text)[1]
 
-    return map_rows(rows, work, "quality double, features array<double>")
+    told = map_rows(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality double, features array<double>")
+    return told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features")).select("quality", "features")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> FlatTrees:

@@ -186,3 +186,27 @@ def test_stages_drop_the_tables_of_the_stage_before(spark, sf_dir):
     mine = list(corpus_pipeline._LEFT)
     again = cut_lineage(second(spark, kept, sf_dir))
     assert again.count() and not any(os.path.exists(p) or p in written_tables() for p in mine)
+
+
+def test_samples_do_not_grow_with_repeated_ids(spark, docs_by_id):
+    from haulstat.llm import language, quality
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in sorted(docs_by_id.items())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    twice = frame.unionByName(frame).unionByName(spark.createDataFrame([(rows[1][0], f"{rows[1][1]} and more {k}", rows[1][2]) for k in range(300)], frame.schema))
+    one, other = language.train_language(frame), language.train_language(twice)
+    assert one.languages == other.languages and np.array_equal(one.weights, other.weights)
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i, _, _ in rows], "doc_id long, quality int")
+    assert quality.labelled_features(twice, labels, 50).count() == quality.labelled_features(frame, labels, 50).count() == 50
+
+
+def test_quality_trees_are_right_about_held_out_labels(spark):
+    from haulstat.llm import quality
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = labels.where("doc_id % 4 = 0 and quality is not null").select("doc_id", "quality")
+    model = quality.train_quality(docs, labels.where("doc_id % 4 <> 0"))
+    rows = docs.join(held, "doc_id").collect()
+    scores = model.probability(np.array([quality.statistics(r.text)[1] for r in rows]))
+    y = np.array([r.quality for r in rows])
+    right = ((scores >= 0.5) == (y == 1)).mean()
+    assert len(rows) > 100 and right > max(y.mean(), 1 - y.mean()) + 0.02, (right, y.mean())
