@@ -129,8 +129,8 @@ def apply_revisions(findings: DataFrame, revisions: DataFrame, key: list[str], o
     """Bounded re-grading: lowering is free, a raise is one level, the top needs two kinds of support.
 
     ``findings``: key, severity, price_impact, corroborated, seen_elsewhere.
-    The first decision per finding counts. Adds the granted levels and the
-    reasons for refusals.
+    The first decision per finding counts. A severity outside the scale stays
+    as it is. Adds the granted levels and the reasons for refusals.
     """
     first = revisions.groupBy(*key).agg(F.min_by(F.struct(F.col("severity").alias("want_s"), F.col("price_impact").alias("want_i")), order).alias("_r"))
     df = findings.join(first, key, "left").select(*findings.columns, "_r.want_s", "_r.want_i")
@@ -148,7 +148,7 @@ def apply_revisions(findings: DataFrame, revisions: DataFrame, key: list[str], o
     limited = F.col("_sw").isNotNull() & (granted > F.col("_i0"))
     i1 = F.when(F.col("_iw").isNull(), F.col("_i0")).when(limited, F.least(granted, behind)).otherwise(granted)
     i_why = F.when(limited & (granted > behind), "outran_severity").when(~limited & (F.col("_iw") > F.col("_i0") + 1), "more_than_one_level")
-    out = df.withColumns({"new_severity": C.level_of(C.SEVERITIES, F.col("_s1")), "new_impact": C.level_of(C.IMPACTS, i1),
+    out = df.withColumns({"new_severity": F.when(F.col("_s0").isNull(), F.col("severity")).otherwise(C.level_of(C.SEVERITIES, F.col("_s1"))), "new_impact": C.level_of(C.IMPACTS, i1),
                           "severity_refusal": F.col("_s_why"), "impact_refusal": i_why,
                           "decided": F.col("want_s").isNotNull() | F.col("want_i").isNotNull()})
     return out.drop("_s0", "_i0", "_s1", "_s_why", "_iw", "_sw")

@@ -137,18 +137,18 @@ def suite_registry(t):
 
 
 @query("k04_sweep_of_an_argument", "sightings", f"""
-a AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original' AND sample = 0),
-b AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded' AND sample = 1),
+a AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original'),
+b AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded'),
 p AS (SELECT DISTINCT a.unit, a.family, a.w AS aw, b.w AS bw, {overlap_sql('a.w', 'b.w', 'a.t', 'b.t')} AS s FROM a JOIN b ON a.unit = b.unit AND a.family = b.family),
 q AS (SELECT th AS threshold, count_if(s >= th) AS pairs, count_if(s >= 2) AS never FROM p, (SELECT unnest([0.3, 0.42, 0.5, 0.7])::DOUBLE AS th) WHERE s >= 0.3 GROUP BY 1)
 SELECT threshold, pairs, never, (SELECT min(pairs) <> max(pairs) FROM q) AS pairs_moves, false AS never_moves FROM q""")
 def sweep_of_an_argument(t):
-    """Overlaps are found once at the lowest value, then re-scored at every value."""
+    """Overlaps of all wordings of both halves are found once at the lowest value, then re-scored at every value."""
     gate = ["unit", "family"]
 
-    def texts(variant, sample):
-        rows = t.sightings.where((F.col("variant") == variant) & (F.col("sample") == sample))
+    def texts(variant):
+        rows = t.sightings.where(F.col("variant") == variant)
         return cut_lineage(S.with_text_key(rows, "observation").select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"]))
 
-    pairs = S.overlapping(texts("original", 0), texts("degraded", 1), gate, "text_key", "text_key", 0.3)
+    pairs = S.overlapping(texts("original"), texts("degraded"), gate, "text_key", "text_key", 0.3)
     return I.sweep(cut_lineage(pairs), [0.3, 0.42, 0.5, 0.7], [], lambda th: {"pairs": F.count_if(F.col("score") >= th), "never": F.count_if(F.col("score") >= 2)})

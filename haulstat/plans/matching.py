@@ -70,13 +70,13 @@ c AS (SELECT *, [x for x in sr if x IS NOT NULL] AS s1, [x for x in ir if x IS N
 SELECT listing_id, photo_id, n_sightings, ungraded, n_also_seen, confidence,
  CASE WHEN n_sightings = 1 OR len(s1) = 0 THEN s0 ELSE ['cosmetic','minor','moderate','major'][1 + CASE WHEN len(s1) = 1 THEN s1[1] ELSE list_sort(s1)[len(s1) - 1] END] END AS severity,
  CASE WHEN n_sightings = 1 OR len(i1) = 0 THEN i0 ELSE ['none','low','medium','high'][1 + CASE WHEN len(i1) = 1 THEN i1[1] ELSE list_sort(i1)[len(i1) - 1] END] END AS price_impact FROM c"""
-# Findings of several reads: every third wording of the sightings, bound to a photo.
-FOUND_SQL = """found AS (SELECT unit AS listing_id, pos * 10 + sample AS photo_id, sample, pos, component, family, observation, severity, price_impact, confidence, pos % 5 = 0 AS ungraded FROM sightings WHERE variant = 'original')"""
+# Findings of several reads, bound to a photo; the original and the degraded half are listings of their own.
+FOUND_SQL = """found AS (SELECT unit || '/' || variant AS listing_id, pos * 10 + sample AS photo_id, sample, pos, component, family, observation, severity, price_impact, confidence, pos % 5 = 0 AS ungraded FROM sightings)"""
 
 
 def found(t):
-    return t.sightings.where("variant = 'original'").select(
-        F.col("unit").alias("listing_id"), (F.col("pos") * 10 + F.col("sample")).alias("photo_id"), "sample", "pos", "component",
+    return t.sightings.select(
+        F.concat("unit", F.lit("/"), "variant").alias("listing_id"), (F.col("pos") * 10 + F.col("sample")).alias("photo_id"), "sample", "pos", "component",
         "observation", "severity", "price_impact", "confidence", (F.col("pos") % 5 == 0).alias("ungraded"))
 
 
@@ -88,22 +88,23 @@ def merge_findings(t):
 
 
 @query("d16_greedy_match", "sightings", f"""
-WITH_RECURSIVE o AS (SELECT unit, family, pos, component, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original' AND sample = 0),
-d AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded' AND sample = 1),
-p AS (SELECT o.unit || '|' || o.family AS g, o.pos AS l, d.pos AS r, {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} AS s FROM o JOIN d ON o.unit = d.unit AND o.family = d.family),
+WITH_RECURSIVE o AS (SELECT unit, family, sample, pos, component, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original'),
+d AS (SELECT unit, family, sample, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded'),
+p AS (SELECT o.unit || '|' || o.family || '|' || o.sample AS g, o.pos AS l, d.pos AS r, {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} AS s FROM o JOIN d ON o.unit = d.unit AND o.family = d.family AND o.sample = d.sample),
 q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, l, r) AS i FROM p WHERE s >= {T.SAME_TWIN}),
 rec AS (SELECT DISTINCT g, 0::BIGINT AS i, ([0]::INTEGER[])[1:0] AS ul, ([0]::INTEGER[])[1:0] AS ur, NULL::INTEGER AS l, NULL::INTEGER AS r, NULL::DOUBLE AS s FROM q
  UNION ALL SELECT q.g, q.i, CASE WHEN ok THEN list_append(ul, q.l) ELSE ul END, CASE WHEN ok THEN list_append(ur, q.r) ELSE ur END,
   CASE WHEN ok THEN q.l END, CASE WHEN ok THEN q.r END, q.s FROM (SELECT q.g, q.i, q.l, q.r, q.s, rec.ul, rec.ur, NOT list_contains(rec.ul, q.l) AND NOT list_contains(rec.ur, q.r) AS ok
    FROM rec JOIN q ON q.g = rec.g AND q.i = rec.i + 1) q)
-SELECT split_part(g, '|', 1) AS unit, split_part(g, '|', 2) AS family, l AS left_pos, r AS right_pos, round(s, 4) AS score FROM rec WHERE l IS NOT NULL""")
+SELECT split_part(g, '|', 1) AS unit, split_part(g, '|', 2) AS family, split_part(g, '|', 3)::INT AS sample, l AS left_pos, r AS right_pos, round(s, 4) AS score FROM rec WHERE l IS NOT NULL""")
 def greedy_match(t):
-    def side(variant, sample, name):
-        rows = t.sightings.where((F.col("variant") == variant) & (F.col("sample") == sample))
-        return cut_lineage(S.with_text_key(rows, "observation").select("unit", "family", F.col("pos").alias(name), "words", "text_key"))
+    """Every sample of the original half against the same sample of the degraded one."""
+    def side(variant, name):
+        rows = t.sightings.where(F.col("variant") == variant)
+        return cut_lineage(S.with_text_key(rows, "observation").select("unit", "family", "sample", F.col("pos").alias(name), "words", "text_key"))
 
-    left, right = side("original", 0, "left_pos"), side("degraded", 1, "right_pos")
-    gate = ["unit", "family"]
+    left, right = side("original", "left_pos"), side("degraded", "right_pos")
+    gate = ["unit", "family", "sample"]
     texts = lambda df: df.select(*gate, "text_key", "words").dropDuplicates(gate + ["text_key"])
     pairs = S.overlapping(texts(left), texts(right), gate, "text_key", "text_key", T.SAME_TWIN)
     offers = (pairs.join(left.select(*gate, "text_key", "left_pos"), gate + ["text_key"])
@@ -114,13 +115,13 @@ def greedy_match(t):
 
 
 @query("d17_samples_in_support", "sightings", f"""
-o AS (SELECT unit, family, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original' AND sample = 0),
+o AS (SELECT unit, family, sample, pos, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'original'),
 d AS (SELECT unit, family, sample, {words_sql('observation')} AS w, lower(trim(observation)) AS t FROM sightings WHERE variant = 'degraded')
-SELECT o.unit, o.family, o.pos, count(DISTINCT CASE WHEN {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} >= {T.SAME_TWIN} THEN d.sample END) AS n_samples FROM o LEFT JOIN d ON o.unit = d.unit AND o.family = d.family GROUP BY ALL""")
+SELECT o.unit, o.family, o.sample, o.pos, count(DISTINCT CASE WHEN {overlap_sql('o.w', 'd.w', 'o.t', 'd.t')} >= {T.SAME_TWIN} THEN d.sample END) AS n_samples FROM o LEFT JOIN d ON o.unit = d.unit AND o.family = d.family GROUP BY ALL""")
 def samples_in_support(t):
     base = cut_lineage(S.with_text_key(t.sightings, "observation").select("unit", "family", "variant", "sample", "pos", "words", "text_key"))
-    left = base.where("variant = 'original' and sample = 0")
-    return supporting_samples(left, base.where("variant = 'degraded'"), ["unit", "family", "pos"]).select("unit", "family", "pos", "n_samples")
+    left = base.where("variant = 'original'")
+    return supporting_samples(left, base.where("variant = 'degraded'"), ["unit", "family", "sample", "pos"]).select("unit", "family", "sample", "pos", "n_samples")
 
 
 def supporting_samples(left, right, key):
@@ -135,29 +136,28 @@ def supporting_samples(left, right, key):
 
 @query("f03_consensus_of_reads", "sightings")
 def consensus_of_reads(t):
-    rows = t.sightings.where("variant = 'original'")
-    out = D.consensus_of_reads(rows, ["unit"], 3, 2)
-    return out.select("unit", "component", F.col("leader.sample").alias("leader_sample"), F.col("leader.pos").alias("leader_pos"),
+    out = D.consensus_of_reads(t.sightings, ["unit", "variant"], 3, 2)
+    return out.select("unit", "variant", "component", F.col("leader.sample").alias("leader_sample"), F.col("leader.pos").alias("leader_pos"),
                       "agreed", "confidence", "self_confidence", "corroborated", "severity", "price_impact", "correction")
 
 
-@query("f04_text_fold", "sightings", "WITH_RECURSIVE lines AS (SELECT unit, sample * 100 + pos AS pos, observation FROM sightings WHERE variant = 'degraded'),"
-       + leader_sql("lines", "unit", "pos", "0.42", False) + """,
-k AS (SELECT unit, pos, row_number() OVER (PARTITION BY unit ORDER BY pos) AS place FROM home WHERE leader = r AND t <> '')
-SELECT unit, pos, CAST(place AS INTEGER) AS place FROM k WHERE place <= 6""")
+@query("f04_text_fold", "sightings", "WITH_RECURSIVE lines AS (SELECT unit, variant, sample * 100 + pos AS pos, observation FROM sightings),"
+       + leader_sql("lines", "unit || '|' || variant", "pos", "0.42", False) + """,
+k AS (SELECT unit, variant, pos, row_number() OVER (PARTITION BY unit, variant ORDER BY pos) AS place FROM home WHERE leader = r AND t <> '')
+SELECT unit, variant, pos, CAST(place AS INTEGER) AS place FROM k WHERE place <= 6""")
 def text_fold(t, most: int = 6):
-    """The first ``most`` different lines of a unit."""
+    """The first ``most`` different lines of a unit's original and of its degraded half."""
     from pyspark.sql import Window as W
-    lines = t.sightings.where("variant = 'degraded'").select("unit", (F.col("sample") * 100 + F.col("pos")).alias("pos"), "observation")
-    rows = D.cluster_sightings(lines.withColumn("gate", F.lit("")), ["unit"], ["gate"], "observation", ["pos"], T.SAME_DEFECT, "first")
-    kept = rows.where((F.col("leader.pos") == F.col("pos")) & (F.trim("observation") != "")).select("unit", "pos")
-    return kept.withColumn("place", F.row_number().over(W.partitionBy("unit").orderBy("pos"))).where(F.col("place") <= most)
+    lines = t.sightings.select("unit", "variant", (F.col("sample") * 100 + F.col("pos")).alias("pos"), "observation")
+    rows = D.cluster_sightings(lines.withColumn("gate", F.lit("")), ["unit", "variant"], ["gate"], "observation", ["pos"], T.SAME_DEFECT, "first")
+    kept = rows.where((F.col("leader.pos") == F.col("pos")) & (F.trim("observation") != "")).select("unit", "variant", "pos")
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("unit", "variant").orderBy("pos"))).where(F.col("place") <= most)
 
 
 REVISION_SQL = """
 f AS (SELECT listing_id, photo_id, severity, price_impact, photo_id % 2 = 0 AS cor, seen_twice,
   CASE severity WHEN 'cosmetic' THEN 0 WHEN 'minor' THEN 1 WHEN 'moderate' THEN 2 WHEN 'major' THEN 3 END AS s0, CASE price_impact WHEN 'none' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS i0,
-  CASE WHEN photo_id % 4 = 3 THEN NULL ELSE (s0 + photo_id) % 4 END AS sw, CASE WHEN photo_id % 5 = 4 THEN NULL ELSE (i0 + photo_id + 1) % 4 END AS iw FROM findings WHERE severity <> 'grave'),
+  CASE WHEN photo_id % 4 = 3 THEN NULL ELSE (s0 + photo_id) % 4 END AS sw, CASE WHEN photo_id % 5 = 4 THEN NULL ELSE (i0 + photo_id + 1) % 4 END AS iw FROM findings),
 a AS (SELECT *, CASE WHEN sw IS NULL THEN s0 WHEN sw <= s0 THEN sw WHEN sw > s0 + 1 THEN s0 + 1 WHEN sw = 3 AND NOT (cor AND seen_twice) THEN least(s0 + 1, 2) ELSE sw END AS s1,
   CASE WHEN sw > s0 THEN CASE WHEN sw > s0 + 1 THEN 'more_than_one_level' WHEN sw = 3 AND NOT cor THEN 'one_read_only' WHEN sw = 3 AND NOT seen_twice THEN 'one_photo_only' END END AS why,
   CASE WHEN iw <= i0 THEN iw ELSE least(iw, i0 + 1) END AS g FROM f),
@@ -167,7 +167,7 @@ b AS (SELECT *, CASE WHEN iw IS NULL THEN i0 WHEN sw IS NOT NULL AND g > i0 THEN
 def revised(t):
     s0 = C.rank_of(C.SEVERITIES, F.col("severity"))
     i0 = C.rank_of(C.IMPACTS, F.col("price_impact"))
-    base = t.findings.where("severity <> 'grave'").select(
+    base = t.findings.select(
         "listing_id", "photo_id", "severity", "price_impact", (F.col("photo_id") % 2 == 0).alias("corroborated"), F.col("seen_twice").alias("seen_elsewhere"))
     wanted = base.select("listing_id", "photo_id", F.lit(0).alias("ord"),
                          F.when(F.col("photo_id") % 4 != 3, C.level_of(C.SEVERITIES, (s0 + F.col("photo_id")) % 4)).alias("severity"),
@@ -177,13 +177,13 @@ def revised(t):
 
 
 @query("f07_bounded_revision", "findings", REVISION_SQL + """
-SELECT listing_id, photo_id, ['cosmetic','minor','moderate','major'][1 + s1] AS new_severity, ['none','low','medium','high'][1 + i1] AS new_impact, why AS severity_refusal FROM b""")
+SELECT listing_id, photo_id, CASE WHEN s0 IS NULL THEN severity ELSE ['cosmetic','minor','moderate','major'][1 + s1] END AS new_severity, ['none','low','medium','high'][1 + i1] AS new_impact, why AS severity_refusal FROM b""")
 def bounded_revision(t):
     return revised(t).select("listing_id", "photo_id", "new_severity", "new_impact", "severity_refusal")
 
 
 @query("f07_revision_audit", "findings", REVISION_SQL + """,
-r AS (SELECT *, severity || '/' || price_impact AS before, ['cosmetic','minor','moderate','major'][1 + s1] || '/' || ['none','low','medium','high'][1 + i1] AS after,
+r AS (SELECT *, severity || '/' || price_impact AS before, CASE WHEN s0 IS NULL THEN severity ELSE ['cosmetic','minor','moderate','major'][1 + s1] END || '/' || ['none','low','medium','high'][1 + i1] AS after,
  (sw IS NOT NULL AND g > i0 AND g > i0 + greatest(0, s1 - s0)) OR (NOT (sw IS NOT NULL AND coalesce(g > i0, false)) AND iw > i0 + 1) AS iref FROM b)
 SELECT listing_id, photo_id, 'severity_raise_clamped' AS kind, before, after FROM r WHERE why IS NOT NULL OR iref
 UNION ALL SELECT listing_id, photo_id, 'severity_calibrated', before, after FROM r WHERE before <> after""")
