@@ -32,3 +32,12 @@ def overlap(shared: Column, size_a: Column, size_b: Column) -> Column:
     jaccard = F.when(either > 0, shared / either).otherwise(F.lit(0.0))
     contained = F.when(smaller >= CONTAINMENT_MIN_WORDS, F.lit(CONTAINMENT_SHARE) * shared / smaller).otherwise(F.lit(0.0))
     return F.greatest(jaccard, contained)
+
+
+def overlap_of(a: tuple[frozenset, str], b: tuple[frozenset, str]) -> float:
+    """``overlap`` of two texts in a task, each its content words and its folded wording; a blank text overlaps with none."""
+    if not a[0] or not b[0]:
+        return 1.0 if a == b and a[1] else 0.0
+    shared, smaller = len(a[0] & b[0]), min(len(a[0]), len(b[0]))
+    jaccard = shared / (len(a[0]) + len(b[0]) - shared)
+    return max(jaccard, CONTAINMENT_SHARE * shared / smaller) if smaller >= CONTAINMENT_MIN_WORDS else jaccard

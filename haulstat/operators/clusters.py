@@ -1,11 +1,58 @@
-"""Order-dependent folds as parallel rounds: leaders, components, one-to-one matches."""
+"""Order-dependent folds: small groups in order inside a task, larger ones as parallel rounds."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
+MOST_ROWS = 4096  # rows of a group that one task folds; larger groups take the rounds
+
+
+def split_by_size(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups up to ``most`` rows, rows of the larger groups or None if there are none)."""
+    large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n"))
+    if large.isEmpty():
+        return df, None
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    met = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(large.select(*names), met, "left_anti"), df.join(large.select(*names), met, "left_semi")
+
+
+def frozen(value):
+    """A value of a struct column as a tuple, others as they are."""
+    return tuple(frozen(v) for v in value.values()) if isinstance(value, dict) else value
+
+
+def fold_in_order(df: DataFrame, keys: list[str], order: list, read: list[str], start: Callable, out: str, kind: T.DataType) -> DataFrame:
+    """``df`` with the column ``out``: what a group's step says of its rows, taken in ``order``.
+
+    ``start()`` makes the step of a group, which is called with the ``read``
+    columns of one row after another and may keep what it has seen.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        shape = to_arrow_schema(schema)
+        group = step = None
+        for batch in batches:
+            said = []
+            groups = zip(*[batch.column(k).to_pylist() for k in keys])
+            for key, row in zip(groups, zip(*[batch.column(c).to_pylist() for c in read])):
+                if step is None or key != group:
+                    group, step = key, start()
+                said.append(step(*row))
+            columns = [c.cast(f.type) for c, f in zip(batch.columns, shape)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(said, shape.field(out).type)], schema=shape)
+
+    # By a hash of the keys: Spark drops a repartition by columns that a union below claims to have already.
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
 
 def leaders(nodes: DataFrame, edges: DataFrame, node: list[str], later: dict[str, str]) -> DataFrame:
     """Which nodes start a cluster when items are taken in order.
@@ -30,14 +77,39 @@ def leaders(nodes: DataFrame, edges: DataFrame, node: list[str], later: dict[str
             return state.select(*node, (F.col("state") == "leader").alias("is_leader"))
 
 
-def mutual_best(candidates: DataFrame, left: list[str], right: list[str], order: list[str]) -> DataFrame:
+def mutual_best(candidates: DataFrame, left: list[str], right: list[str], order: list[str], most: int = MOST_ROWS) -> DataFrame:
     """One-to-one matching, greedy by ``order`` (columns, ascending, total together with both ids).
 
-    Pairs that are each other's best are exactly those the greedy pass would
+    A group of pairs that both sides' ids share is gone through in order. In a large one, pairs that are
+    each other's best are exactly those the greedy pass would
     take before touching either side, so all of them are taken per round.
     """
     rank = F.struct(*dict.fromkeys([*order, *left, *right]))
-    open_pairs = cut_lineage(candidates.withColumn("_rank", rank))
+    pairs = cut_lineage(candidates.withColumn("_rank", rank))
+    gate = [c for c in left if c in right]
+    if not gate:
+        return best_in_rounds(pairs, left, right)
+    small, large = split_by_size(pairs, gate, most)
+    own_l, own_r = [c for c in left if c not in gate], [c for c in right if c not in gate]
+
+    def start():
+        used_l, used_r = set(), set()
+
+        def step(*row):
+            a, b = tuple(map(frozen, row[:len(own_l)])), tuple(map(frozen, row[len(own_l):]))
+            if a in used_l or b in used_r:
+                return False
+            used_l.add(a), used_r.add(b)
+            return True
+
+        return step
+
+    taken = fold_in_order(small, gate, ["_rank"], own_l + own_r, start, "_taken", T.BooleanType()).where("_taken").drop("_taken", "_rank")
+    return taken if large is None else taken.unionByName(best_in_rounds(cut_lineage(large), left, right))
+
+
+def best_in_rounds(open_pairs: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """The greedy match of pairs with a ``_rank``, all mutually best pairs a round."""
     matched = None
     while not open_pairs.isEmpty():
         best_l = open_pairs.groupBy(*left).agg(F.min("_rank").alias("_rank"))

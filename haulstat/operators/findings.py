@@ -13,16 +13,50 @@ LEVELS = range(4)
 
 
 def cluster_sightings(df: DataFrame, unit: list[str], gate: list[str], text: str, order: list[str], threshold: float,
-                      assign: str = "best", cross_gate: tuple[str, float] | None = None) -> DataFrame:
+                      assign: str = "best", cross_gate: tuple[str, float] | None = None, most: int = K.MOST_ROWS) -> DataFrame:
     """Every row with the text of its cluster's first sighting (``leader``, a struct of ``order``).
 
     Rows are taken in ``order`` inside (unit, gate). A row joins an earlier
     starter it overlaps with: the best one (``best``; the later of equals) or
     the first one (``first``); without any it starts a cluster.
     ``cross_gate`` = (column, threshold) asks for a higher overlap when that
-    column differs.
+    column differs. A blank text is always a cluster of its own. Groups up to ``most`` rows
+    are gone through in order inside a task, the others settled in rounds.
     """
     keys = unit + gate
+    small, large = K.split_by_size(df, keys, most)
+    read = ["words", "_wording", "_place", *([cross_gate[0]] if cross_gate else [])]
+
+    def start():
+        leaders = []  # (text, column of cross_gate, place), in order
+
+        def step(words, wording, place, own=None):
+            mine, best, at = (frozenset(words), wording), 0.0, None
+            for theirs, other, leader in leaders:
+                score = T.overlap_of(mine, theirs)
+                if score >= (threshold if own == other else cross_gate[1]) and score >= best:
+                    best, at = score, leader
+                    if assign == "first":
+                        return at
+            if at is None:
+                leaders.append((mine, own, place))
+            return at or place
+
+        return step
+
+    ready = S.with_text_key(small, text).withColumns({"_wording": F.when(F.size("words") == 0, T.folded(F.col(text))), "_place": F.struct(*order)}).drop("text_key")
+    rows = K.fold_in_order(ready, keys, order, read, start, "leader", ready.schema["_place"].dataType).drop("words", "_wording", "_place")
+    if large is None:
+        return rows
+    blank = F.coalesce(F.trim(F.col(text)), F.lit("")) == ""
+    rows = rows.unionByName(large.where(blank).withColumn("leader", F.struct(*order)))
+    return rows.unionByName(clusters_in_rounds(large.where(~blank), unit, gate, text, order, threshold, assign, cross_gate))
+
+
+def clusters_in_rounds(df: DataFrame, unit: list[str], gate: list[str], text: str, order: list[str], threshold: float,
+                       assign: str, cross_gate: tuple[str, float] | None) -> DataFrame:
+    """``cluster_sightings`` for groups of any size, whose texts are not blank."""
+    keys = unit + gate
     inner = [cross_gate[0]] if cross_gate else []
     nodes = S.text_nodes(df, keys + inner, text, order)
     nodes = S.cut_lineage(nodes.withColumn("node", F.struct(*inner, "text_key")))
@@ -163,17 +197,10 @@ def revision_audit(revised: DataFrame, key: list[str]) -> DataFrame:
     return refused.unionByName(changed)
 
 
-def consensus_of_reads(df: DataFrame, unit: list[str], k: int, quorum: int, threshold: float = T.SAME_DEFECT) -> DataFrame:
-    """k reads of one photo into findings: one sighting per read and cluster.
-
-    Reads are taken one after another (a photo has few), whatever their numbers. Inside a read the earliest
-    row takes its first free cluster; that is a one-to-one match by
-    (position, cluster age), so each read is a handful of matching rounds.
-    """
-    home = unit + ["component"]
-    tagged = S.cut_lineage(S.with_text_key(df, "observation").withColumn("row", F.struct("sample", "pos")))
+def reads_in_rounds(tagged: DataFrame, home: list[str], threshold: float) -> DataFrame:
+    """Rows of reads with the first row of their cluster (``leader``), one read after another."""
     nodes = tagged.groupBy(*home, "text_key").agg(F.any_value("words").alias("words"))
-    pairs = S.overlapping(nodes, nodes, home, "text_key", "text_key", threshold)
+    pairs = S.by_rare_words(nodes, nodes, home, "text_key", "text_key", threshold)
     pairs = S.cut_lineage(pairs.select(*home, "text_key", F.col("text_key_other").alias("leader_key")))
     assigned = None
     samples = sorted(r[0] for r in tagged.select("sample").distinct().collect())  # as many as a photo has reads
@@ -188,6 +215,42 @@ def consensus_of_reads(df: DataFrame, unit: list[str], k: int, quorum: int, thre
             rows = rows.withColumn("leader", F.col("row"))
         rows = S.cut_lineage(rows)
         assigned = rows if assigned is None else assigned.unionByName(rows)
+    return assigned
+
+
+def consensus_of_reads(df: DataFrame, unit: list[str], k: int, quorum: int, threshold: float = T.SAME_DEFECT, most: int = K.MOST_ROWS) -> DataFrame:
+    """k reads of one photo into findings: one sighting per read and cluster.
+
+    Reads are taken one after another (a photo has few), whatever their numbers. Inside a read the earliest
+    row takes its first free cluster of the reads before; in groups above ``most`` rows that is a
+    one-to-one match by (position, cluster age), so each read is a handful of matching rounds.
+    """
+    home = unit + ["component"]
+    tagged = S.with_text_key(df, "observation").withColumns({
+        "row": F.struct("sample", "pos"), "_wording": F.when(F.size("words") == 0, T.folded(F.col("observation")))})
+    keep = [*home, "sample", "pos", "row", "confidence", "severity", "price_impact"]
+    small, large = K.split_by_size(tagged, home, most)
+
+    def start():
+        leaders, read = [], {"sample": None, "had": 0, "taken": set()}
+
+        def step(words, wording, row):
+            if read["sample"] != row["sample"]:
+                read.update(sample=row["sample"], had=len(leaders), taken=set())
+            mine = (frozenset(words), wording)
+            for i in range(read["had"]):  # clusters that earlier reads started
+                if i not in read["taken"] and T.overlap_of(mine, leaders[i][0]) >= threshold:
+                    read["taken"].add(i)
+                    return leaders[i][1]
+            leaders.append((mine, row))
+            return row
+
+        return step
+
+    ready = small.select(*keep, "words", "_wording")
+    assigned = K.fold_in_order(ready, home, ["sample", "pos"], ["words", "_wording", "row"], start, "leader", ready.schema["row"].dataType).select(*keep, "leader")
+    if large is not None:
+        assigned = assigned.unionByName(reads_in_rounds(S.cut_lineage(large.drop("_wording")), home, threshold).select(*keep, "leader"))
     g = assigned.groupBy(*home, "leader").agg(
         F.count("*").alias("agreed"), F.avg("confidence").alias("self_confidence"), F.count_distinct("severity").alias("_levels"),
         *level_counts("severity", C.SEVERITIES), *level_counts("price_impact", C.IMPACTS))

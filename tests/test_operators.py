@@ -17,7 +17,9 @@ from haulstat.operators import neighbours as N
 from haulstat.operators import ranking as R
 from haulstat.operators import regression as G
 from haulstat.operators import sampling as S
+from haulstat.operators import similarity as SI
 from haulstat.operators import vectors as V
+from haulstat.session import written_tables
 
 
 def test_percentiles_both_ways(spark):
@@ -243,6 +245,51 @@ def test_null_level_stays_null(spark):
     assert [r.l for r in df.select(level_of(SEVERITIES, F.col("r")).alias("l")).collect()] == [None, "moderate"]
 
 
+@pytest.mark.parametrize("most", [0, 4096])
+def test_blank_texts_are_nobodys_copies(spark, most):
+    """Neither in a task's fold nor in rounds: the statements say so of a text without a sign."""
+    rows = [("u", "g", i, s) for i, s in enumerate(["", None, " ", "ok", "OK ", "deep rust below", "deep rust below"])]
+    df = spark.createDataFrame(rows, "unit string, gate string, pos int, txt string")
+    for assign in ("first", "best"):
+        got = {r.pos: r.leader.pos for r in D.cluster_sightings(df, ["unit"], ["gate"], "txt", ["pos"], 0.42, assign, most=most).collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
+    side = SI.with_text_key(df, "txt")
+    other = side.withColumnRenamed("pos", "at").repartition(3, "unit", "gate")
+    met = {(r.pos, r["at"]) for r in SI.overlapping(side.repartition(3, "unit", "gate"), other, ["unit", "gate"], "pos", "at", 0.3, most=most).collect()}
+    assert met == {(a, b) for pair in ((3, 4), (5, 6)) for a in pair for b in pair}
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_copies_of_a_text_match_in_order(spark, most):
+    """Equal offers: a round takes one pair of a group, so many copies must not need a round each."""
+    df = spark.createDataFrame([("u", a, b, 0.0) for a in range(12) for b in range(12)], "u string, l int, r int, worse double")
+    before = len(written_tables())
+    got = {(r.l, r.r) for r in K.mutual_best(df, ["u", "l"], ["u", "r"], ["worse"], most=most).collect()}
+    assert got == {(i, i) for i in range(12)}
+    assert most == 0 or len(written_tables()) - before <= 2
+
+
+@pytest.mark.parametrize("most", [0, 4096])
+def test_consensus_both_ways(spark, most):
+    rng = random.Random(5)
+    words = "alpha bravo charlie delta echoes foxtrot golf hotel india juliet".split()
+    rows = [("u", "c", s, p, " ".join(rng.sample(words, 4)), "minor", "low", 0.5) for s in range(3) for p in range(12)]
+    df = spark.createDataFrame(rows, "unit string, component string, sample int, pos int, observation string, severity string, price_impact string, confidence double")
+    leaders, want = [], {}
+    for s in range(3):
+        had, taken = list(leaders), set()
+        for _, _, _, p, text, *_ in (r for r in rows if r[2] == s):
+            free = [i for i, (t, _) in enumerate(had) if i not in taken and greedy_overlap(frozenset(text.split()), frozenset(t.split())) >= 0.42]
+            if free:
+                taken.add(free[0])
+                want[had[free[0]][1]] += 1
+            else:
+                leaders.append((text, (s, p)))
+                want[s, p] = 1
+    got = {tuple(r.leader): r.agreed for r in D.consensus_of_reads(df, ["unit"], 3, 2, most=most).collect()}
+    assert got == want
+
+
 def test_overlap_words(spark):
     df = spark.createDataFrame([("Outer shoulder WORN on the drive tyre",)], "t string")
     assert df.select(T.content_words(F.col("t")).alias("w")).first().w == ["drive", "outer", "shoulder", "tyre", "worn"]
