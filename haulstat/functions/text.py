@@ -14,6 +14,15 @@ SAME_TWIN = 0.30  # below the merge threshold, so that rates between twins are l
 CONTAINMENT_MIN_WORDS, CONTAINMENT_SHARE = 4, 0.75
 
 
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with word edges between ASCII word signs and all others, as the statements' engine sees them.
+
+    Java counts accented letters as word signs too, so a word after one has no edge there.
+    """
+    sign = "[0-9A-Za-z_]"
+    return pattern.replace(r"\b", f"(?:(?<!{sign})(?={sign})|(?<={sign})(?!{sign}))")
+
+
 def content_words(text: Column) -> Column:
     """Distinct lower-case ASCII words of four letters or more, sorted."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{4,}"), 0)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import condition as C
 from ..functions import listings as L
+from ..functions import text as X
 
 # Spec labels, seller-field prefixes that never leave a page, price words, levels.
 SPEC_LABELS = {"Marka": "make", "Model": "model", "Araç Tipi": "body_type", "Model Yılı": "year", "Km": "km",
@@ -21,6 +22,7 @@ SPEC_LABELS = {"Marka": "make", "Model": "model", "Araç Tipi": "body_type", "Mo
 PRIVATE_PREFIXES = ("seller", "contact", "phone", "email")
 PRICE_WORDS = (r"(?i)(₺|\$|€|£|\bTRY\b|\bUSD\b|\bTL\b|\blira\b|\bdolar\b|\bEUR\b|\beuros?\b(?!\s*-?\s*(?:[0-9]|VI\b|V\b|IV\b|III\b))"
                r"|\bprice[sd]?\b|\bpricing\b|\bcost(s|ing)?\b|\bfiyat\b|\bworth\s+(?:about\s+|around\s+|roughly\s+)?[₺$€£\d]|\bexpensive\b|\bcheap(er|est)?\b)")
+PRICE_WORDS = X.ascii_edges(PRICE_WORDS)
 CONFIDENCE_UNREADABLE = 0.3
 
 

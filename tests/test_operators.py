@@ -13,6 +13,7 @@ from haulstat.functions.condition import SEVERITIES, level_of
 from haulstat.operators import agreement as A
 from haulstat.operators import clusters as K
 from haulstat.operators import findings as D
+from haulstat.operators import identity as ID
 from haulstat.operators import neighbours as N
 from haulstat.operators import ranking as R
 from haulstat.operators import regression as G
@@ -290,6 +291,16 @@ def test_consensus_both_ways(spark, most):
     assert got == want
 
 
+def test_word_edges_beside_accents(spark):
+    """An accented letter is no word sign for the statement, so 'die' has an edge after one."""
+    texts = ["\u00e9die", "die\u00e9", "xdie", "die_", "a die b", None]
+    rows = [("v", i, t, 0.9, False, 0.6) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "listing_id string, photo_id int, observation string, confidence double, fine_detail_ok boolean, degradation double")
+    photos = df.select("listing_id", "photo_id", "fine_detail_ok", "degradation")
+    out = ID.detail_downgrade(df.drop("fine_detail_ok", "degradation"), photos, r"(?i)\b(that|die)\b")
+    assert {r.photo_id for r in out.collect() if r.corrected} == {0, 1, 4}
+
+
 def test_overlap_words(spark):
     df = spark.createDataFrame([("Outer shoulder WORN on the drive tyre",)], "t string")
     assert df.select(T.content_words(F.col("t")).alias("w")).first().w == ["drive", "outer", "shoulder", "tyre", "worn"]
