@@ -1,8 +1,9 @@
-"""Near copies of whole documents: min-hash bands propose, the exact Jaccard of five-word shingles decides.
+"""Near copies of whole documents: SimHash and min-hash bands propose, the exact Jaccard of five-word shingles decides.
 
-A SimHash radius cannot stand in for a similarity: at a Jaccard of 0.8 the
-distance of two fingerprints scatters around 10 bits with a deviation of 3.
-``BANDS`` bands of ``ROWS`` min-hashes miss a pair of exactly ``THRESHOLD``
+The groups that op2's links join are compared as they are. Its radius alone cannot
+stand in for a similarity: at a Jaccard of 0.8 the
+distance of two fingerprints scatters around 10 bits with a deviation of 3. So what lies beyond it meets in
+min-hash bands: ``BANDS`` bands of ``ROWS`` min-hashes miss a pair of exactly ``THRESHOLD``
 with a chance below 1e-9, and every pair that meets is verified exactly.
 """
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut_lineage, map_rows
 from .components import Forest, components
 from .passages import SHINGLE, band_keys, shingle_hashes
+from .simhash import fingerprint, linked_fingerprints
 
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 40  # (1 - 0.8 ** 4) ** 40 = 7e-10
@@ -34,9 +36,13 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 class _Sketches:
-    """(_row, h, keys): the name of each shingle set, with its band keys where the task meets it first."""
+    """(_row, h, keys): the name of each shingle set, with its band keys where the task meets it first.
 
-    def __init__(self):
+    With ``prints`` a fourth value is the SimHash fingerprint of such a text.
+    """
+
+    def __init__(self, prints: bool = False):
+        self.prints = prints
         self.seen: set[int] = set()
         self.rows, self.lists, self.words = [], [], 0
 
@@ -47,20 +53,21 @@ class _Sketches:
             shingles = shingle_set(words)
             h = int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
             if len(shingles) < FEWEST or h in self.seen:
-                yield row, h, None
+                yield (row, h, None, None) if self.prints else (row, h, None)
                 continue
             if len(self.seen) > 1_000_000:
                 self.seen.clear()
             self.seen.add(h)
-            self.rows.append((row, h)), self.lists.append(words)
+            self.rows.append((row, h, fingerprint(text, SHINGLE)) if self.prints else (row, h))
+            self.lists.append(words)
             self.words += len(words)
             if self.words >= 20_000:
                 yield from self.finish()
 
     def finish(self):
         if self.lists:
-            for (row, h), keys in zip(self.rows, band_keys(self.lists, BANDS, ROWS).tolist()):
-                yield row, h, keys
+            for (row, h, *fp), keys in zip(self.rows, band_keys(self.lists, BANDS, ROWS).tolist()):
+                yield row, h, keys, *fp
         self.rows, self.lists, self.words = [], [], 0
 
 
@@ -71,6 +78,13 @@ def _sketches():
 _sketches.per_task = True
 
 
+def _prints():
+    return _Sketches(True)
+
+
+_prints.per_task = True
+
+
 class _Verifier:
     """Rows (bucket, h, shingles) sorted by bucket in, links that join two trees of this task out."""
 
@@ -111,14 +125,24 @@ class _Verifier:
         self.run = {}
 
 
+def simhash_groups(prints: DataFrame) -> DataFrame:
+    """(key, h): shingle sets whose fingerprints are equal or joined by op2's links share a key."""
+    named = cut_lineage(prints.where("fp is not null").select("h", "fp").distinct())
+    roots = components(cut_lineage(linked_fingerprints(named.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    root = F.coalesce("root", "fp")
+    return named.join(roots, "fp", "left").select(F.xxhash64(F.lit("simhash"), root).alias("key"), "h").distinct()
+
+
 def similar_sets(rows: DataFrame, prints: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between names of different shingle sets with an exact Jaccard of at least ``threshold``.
 
+    Sets meet in their bands and, where ``prints`` has fingerprints (``fp``), in their SimHash group.
     Buckets with the same members are compared once. A bucket above ``block``
     members is dealt into blocks, each pair of blocks a piece of its own. Only
     shingles of documents that share a bucket with another one travel.
     """
-    keyed = cut_lineage(prints.where("keys is not null").select(F.explode("keys").alias("key"), "h").distinct())
+    keyed = prints.where("keys is not null").select(F.explode("keys").alias("key"), "h").distinct()
+    keyed = cut_lineage(keyed.unionByName(simhash_groups(prints)) if "fp" in prints.columns else keyed)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor("h").alias("y"))
     sizes = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     met = keyed.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -150,7 +174,7 @@ def first_of_near_copies(docs: DataFrame, columns: list[str], threshold: float =
     with equal shingle sets, and texts without words, are copies of each other.
     """
     rows = cut_lineage(docs.select(*columns).withColumn("_row", F.monotonically_increasing_id()))
-    prints = cut_lineage(map_rows(rows.select("_row", "text"), _sketches, "_row long, h long, keys array<long>"))
+    prints = cut_lineage(map_rows(rows.select("_row", "text"), _prints, "_row long, h long, keys array<long>, fp long"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     nodes = prints.select("_row", "h").join(rows.select("_row", "doc_id"), "_row").groupBy("h").agg(F.min(place).alias("place"))
     roots = components(cut_lineage(similar_sets(rows, prints, threshold))).withColumnRenamed("node", "h")

@@ -210,3 +210,19 @@ def test_quality_trees_are_right_about_held_out_labels(spark):
     y = np.array([r.quality for r in rows])
     right = ((scores >= 0.5) == (y == 1)).mean()
     assert len(rows) > 100 and right > max(y.mean(), 1 - y.mean()) + 0.02, (right, y.mean())
+
+
+def test_near_copies_meet_by_simhash_too(spark):
+    """The named method proposes: with no band at all, texts a few bits apart are still compared and the exact Jaccard decides."""
+    from pyspark.sql import functions as F
+    from haulstat.llm import near
+    from haulstat.llm.common import cut_lineage, map_rows
+    base = " ".join(f"word{i * 7919 % 1009}" for i in range(900))
+    texts = [base, base + " end", "start " + base, " ".join(f"other{i}" for i in range(900))]
+    rows = cut_lineage(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, text string"))
+    prints = cut_lineage(map_rows(rows, near._prints, "_row long, h long, keys array<long>, fp long"))
+    name = {r["_row"]: r.h for r in prints.collect()}
+    alone = prints.withColumn("keys", F.array(F.xxhash64("h")))  # a band of its own for each set
+    links = {frozenset(r) for r in near.similar_sets(rows, alone).collect()}
+    near_ones = {name[0], name[1], name[2]}
+    assert len(links) == 2 and set().union(*links) == near_ones
