@@ -17,6 +17,7 @@ from ..session import cut_lineage, small_table, spread_out
 from . import prices as P
 from . import ranking as R
 from . import regression as G
+from . import replicas as X
 
 HEDONIC, CURVE = ["log1p_age", "log_km", "euro6"], ["log1p_age", "log_km"]
 SHIFTS = {"log1p_age": 2.0, "log_km": 12.0, "y": 10.0}
@@ -116,10 +117,10 @@ def price_unknown_makes(df: DataFrame, level: float = 0.8, widening: float = P.U
     used = F.when(F.col("brand").isin([b for b in known if b != "other"]), F.col("brand")).otherwise("other")
     rows = spread_out(df).withColumn("brand_used", used)
     inner = [({"held": h.make, "fold": int(k)}, f) for h in fits for k, f in h.by_fold.items()]
-    lines = G.line_table(spark, inner, design, {"brand_used": known}).withColumn("fold", F.col("fold").cast("int"))
-    rest = rest_residuals(rows, lines, design)
+    brands = sorted({b for h in fits for b in (h.make, *h.makes)})
+    lines = X.replicas(inner, design, {"brand_used": known}, ["held"], "brand", brands, lambda brand, tag: brand != tag[0])
     tail = (1 - level) / 2
-    bands = R.exact_percentiles(rest, ["held"], "resid", [tail, 1 - tail], ["lo", "hi"]).drop("n")
+    bands = X.exact_percentiles(rows, lines, HEDONIC, [tail, 1 - tail], ["lo", "hi"])
     facts = []
     for h in fits:
         line = (np.zeros(2), 0.0) if h.curve is None else (h.curve.slopes, h.curve.constant - sum(s * SHIFTS[c] for s, c in zip(h.curve.slopes, CURVE)))
@@ -136,12 +137,6 @@ def price_unknown_makes(df: DataFrame, level: float = 0.8, widening: float = P.U
     return test.select("held", "y", "lo", "hi", "plain", F.when(there, mu).otherwise(F.col("plain")).alias("anchored"), factor.alias("factor"), F.when(there, weight).alias("weight"))
 
 
-def rest_residuals(rows: DataFrame, lines: DataFrame, design: G.Design) -> DataFrame:
-    """(held, resid): out-of-fold residuals of the rows of every other make, for each held-out one."""
-    scored = G.score(rows, lines, ["fold", "brand_used"], design).where("held <> brand")
-    return scored.select("held", (F.col("y") - F.col("predicted")).alias("resid"))
-
-
 def holdout_report(priced: DataFrame, widening: float = P.UNKNOWN_BRAND_WIDENING) -> DataFrame:
     """A row for each held-out make: coverage, median error and band factor of both routes, and the anchor's mean weight."""
     y, f = F.col("y"), F.col("factor")

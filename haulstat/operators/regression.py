@@ -154,6 +154,12 @@ def line_table(spark: SparkSession, fits: list[tuple[dict, Fit]], design: Design
     undone) and the slopes of the dense columns, so scoring is one equi-join
     with a small table and a handful of multiplications.
     """
+    names, rows = line_rows(fits, design, categories)
+    return small_table(spark, rows, names)
+
+
+def line_rows(fits: list[tuple[dict, Fit]], design: Design, categories: dict[str, list]) -> tuple[list[str], list[tuple]]:
+    """(names, rows) of ``line_table``."""
     rows = []
     for tags, model in fits:
         slope = dict(zip(model.columns, model.slopes))
@@ -166,8 +172,7 @@ def line_table(spark: SparkSession, fits: list[tuple[dict, Fit]], design: Design
         for combo in combos:
             const = base + sum(slope.get(f"{c}_{v}", 0.0) for c, v in zip(categories, combo))
             rows.append((*tags.values(), *combo, float(const), *dense))
-    names = [*fits[0][0], *categories, "_const", *[f"_b_{c}" for c in design.dense]]
-    return small_table(spark, rows, names)
+    return [*fits[0][0], *categories, "_const", *[f"_b_{c}" for c in design.dense]], rows
 
 
 def predicted(design: Design) -> Column:
@@ -197,12 +202,16 @@ def residual_percentiles(residuals: DataFrame, by: list[str], value: str, probs:
 def widening_needed(required: DataFrame, by: list[str], level: float, step: float = 0.05, top: float = 4.0) -> DataFrame:
     """Smallest grid factor in [1, top] at which a ``level`` share of the rows is covered.
 
-    ``required`` holds each row's own needed factor. The answer is an order
-    statistic of it rounded up to the grid, so no factor is ever rescanned.
+    ``required`` holds each row's own needed factor. Rounding up to the grid keeps the order, so the
+    rows are counted by grid factor and the wanted rank is looked up among the counts.
     """
-    from .ranking import grouped_positions
-    ranked = grouped_positions(required, by, [F.col("needed"), F.col("_row")])
-    at_level = F.ceil(F.col("group_size") * level - 1e-9)
-    picked = ranked.where(F.col("position") == at_level)
+    from pyspark.sql import Window as W
     grid = 1.0 + F.ceil((F.col("needed") - 1.0 - 1e-9) / step) * step
-    return picked.select(*by, F.round(F.least(F.lit(top), F.greatest(F.lit(1.0), grid)), 2).alias("widening_needed"))
+    factor = F.round(F.least(F.lit(top), F.greatest(F.lit(1.0), grid)), 2)
+    counts = required.groupBy(*by, factor.alias("widening_needed")).agg(F.count("*").alias("_c"))
+    group = W.partitionBy(*by)
+    counts = (counts.withColumn("_upto", F.sum("_c").over(group.orderBy("widening_needed")))
+              .withColumn("_n", F.sum("_c").over(group)))
+    at_level = F.ceil(F.col("_n") * level - 1e-9)
+    reached = (F.col("_upto") >= at_level) & (F.col("_upto") - F.col("_c") < at_level)
+    return counts.where(reached).select(*by, "widening_needed")
