@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import fold_of, uniform
@@ -14,6 +16,7 @@ from ..operators import permutations as M
 from ..operators import prices as P
 from ..operators import ranking as R
 from ..operators import regression as G
+from ..operators import replicas as X
 from ..session import cut_lineage, small_table, spread_out
 from .registry import query
 from .statements import permuted_sql, ridge_sql
@@ -315,21 +318,19 @@ def calibration(t, df, rows, design, brands, splits=CALIBRATION_SPLITS, levels=(
     filled = df.withColumn("np_value", F.when(F.col("np_missing") == 1, F.lit(float(fill))).otherwise(F.col("np_value")))
     filled = filled.withColumn("brand_used", F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other"))
     base = spread_out(cut_lineage(filled.select("cell", "market", "brand_used", *DENSE, "y").withColumn("inner", F.col("cell") % 5)))
-    side = small_table(t.spark, [(s, int(c), c in test) for s, test in enumerate(sides) for c in range(SPLIT_CELLS)], ["split", "cell", "held"])
-    paired = base.join(side, "cell")
-    on = ["split", "market", "brand_used"]
-    inside = G.score(paired.where("not held"), G.line_table(t.spark, inner, design, cats), on + ["inner"], design)
-    inside = inside.withColumn("resid", F.col("y") - F.col("predicted"))
+    cells = list(range(SPLIT_CELLS))
+    inside = X.replicas(inner, design, cats, ["split"], "cell", cells, lambda c, tag: c not in sides[tag[0]])
+    outside = X.replicas(outer, design, cats, ["split"], "cell", cells, lambda c, tag: c in sides[tag[0]])
     probs = [p for lv in levels for p in ((1 - lv) / 2, 1 - (1 - lv) / 2)]
     names = [f"{e}{int(lv * 100)}" for lv in levels for e in ("lo", "hi")]
-    offsets = G.residual_percentiles(inside, ["split"], "resid", probs, names)
-    tested = G.score(paired.where("held"), G.line_table(t.spark, outer, design, cats), on, design)
-    tested = tested.withColumn("resid", F.col("y") - F.col("predicted")).join(offsets.drop("n"), "split")
-    aggs = [F.count("*").alias("n")]
-    for lv in levels:
+    offsets = cut_lineage(X.rounded_percentiles(base, inside, DENSE, probs, names))
+    bands = {(r["split"],): [(r[f"lo{int(lv * 100)}"], r[f"hi{int(lv * 100)}"]) for lv in levels] for r in offsets.collect()}  # one row a split
+    tested = X.covered(base, outside, DENSE, bands).join(offsets, "split")
+    aggs = [F.sum("n").alias("n")]
+    for i, lv in enumerate(levels):
         q = int(lv * 100)
-        aggs += [F.avg(F.col("resid").between(F.col(f"lo{q}"), F.col(f"hi{q}")).cast("double")).alias(f"coverage_{q}"),
-                 F.avg(F.expm1(F.col(f"hi{q}") - F.col(f"lo{q}"))).alias(f"width_{q}")]
+        aggs += [(F.sum(f"hits_{i}") / F.sum("n")).alias(f"coverage_{q}"),
+                 (F.sum(F.col("n") * F.expm1(F.col(f"hi{q}") - F.col(f"lo{q}"))) / F.sum("n")).alias(f"width_{q}")]
     return tested.agg(*aggs)
 
 
@@ -351,7 +352,7 @@ def brand_holdouts(t, level, markets=("TR", "EU", "US")):
     """Every make of every market priced by a fit that never saw it."""
     df = cut_lineage(frame(t).select("listing_id", "market", "brand", "fold", *DENSE, "log_new_price", "y"))
     rows = full_cells(df, ["market", "brand", "fold"])
-    outer, inner, fills = [], [], []
+    outer, inner, fills = [], {}, []
     design0, brands = full_design(rows)
     for r in rows:
         r["moments"] = design0.moments([r])
@@ -370,15 +371,17 @@ def brand_holdouts(t, level, markets=("TR", "EU", "US")):
             outer.append((tag, G.fit(prepare(whole), design.columns)))
             fills.append((m, b, float(fill)))
             for f, part in by_key(train, "fold").items():
-                inner.append(({**tag, "fold": int(f)}, G.fit(prepare(whole - sum(r["moments"] for r in part)), design.columns)))
+                inner.setdefault(m, []).append(({"held": b, "fold": int(f)}, G.fit(prepare(whole - sum(r["moments"] for r in part)), design.columns)))
     cats = {"brand_used": brands}
     base = spread_out(df).withColumn("brand_used", F.col("brand")).select("market", "brand_used", "fold", *DENSE, "log_new_price", "y", F.col("listing_id").alias("_row"))
     plan = small_table(t.spark, fills, ["market", "held", "fill"])
-    crossed = base.join(plan, "market").withColumn("np_value", F.when(F.col("np_missing") == 1, F.col("fill")).otherwise(F.col("np_value")))
-    train = G.score(crossed.where("brand_used <> held"), G.line_table(t.spark, inner, design, cats).withColumn("fold", F.col("fold").cast("int")),
-                    ["market", "held", "fold", "brand_used"], design).withColumn("resid", F.col("y") - F.col("predicted"))
     tail = (1 - level) / 2
-    offsets = G.residual_percentiles(train, ["market", "held"], "resid", [tail, 1 - tail], ["lo", "hi"]).drop("n")
+    per_market = []
+    for m, fits in inner.items():
+        lines = X.replicas(fits, design, cats, ["held"], "brand_used", brands, lambda brand, tag: brand != tag[0], {(b,): v for k, b, v in fills if k == m})
+        found = X.rounded_percentiles(base.where(F.col("market") == m), lines, DENSE, [tail, 1 - tail], ["lo", "hi"])
+        per_market.append(found.withColumn("market", F.lit(m)))
+    offsets = cut_lineage(reduce(DataFrame.unionByName, per_market))
     per_brand = df.groupBy("market", "brand").agg(F.min("log_new_price").alias("lo_np"), F.max("log_new_price").alias("hi_np"))
     support = plan.join(per_brand, "market").where("brand <> held").groupBy("market", "held").agg(
         F.min("lo_np").alias("np_lo"), F.max("hi_np").alias("np_hi"))
