@@ -37,14 +37,14 @@ def multipliers(draws: int, block: int = BLOCK) -> list[int]:
 
 
 def in_blocks(df: DataFrame, strata: list[str], row: str, seed: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with _block, a random part of its stratum of about ``block`` rows, and _key, a random order inside.
+    """``df`` with _s, its stratum's name, and _block, a random part of its stratum of about ``block`` rows.
 
     Sizes are counted per stratum (null is a value like any other) and joined back; Spark
     broadcasts them where their size allows, so a hot stratum stays where it is until it is cut.
     """
     keyed = df.withColumn("_s", F.to_json(F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(strata)])) if strata else F.lit(""))
     sizes = keyed.groupBy("_s").agg(F.ceil(F.count("*") / F.lit(block)).alias("_blocks"))
-    out = keyed.join(sizes, "_s").withColumn("_key", draw_key(seed, row))
+    out = keyed.join(sizes, "_s")
     return out.withColumn("_block", hash32(F.concat_ws("|", F.lit(f"{seed}-block"), F.col(row).cast("string"))) % F.col("_blocks")).drop("_blocks")
 
 
@@ -62,9 +62,10 @@ def permuted_sums(df: DataFrame, value: str, xs: list[str], row: str, draws: int
     strata, by, squares = list(strata), list(by), list(squares)
     blocks = in_blocks(df.where(F.col(value).isNotNull()), strata, row, seed, block)
     numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in xs]).cast("array<double>")
-    sent = blocks.select("_s", "_block", "_key", F.col(row).cast("string").alias("_row"), F.to_json(F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))).alias("_by"),
+    sent = blocks.select("_s", "_block", F.col(row).cast("string").alias("_row"), F.to_json(F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0))).alias("_by"),
                          F.col(value).cast("double").alias("_v"), numbers.alias("_x"))
-    sent = sent.repartition("_s", "_block").sortWithinPartitions("_s", "_block", "_key", "_row", "_v")
+    # The random order follows from the row's name, so it is not shuffled.
+    sent = sent.repartition("_s", "_block").withColumn("_key", draw_key(seed, "_row")).sortWithinPartitions("_s", "_block", "_key", "_row", "_v").drop("_key")
     primes = np.array([1, *multipliers(draws, block)], np.int64)
     terms = ["1", *xs, "1^2", *[f"{c}^2" for c in squares]]
     squared = [0, *[1 + xs.index(c) for c in squares]]
@@ -114,9 +115,9 @@ def whole_blocks(batches, width: int) -> Iterator[tuple]:
 
     for batch in batches:
         strata, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        names, groups = batch.column(3).to_pylist(), np.array(batch.column(4).to_pylist(), object).astype(str)
-        v = batch.column(5).to_numpy(zero_copy_only=False)
-        x = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(names), width)
+        names, groups = batch.column(2).to_pylist(), np.array(batch.column(3).to_pylist(), object).astype(str)
+        v = batch.column(4).to_numpy(zero_copy_only=False)
+        x = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(names), width)
         edges = [0] + [i for i in range(1, len(names)) if (strata[i], blocks[i]) != (strata[i - 1], blocks[i - 1])] + [len(names)]
         for a, b in zip(edges, edges[1:]):
             if a == b:

@@ -117,8 +117,9 @@ def rank_with_ties(df: DataFrame, by: list[str], value: str, name: str) -> DataF
     src = df if by else df.withColumn("_all", F.lit(0))
     counted = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ranked = running_total(counted, keys, [F.col(value)], "_c", "_upto")
-    ranked = ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name),
-                           (F.col("_upto") - F.col("_c") + 1).alias(f"{name}_low"))
+    # Stored, so that Spark knows the size of the ranks and sends few of them to the rows.
+    ranked = cut_lineage(ranked.select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name),
+                                       (F.col("_upto") - F.col("_c") + 1).alias(f"{name}_low")))
     return src.join(ranked, keys + [value], "left").drop("_all")
 
 

@@ -200,7 +200,7 @@ def partial(r, a, b, controls):
 
 
 def rank_frame(t):
-    df = t.listings.where("km is not null").select("listing_id", "market", "make", "km", (-F.col("year")).alias("age"), F.col("price").alias("demerit"), F.col("n_images").alias("quality"))
+    df = cut_lineage(t.listings.where("km is not null").select("listing_id", "market", "make", "km", (-F.col("year")).alias("age"), F.col("price").alias("demerit"), F.col("n_images").alias("quality")))
     for c in ("demerit", "km", "age", "quality"):
         df = R.rank_with_ties(df, [], c, f"r_{c}").drop(f"r_{c}_low")
     return df.select("listing_id", "market", "make", *[F.col(f"r_{c}").alias(f"{c}_r") for c in ("demerit", "km", "age", "quality")])
@@ -248,11 +248,11 @@ def stratified_null(t, draws: int = STRATIFIED_DRAWS):
     Only the products of the permuted rank with the three other ranks change from draw to draw,
     so a draw is four sums, added up where the rows are.
     """
-    ranks = rank_frame(t)
+    ranks = cut_lineage(rank_frame(t))
     n = ranks.agg(F.count("*").alias("n"))
     names = ["demerit_r", "km_r", "age_r", "quality_r"]
     centred = R.with_row(ranks, n, "n")
-    centred = cut_lineage(centred.select("listing_id", "market", "make", *[(F.col(c) - (F.col("n") + 1) / 2.0).alias(c) for c in names]))
+    centred = centred.select("listing_id", "market", "make", *[(F.col(c) - (F.col("n") + 1) / 2.0).alias(c) for c in names])
     fixed = correlation_sums(centred, names)
     others = ["demerit_r", "age_r", "quality_r"]
     sums = M.permuted_sums(centred, "km_r", others, "listing_id", draws, "null", strata=["market", "make"])
