@@ -15,7 +15,7 @@ from ..operators import regression as G
 from ..operators import sampling as S
 from ..operators import vectors as V
 from ..session import cut_lineage
-from .pricing import SHIFTS, by_key, frame, permuted_column, spec_residuals
+from .pricing import DENSE, SHIFTS, by_key, frame, permuted_column, spec_residuals
 from .registry import query
 from .statements import ridge_sql
 
@@ -295,17 +295,23 @@ def probe_row(name, df, xs, dims, extra=()):
     return (name, n, *extra, float(sd), real, float(np.median(null)), float(np.percentile(null, 95)), len(null), p, "signal" if p < 0.05 else "no_signal")
 
 
-def pool_residuals(t, markets):
+def pooled_frame(t):
+    """The price frame of all pools, stored once: each pool reads it twice."""
+    markets = sorted({m for pool in POOLS.values() for m in pool})
+    return cut_lineage(frame(t).where(F.col("market").isin(*markets)).select("listing_id", "market", "brand", "fold", *DENSE, "y"))
+
+
+def pool_residuals(adverts, markets):
     """(vehicle, y): the mean out-of-fold residual of a vehicle's adverts, fitted on these markets alone."""
-    return spec_residuals(frame(t).where(F.col("market").isin(*markets))).groupBy("vehicle").agg(F.avg("resid").alias("y"))
+    return spec_residuals(adverts.where(F.col("market").isin(*markets))).groupBy("vehicle").agg(F.avg("resid").alias("y"))
 
 
 @query("i13_residual_signal_probe")
 def residual_signal_probe(t):
     """Do the embeddings explain what the price model leaves? By market and pooled, nested folds against permuted residuals."""
     vectors, xs = vehicle_embeddings(t)
-    vectors = cut_lineage(vectors)
-    rows = [probe_row(name, pool_residuals(t, markets).join(vectors, "vehicle"), xs, (4, 8, 16, 32)) for name, markets in POOLS.items()]
+    vectors, adverts = cut_lineage(vectors), pooled_frame(t)
+    rows = [probe_row(name, pool_residuals(adverts, markets).join(vectors, "vehicle"), xs, (4, 8, 16, 32)) for name, markets in POOLS.items()]
     return t.spark.createDataFrame(rows, """pool string, n_vehicles bigint, residual_sd double, r2 double, null_median double, null_p95 double, draws bigint,
         p_value double, verdict string""")
 
@@ -322,10 +328,10 @@ def panel_features(t):
 def panel_score_probe(t):
     """Do panel scores explain what the price model leaves, where they spread at all? The same pools and null; alpha alone is chosen."""
     features, xs = panel_features(t)
-    features = cut_lineage(features)
+    features, adverts = cut_lineage(features), pooled_frame(t)
     rows = []
     for name, markets in POOLS.items():
-        df = cut_lineage(pool_residuals(t, markets).join(features, "vehicle"))
+        df = cut_lineage(pool_residuals(adverts, markets).join(features, "vehicle"))
         spread = df.agg(F.stddev_samp("panel_score").alias("sd"), F.countDistinct("panel_score").alias("n")).first()
         row = probe_row(name, df, xs, (len(xs),), (spread["sd"], spread["n"]))
         rows.append((*row[:-1], "no_spread" if row[-1] != "skipped" and spread["sd"] < 0.05 else row[-1]))

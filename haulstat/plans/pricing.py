@@ -234,7 +234,7 @@ def ridge_full(t):
 
 
 def spec_residuals(df):
-    """(listing_id, vehicle, market, resid): out-of-fold residuals of the full design, folds of whole spec groups, as a stored table."""
+    """(listing_id, vehicle, market, resid): out-of-fold residuals of the full design, folds of whole spec groups."""
     rows = full_cells(df, ["fold", "market", "brand"])
     design, brands = full_design(rows)
     whole = design.moments(rows)
@@ -244,14 +244,15 @@ def spec_residuals(df):
     filled = df.withColumn("np_value", F.when(F.col("np_missing") == 1, F.lit(float(fill))).otherwise(F.col("np_value")))
     filled = filled.withColumn("brand_used", F.when(F.col("brand").isin(brands), F.col("brand")).otherwise("other"))
     scored = G.score(filled, lines, ["fold", "market", "brand_used"], design)
-    return cut_lineage(scored.select("listing_id", F.split_part("listing_id", F.lit("-"), F.lit(1)).alias("vehicle"), "market", (F.col("y") - F.col("predicted")).alias("resid")))
+    return scored.select("listing_id", F.split_part("listing_id", F.lit("-"), F.lit(1)).alias("vehicle"), "market", (F.col("y") - F.col("predicted")).alias("resid"))
 
 
 @query("i13_vehicle_residuals", "listings", "WITH_RECURSIVE " + RESIDUAL_SQL + """
 SELECT vehicle, count(*) AS n_listings, round(avg(resid), 6) AS residual FROM residuals GROUP BY 1""")
 def vehicle_residuals(t):
     """The residual a vehicle's adverts share: the target of the probes."""
-    return spec_residuals(frame(t)).groupBy("vehicle").agg(F.count("*").alias("n_listings"), F.round(F.avg("resid"), 6).alias("residual"))
+    adverts = cut_lineage(frame(t).select("listing_id", "market", "brand", "fold", *DENSE, "y"))
+    return spec_residuals(adverts).groupBy("vehicle").agg(F.count("*").alias("n_listings"), F.round(F.avg("resid"), 6).alias("residual"))
 
 
 NO_PRICE = ["log1p_age", "log_km", "euro6"]
