@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .ranking import grouped_positions, with_row
+from .ranking import grouped_positions
 
 BLOCK = 512      # rows of one side of a block product: bounds the memory of a task
-CELLS = 64       # reference vectors that cut the space; a fixed number
+SPREAD = 16      # blocks that all rows of a table are dealt to, whatever its size
+LEAST_BLOCK, WIDEST = 256, 65_536  # rows below which a block is not made and above which there are more blocks
+PRODUCT = 4_194_304  # entries of a block product that a task holds at once
 CLASS_LIMIT = 4096
 
 
@@ -102,76 +104,94 @@ def close_pairs(df: DataFrame, unit_cols: list[str], id_col: str, vector: str, t
     return task.groupBy(*unit_cols, "_lo", "_hi").applyInPandas(product, T.StructType(fields))
 
 
+def _best(sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest entry of every row to 12 digits and the first place of those equal to it."""
+    at = sim.argmax(axis=1)
+    top = sim[np.arange(len(sim)), at]
+    close = np.nonzero(np.count_nonzero(sim >= (top - 2e-12)[:, None], axis=1) > 1)[0]
+    if len(close):
+        at[close] = np.round(sim[close], 12).argmax(axis=1)
+    return np.round(top, 12), at
+
+
 def nearest_cosine(df: DataFrame, id_col: str, vector: str, group: str, code: str | None = None, code_floor: int = 8) -> DataFrame:
-    """Exact nearest other row by cosine (ties: smaller id), as ``neighbour`` and ``cosine``.
-
-    Rows fall into cells around a fixed number of reference vectors. A row
-    first searches its own cell. On the sphere the angle to anything in a cell
-    is at least the gap between the row's angle to the reference and the cell's
-    range of angles; only cells whose gap is below the best angle so far are
-    searched too. With ``code`` (two 32-bit halves) same-group neighbours with
-    fewer than ``code_floor`` differing bits do not count.
+    """Exact nearest other row by cosine (to 12 digits; ties: smaller id), as ``neighbour`` and ``cosine``.
+
+    Rows are dealt to SPREAD blocks, more only when a block would pass WIDEST
+    rows, and a task multiplies two blocks for both sides. A row is thus sent
+    SPREAD + 1 times however many rows there are, and a task holds two blocks
+    and a bounded piece of their product. With ``code`` (two 32-bit halves)
+    ``far_neighbour`` and ``far_cosine`` come from the same products: the
+    nearest row but for same-group ones with fewer than ``code_floor`` differing bits.
     """
-    refs = df.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(CELLS).select(vector).collect()
-    pivots = np.array([r[0] for r in refs], dtype=float)
     codes = [code] if code else []
-
-    @F.pandas_udf("array<double>")
-    def angles(v: pd.Series) -> pd.Series:
-        sim = np.clip(np.stack(v.to_numpy()).astype(float) @ pivots.T, -1.0, 1.0)
-        return pd.Series(list(np.arccos(sim)))
-
     rows = df.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"), F.col(group).alias("_g"), *[F.col(c).alias("_h") for c in codes])
-    rows = rows.withColumn("_a", angles("_v"))
-    rows = rows.withColumn("_cell", F.array_position("_a", F.array_min("_a")).cast("int") - 1)
-    rows = cut_lineage(rows.withColumn("_r", F.element_at("_a", F.col("_cell") + 1)))
-    shape = rows.groupBy("_cell").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("_k"))
-    held = rows.join(shape.select("_cell", "_k"), "_cell").withColumn("_i", F.pmod(F.xxhash64("_id"), F.col("_k")).cast("int"))
+    n = df.count()
+    blocks = max(1, min(SPREAD, -(-n // LEAST_BLOCK)), -(-n // WIDEST))
+    dealt = rows.withColumn("_i", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"))
+    copies = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    task = copies.select(F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), (F.col("_i") <= F.col("_j")).alias("_left"), *rows.columns)
     id_type = df.schema[id_col].dataType
-    out_type = T.StructType([T.StructField("_id", id_type), T.StructField("neighbour", id_type), T.StructField("cosine", T.DoubleType())])
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            right = right.rename(columns=lambda c: c[1:]).sort_values("_id")
-            y = np.stack(right["_v"].to_numpy()).astype(float)
-            ids, groups = right["_id"].to_numpy(), right["_g"].to_numpy()
-            hashes = right["_h"].to_numpy().astype(np.uint64) if codes else None
-            for start in range(0, len(left), BLOCK):
-                part = left.iloc[start:start + BLOCK]
-                sim = np.stack(part["_v"].to_numpy()).astype(float) @ y.T
-                sim[part["_id"].to_numpy()[:, None] == ids[None, :]] = -2.0
-                if codes:
-                    bits = np.bitwise_count(part["_h"].to_numpy().astype(np.uint64)[:, None] ^ hashes[None, :])
-                    sim[(part["_g"].to_numpy()[:, None] == groups[None, :]) & (bits < code_floor)] = -2.0
-                best = sim.argmax(axis=1)
-                top = sim[np.arange(len(part)), best]
-                ok = top > -2.0
-                found.append(pd.DataFrame({"_id": part["_id"].to_numpy()[ok], "neighbour": ids[best][ok], "cosine": top[ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"_id": pd.Series(dtype=object), "neighbour": pd.Series(dtype=object), "cosine": pd.Series(dtype=float)})
-
-    def probe(asked: DataFrame) -> DataFrame:
-        """Best answer of every (row, cell) asked; query rows are split over tasks too."""
-        spread = asked.join(shape.select("_cell", "_k"), "_cell").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        wide = spread.withColumn("_q", F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.col("_k"))).cast("int"))
-        sides = held.join(shape.select("_cell", F.col("_k").alias("_kk")), "_cell").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_kk") - 1)))
-        left = wide.select("_cell", "_i", "_q", "_id", "_v", "_g", *["_h" for _ in codes])
-        right = sides.select(*[F.col(c).alias(f"r{c}") for c in left.columns])
-        hits = left.groupBy("_cell", "_i", "_q").cogroup(right.groupBy("r_cell", "r_i", "r_q")).applyInPandas(search, out_type)
-        # A fixed grid makes equal cosines from different block shapes tie.
-        return hits.groupBy("_id").agg(F.min(F.struct((-F.round("cosine", 12)).alias("c"), "neighbour")).alias("_best"))
-
-    own = cut_lineage(probe(rows))
-    ranges = shape.agg(F.array_sort(F.collect_list(F.struct("_cell", "lo", "hi"))).alias("_shape"))  # at most CELLS entries
-    judged = with_row(rows.join(own, "_id", "left"), ranges, "_shape")
-    best_angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(-F.col("_best.c"), F.lit(-1.0)))))
-    open_cells = F.filter("_shape", lambda s: (s["_cell"] != F.col("_cell")) & (
-        F.greatest(F.lit(0.0), F.element_at("_a", s["_cell"] + 1) - s["hi"], s["lo"] - F.element_at("_a", s["_cell"] + 1)) <= best_angle + 1e-9))
-    more = judged.withColumn("_to", F.explode(F.transform(open_cells, lambda s: s["_cell"]))).drop("_cell", "_best").withColumnRenamed("_to", "_cell")
-    rest = probe(more).withColumnRenamed("_best", "_more")
-    both = rows.select("_id", "_g").join(own, "_id", "left").join(rest, "_id", "left").withColumn("_b", F.least("_best", "_more"))
-    named = both.select(F.col("_id").alias(id_col), F.col("_g").alias(group), F.col("_b.neighbour").alias("neighbour"), (-F.col("_b.c")).alias("cosine"))
-    return named
+    found = [T.StructField("neighbour", id_type), T.StructField("cosine", T.DoubleType())]
+    if codes:
+        found += [T.StructField("far_neighbour", id_type), T.StructField("far_cosine", T.DoubleType())]
+    out_type = T.StructType([T.StructField("_id", id_type), *found])
+
+    def side(pdf: pd.DataFrame) -> tuple:
+        pdf = pdf.sort_values("_id")
+        return (pdf["_id"].to_numpy(), pdf["_g"].to_numpy(), np.stack(pdf["_v"].to_numpy()).astype(float),
+                pdf["_h"].to_numpy().astype(np.int64).view(np.uint64) if codes else None)
+
+    def answers(sim: np.ndarray, a: tuple, b: tuple) -> list[np.ndarray]:
+        """[cosine, place in b] of every row of a, with codes also those of the far neighbour."""
+        top, at = _best(sim)
+        if not codes:
+            return [top, at]
+        far_top, far_at = top.copy(), at.copy()
+        hidden = np.nonzero((a[1] == b[1][at]) & (np.bitwise_count(a[3] ^ b[3][at]) < code_floor))[0]
+        if len(hidden):
+            left = sim[hidden]
+            left[(a[1][hidden][:, None] == b[1][None, :]) & (np.bitwise_count(a[3][hidden][:, None] ^ b[3][None, :]) < code_floor)] = -2.0
+            far_top[hidden], far_at[hidden] = _best(left)
+        return [top, at, far_top, far_at]
+
+    def told(a: tuple, b: tuple, best: list[np.ndarray]) -> pd.DataFrame:
+        out = {"_id": pd.Series(a[0])}
+        for name, top, at in zip(("", "far_"), best[::2], best[1::2]):
+            out[f"{name}neighbour"] = pd.Series(b[0][at].astype(object)).where(pd.Series(top > -2.0), None)
+            out[f"{name}cosine"] = np.where(top > -2.0, top, np.nan)
+        return pd.DataFrame(out)
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["_lo"].iloc[0] == pdf["_hi"].iloc[0]
+        left = pdf[pdf["_left"]]
+        right = left if same else pdf[~pdf["_left"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_type})
+        a, b = side(left), side(right)
+        step, pieces, back = max(1, PRODUCT // len(right)), [], None
+        for start in range(0, len(left), step):
+            part = tuple(None if x is None else x[start:start + step] for x in a)
+            sim = part[2] @ b[2].T
+            if same:
+                sim[part[0][:, None] == b[0][None, :]] = -2.0
+            pieces.append(answers(sim, part, b))
+            if not same:
+                other = answers(np.ascontiguousarray(sim.T), b, part)
+                if back is None:
+                    back = other
+                for k in range(0, len(other), 2):
+                    better = other[k] > back[k]  # pieces come in the order of ids, so the first of equals stays
+                    back[k] = np.where(better, other[k], back[k])
+                    back[k + 1] = np.where(better, other[k + 1] + start, back[k + 1])
+        out = [told(a, b, [np.concatenate(x) for x in zip(*pieces)])]
+        return pd.concat(out if same else [*out, told(b, a, back)])
+
+    hits = task.groupBy("_lo", "_hi").applyInPandas(product, out_type)
+    names = ["", "far_"] if codes else [""]
+    best = hits.groupBy("_id").agg(*[F.min(F.when(F.col(f"{x}neighbour").isNotNull(), F.struct((-F.col(f"{x}cosine")).alias("c"), f"{x}neighbour"))).alias(f"_{x}best") for x in names])
+    named = [c for x in names for c in (F.col(f"_{x}best.{x}neighbour").alias(f"{x}neighbour"), (-F.col(f"_{x}best.c")).alias(f"{x}cosine"))]
+    return rows.select("_id", "_g").join(best, "_id", "left").select(F.col("_id").alias(id_col), F.col("_g").alias(group), *named)
 
 
 def zero_shot(df: DataFrame, vector: str, bank: DataFrame, scale: float) -> DataFrame:

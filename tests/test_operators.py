@@ -140,6 +140,47 @@ def test_nearest_cosine_is_exact(spark):
     assert all(got[i] == sim[i].argmax() for i in range(300))
 
 
+def test_nearest_cosine_sends_a_row_as_often_in_a_large_table(spark, monkeypatch):
+    """Ties, copies and hidden codes over several blocks; a block's product in small pieces."""
+    monkeypatch.setattr(V, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(V, "PRODUCT", 256)
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, size=(240, 4)) + np.array([0, 0, 0, 0.5])  # many equal cosines
+    x[200:] = x[7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = [int(rng.integers(0, 2 ** 62)) if i % 2 == 0 else None for i in range(240)]
+    code = [c if c is not None else code[i - 1] for i, c in enumerate(code)]
+    df = spark.createDataFrame([(i, x[i].tolist(), i // 2 % 3, code[i]) for i in range(240)], "id long, v array<double>, g int, code long").repartition(5)
+    out = V.nearest_cosine(df, "id", "v", "g", "code")
+    got = {r.id: (r.neighbour, r.far_neighbour) for r in out.collect()}
+    sim = np.round(x @ x.T, 12)
+    np.fill_diagonal(sim, -99)
+    for i in range(240):
+        far = [sim[i, j] if j == i or code[i] != code[j] else -99 for j in range(240)]
+        assert got[i] == (int(sim[i].argmax()), int(np.argmax(far)))
+    assert V.nearest_cosine(df.limit(0), "id", "v", "g", "code").count() == 0
+    monkeypatch.setattr(V, "PRODUCT", 1_000_000)
+    sent = {n: nearest_copies(spark, monkeypatch, n) for n in (400, 800)}
+    assert sent[800] == 2 * sent[400]
+
+
+def nearest_copies(spark, monkeypatch, n):
+    """Rows, copies counted, that the tasks of a search over ``n`` rows answer for."""
+    seen = spark.sparkContext.accumulator(0)
+    best = V._best
+
+    def counted(sim):
+        seen.add(len(sim))
+        return best(sim)
+
+    monkeypatch.setattr(V, "_best", counted)
+    rng = np.random.default_rng(n)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), 0) for i in range(n)], "id long, v array<double>, g int")
+    V.nearest_cosine(df, "id", "v", "g").count()
+    monkeypatch.setattr(V, "_best", best)
+    return seen.value
+
+
 def test_close_pairs_and_components(spark):
     base = np.eye(4)
     chain = [[1, 0.0, 0, 0], [0.9, 0.436, 0, 0], [0.62, 0.785, 0, 0]]  # a~b~c, a and c apart
