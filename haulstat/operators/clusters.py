@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-MOST_ROWS = 4096  # rows of a group that one task folds; larger groups take the rounds
+MOST_ROWS = 65_536  # rows of a group that one task folds; larger groups take the rounds
 
 
 def split_by_size(df: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -54,6 +54,39 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list, read: list[str],
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], read: list[str], start: Callable, fields: list[T.StructField]) -> DataFrame:
+    """``keys`` and ``fields`` of the rows that each group's state hands on at its end.
+
+    ``start()`` makes the state of a group, whose ``take`` is called with the ``read`` columns of one row after another, in ``order``.
+    """
+    schema = T.StructType([*[df.schema[k] for k in keys], *fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        shape = to_arrow_schema(schema)
+
+        def handed(rows):
+            columns = list(zip(*rows)) if rows else [()] * len(shape)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, shape)], schema=shape)
+
+        group = state = None
+        for batch in batches:
+            rows = []
+            groups = zip(*[batch.column(k).to_pylist() for k in keys])
+            for key, row in zip(groups, zip(*[batch.column(c).to_pylist() for c in read])):
+                if state is None or key != group:
+                    if state is not None:
+                        rows.extend((*group, *r) for r in state.finish())
+                    group, state = key, start()
+                state.take(*row)
+            yield handed(rows)
+        if state is not None:
+            yield handed([(*group, *r) for r in state.finish()])
+
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def leaders(nodes: DataFrame, edges: DataFrame, node: list[str], later: dict[str, str]) -> DataFrame:
     """Which nodes start a cluster when items are taken in order.
 
@@ -84,8 +117,7 @@ def mutual_best(candidates: DataFrame, left: list[str], right: list[str], order:
     each other's best are exactly those the greedy pass would
     take before touching either side, so all of them are taken per round.
     """
-    rank = F.struct(*dict.fromkeys([*order, *left, *right]))
-    pairs = cut_lineage(candidates.withColumn("_rank", rank))
+    pairs = cut_lineage(ranked(candidates, order, left, right))
     gate = [c for c in left if c in right]
     if not gate:
         return best_in_rounds(pairs, left, right)
@@ -108,6 +140,11 @@ def mutual_best(candidates: DataFrame, left: list[str], right: list[str], order:
     return taken if large is None else taken.unionByName(best_in_rounds(cut_lineage(large), left, right))
 
 
+def ranked(candidates: DataFrame, order: list[str], left: list[str], right: list[str]) -> DataFrame:
+    """Pairs with the place they are taken in (``_rank``)."""
+    return candidates.withColumn("_rank", F.struct(*dict.fromkeys([*order, *left, *right])))
+
+
 def best_in_rounds(open_pairs: DataFrame, left: list[str], right: list[str]) -> DataFrame:
     """The greedy match of pairs with a ``_rank``, all mutually best pairs a round."""
     matched = None

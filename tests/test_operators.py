@@ -311,6 +311,72 @@ def test_copies_of_a_text_match_in_order(spark, most):
     assert most == 0 or len(written_tables()) - before <= 2
 
 
+def wordings(rng, n, vocabulary=240):
+    """Texts of a few words, some without content words, some blank, some copies."""
+    words = ["".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(3)) for _ in range(vocabulary)]
+    out = [" ".join(rng.choices(words, k=rng.randint(2, 8))) for _ in range(n)]
+    return [rng.choice(["", "ok", "OK ", "a b", out[0]]) if rng.random() < 0.05 else x for x in out]
+
+
+def compared(spark, texts):
+    """Each text as the folds take it."""
+    df = SI.with_text_key(spark.createDataFrame(list(enumerate(texts)), "i int, txt string"), "txt")
+    return {r.i: SI.told_apart(r.words, r.text_key) for r in df.collect()}
+
+
+def test_held_texts_overlap_as_one_by_one(spark):
+    rng = random.Random(3)
+    mine = list(compared(spark, wordings(rng, 300, 60)).values())
+    held = SI.HeldTexts()
+    for n, text in enumerate(mine):
+        at, score = (SI.plain(x) for x in held.overlaps(*text, 0.3))
+        want = [(i, o) for i in range(n) if (o := T.overlap_of(text, mine[i])) >= 0.3]
+        assert list(zip(at, score)) == want
+        held.add(*text)
+
+
+@pytest.mark.parametrize("n, most", [(560, None), (60, 0)])
+def test_matches_of_a_large_gate_stay_in_its_task(spark, n, most):
+    """Above 4,096 similar pairs or 262,144 pairs of texts a gate used to be settled by joins of pairs, round after round."""
+    rng = random.Random(n)
+    both = [[("u", "g", i, s) for i, s in enumerate(wordings(rng, n))] for _ in range(2)]
+    other = [(None, "g", 0, both[0][0][3])]
+    left, right = (SI.with_text_key(spark.createDataFrame(x + other, "unit string, gate string, pos int, txt string").repartition(7), "txt") for x in both)
+    a, b = (compared(spark, [r[3] for r in x]) for x in both)
+    score = {(i, j): s for i in a for j in b if (s := T.overlap_of(a[i], b[j])) >= 0.3}
+    used, want = (set(), set()), []
+    for s, i, j in sorted((-s, i, j) for (i, j), s in score.items()):
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i), used[1].add(j), want.append((i, j, -s))
+    options = {} if most is None else {"most": most}
+    before = len(written_tables())
+    got = SI.matched(left.withColumnRenamed("pos", "l"), right.withColumnRenamed("pos", "r"), ["unit", "gate"], "l", "r", 0.3, **options).collect()
+    assert sorted((r.l, r.r, round(r.score, 12)) for r in got) == sorted((i, j, round(s, 12)) for i, j, s in want)
+    tagged = right.withColumn("tag", F.col("pos") % 5)
+    met = SI.tags_met(left, tagged, ["unit", "gate"], "tag", "n", 0.3, **options).collect()
+    assert len(met) == n + 1
+    for r in met:
+        assert r.n == (0 if r.unit is None else len({j % 5 for j in b if (r.pos, j) in score}))
+    assert most == 0 or len(written_tables()) - before <= 2
+
+
+def test_clusters_of_a_large_group_stay_in_its_task(spark):
+    """4,500 rows of one group: rounds over pairs before."""
+    rng = random.Random(9)
+    texts = wordings(rng, 4500, 400)
+    df = SI.with_text_key(spark.createDataFrame([("u", "g", i, s) for i, s in enumerate(texts)], "unit string, gate string, pos int, txt string"), "txt").drop("words", "text_key")
+    before = len(written_tables())
+    got = {r.pos: r.leader.pos for r in D.cluster_sightings(df, ["unit"], ["gate"], "txt", ["pos"], 0.42, "best").collect()}
+    assert len(written_tables()) - before <= 1
+    mine, leaders, want = compared(spark, texts), [], {}
+    for i in range(len(texts)):
+        hits = [(s, j) for j in leaders if (s := T.overlap_of(mine[i], mine[j])) >= 0.42]
+        want[i] = max(hits)[1] if hits else i
+        if not hits:
+            leaders.append(i)
+    assert got == want
+
+
 @pytest.mark.parametrize("most", [0, 4096])
 def test_consensus_both_ways(spark, most):
     rng = random.Random(5)
