@@ -27,19 +27,22 @@ def cluster_sightings(df: DataFrame, unit: list[str], gate: list[str], text: str
     small, large = K.split_by_size(df, keys, most)
     read = ["words", "_wording", "_place", *([cross_gate[0]] if cross_gate else [])]
 
+    lowest = min(threshold, cross_gate[1]) if cross_gate else threshold
+
     def start():
-        leaders = []  # (text, column of cross_gate, place), in order
+        leaders, places = S.HeldTexts(), []  # in order, with (column of cross_gate, place)
 
         def step(words, wording, place, own=None):
             mine, best, at = (frozenset(words), wording), 0.0, None
-            for theirs, other, leader in leaders:
-                score = T.overlap_of(mine, theirs)
+            for i, score in zip(*map(S.plain, leaders.overlaps(*mine, lowest))):
+                other, leader = places[i]
                 if score >= (threshold if own == other else cross_gate[1]) and score >= best:
                     best, at = score, leader
                     if assign == "first":
                         return at
             if at is None:
-                leaders.append((mine, own, place))
+                leaders.add(*mine)
+                places.append((own, place))
             return at or place
 
         return step
