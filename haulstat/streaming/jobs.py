@@ -69,10 +69,14 @@ def idle_sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return events.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap).alias("s"), "run_id").agg(F.count("*").alias("n"))
 
 
+PART = 256  # read ids of a unit that are kept together, about
+
+
 class PlanTracker(StatefulProcessor):
     """Rows (unit, read_id, planned, ts) of one unit in; one row when its planned reads have all arrived, one each time it has been overdue.
 
-    The read ids seen are a map, so a batch touches only those it brings; they are dropped when the
+    The read ids seen are a map of parts of about PART ids, so a batch touches only the parts of those it brings,
+    and a unit whose reads come at once touches none; they are dropped when the
     unit completes, and what stays is that it did. A timer says that nothing came for ``patience`` of event time;
     it forgets nothing, so a read that comes later still counts.
     """
@@ -82,35 +86,46 @@ class PlanTracker(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", T.StructType([T.StructField("read_id", T.LongType())]), T.StructType([T.StructField("ts", T.LongType())]))
-        self.told = handle.getValueState("told", T.StructType([T.StructField("reads", T.LongType()), T.StructField("planned", T.LongType()), T.StructField("done", T.BooleanType()), T.StructField("timer", T.LongType())]))
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("part", T.IntegerType())]), T.StructType([T.StructField("read_ids", T.ArrayType(T.LongType()))]))
+        self.told = handle.getValueState("told", T.StructType([T.StructField("reads", T.LongType()), T.StructField("planned", T.LongType()), T.StructField("done", T.BooleanType()), T.StructField("timer", T.LongType()),
+                                                               T.StructField("parts", T.IntegerType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        reads, planned, done, timer = self.told.get() if self.told.exists() else (0, 0, False, 0)
-        latest = 0
+        reads, planned, done, timer, parts = self.told.get() or (0, 0, False, 0, 0)
+        latest, brought = 0, set()
         for row in rows:
             planned = row["planned"]
             latest = max(latest, int(row["ts"].timestamp() * 1000))
-            if done or row["read_id"] is None or self.seen.containsKey((row["read_id"],)):
-                continue
-            self.seen.updateValue((row["read_id"],), (latest,))
-            reads += 1
+            if not done and row["read_id"] is not None:
+                brought.add(row["read_id"])
+        parts = parts or max(1, -(-planned // PART))
+        by_part: dict[int, set] = {}
+        for read_id in brought:
+            by_part.setdefault(read_id % parts, set()).add(read_id)
+        stored = {part: set((self.seen.getValue((part,)) or ([],))[0]) for part in by_part} if reads else {}
+        before = reads
+        reads += sum(len(ids - stored.get(part, set())) for part, ids in by_part.items())
         complete = not done and 0 < planned <= reads
         if timer:
             self.handle.deleteTimer(timer)
             timer = 0
         if complete:
-            self.seen.clear()
-        elif not done and planned > 0:
-            timer = latest + self.patience
-            self.handle.registerTimer(timer)
-        self.told.update((reads, planned, done or complete, timer))
+            if before:
+                self.seen.clear()
+        elif not done:
+            for part, ids in by_part.items():
+                if not ids <= stored.get(part, set()):
+                    self.seen.updateValue((part,), (sorted(ids | stored.get(part, set())),))
+            if planned > 0:
+                timer = latest + self.patience
+                self.handle.registerTimer(timer)
+        self.told.update((reads, planned, done or complete, timer, parts))
         if complete:
             yield Row(unit=key[0], reads=reads, planned=planned, complete=True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        reads, planned, done, _ = self.told.get()
-        self.told.update((reads, planned, done, 0))
+        reads, planned, done, _, parts = self.told.get()
+        self.told.update((reads, planned, done, 0, parts))
         if not done:
             yield Row(unit=key[0], reads=reads, planned=planned, complete=False)
 

@@ -32,6 +32,58 @@ def test_plans_complete_in_any_order_and_overdue_ones_later(spark, tmp_path):
     assert sorted(g for g in got if not g[3]) == [("never", 1, 5, False), ("slow", 1, 2, False)]
 
 
+class Calls:
+    """State of one unit in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.map, self.value, self.asked = {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        value = Calls()
+        value.get, value.exists = lambda: value.value, lambda: value.value is not None
+        value.update = lambda v: setattr(value, "value", v)
+        return value
+
+    def count(self, answer):
+        self.asked += 1
+        return answer
+
+    def containsKey(self, key):
+        return self.count(key in self.map)
+
+    def getValue(self, key):
+        return self.count(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self.count(self.map.__setitem__(key, value))
+
+    def clear(self):
+        self.count(self.map.clear())
+
+    registerTimer = deleteTimer = lambda self, at: None
+
+
+def test_a_batch_asks_the_state_for_parts_not_reads(spark):
+    """Each read used to cost two calls of the state store."""
+    def told(planned, *batches):
+        state, out, asked = Calls(), [], []
+        tracker = J.PlanTracker(1000)
+        tracker.init(state)
+        for ids in batches:
+            before = state.asked
+            out.append([(r["reads"], r["complete"]) for r in tracker.handleInputRows(("u",), iter([{"planned": planned, "read_id": i, "ts": at(1)} for i in ids]), None)])
+            asked.append(state.asked - before)
+        return out, asked
+
+    assert told(1000, range(1000)) == ([[(1000, True)]], [0])
+    out, asked = told(1001, [*range(1000), 5, None], [3, 999], [1000, -7], [2000])
+    assert out == [[], [], [(1002, True)], []]
+    assert asked[0] == 4 and asked[1] <= 2 and asked[2] <= 3 and asked[3] == 0
+
+
 def test_first_of_hash_over_files_reads_only_its_prefixes(spark, tmp_path, monkeypatch):
     opened = []
     real = J.stored_hashes
