@@ -24,6 +24,7 @@ MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
 HELD = 400_000  # terms of groups that a task adds up before it hands them on
+SENT = 10 << 20  # bytes of groups that are sent to the tasks; more of them meet their counts by (lang, source)
 # Bytes outside a term become blanks, A-Z become a-z; bytes of other code points stay.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -96,6 +97,16 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def with_groups(counts: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``counts`` joined with the groups' columns; never are the counts sent to the tasks.
+
+    Spark sizes rows made from arrays as the arrays' files, which may be less than the groups' table and
+    far less than the rows, so the choice goes by the groups' own bytes, counted.
+    """
+    size = groups.agg(F.sum(F.lit(64) + sum(F.octet_length(k) for k in keys))).first()[0] or 0
+    return counts.join(F.broadcast(groups), keys) if size <= SENT else counts.hint("merge").join(groups, keys)
+
+
 def weighted_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors, values, groups): the terms' counts, each count as (lang, source, term, p, q), and the groups with their totals.
 
@@ -108,8 +119,7 @@ def weighted_vectors(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFra
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("terms"))
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "terms", "all_total", "kept"])
     groups = cut_lineage(groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("kept"))))
-    # One row for each language and source; Spark broadcasts them where their size allows.
-    placed = counts.join(groups.select("lang", "source", "total", "all_total", "kept"), ["lang", "source"])
+    placed = with_groups(counts, groups.select("lang", "source", "total", "all_total", "kept"), ["lang", "source"])
     values = placed.select("lang", "source", "term", share(F.col("n"), F.col("total"), F.col("kept")).alias("p"), share(F.col("all_n"), F.col("all_total"), F.col("kept")).alias("q"))
     return vectors, values, groups
 
@@ -131,10 +141,11 @@ def pair_values(vectors: DataFrame, values: DataFrame, groups: DataFrame) -> Dat
     theirs = times.withColumnRenamed("source", "o_source").join(names.select("lang", "source", "p0"), "lang").where(F.col("source") != F.col("o_source"))
     theirs = theirs.groupBy("lang", "source", "o_source").agg(F.sum(F.col("times") * gap(F.col("p0"), F.col("p"))).alias("theirs"))
     # A term's sources side by side: pairs are made and added up in one pass, without a join of terms.
-    shares = names.join(groups.select("lang", "source", "total"), ["lang", "source"]).select("lang", "source", "total", "kept", "p0")
+    shares = groups.where("kept > 0").select("lang", "source", "total", "kept", "p0")
     both = vectors.select("lang", "counts", F.inline("counts")).select("lang", "source", "n", F.inline("counts").alias("o_source", "o_n"))
     both = both.where("source <> o_source").groupBy("lang", "source", "n", "o_source", "o_n").agg(F.count("*").alias("times"))
-    both = both.join(shares, ["lang", "source"]).join(shares.select("lang", *[F.col(c).alias(f"o_{c}") for c in ("source", "total", "p0")]), ["lang", "o_source"])
+    both = with_groups(both, shares, ["lang", "source"])
+    both = with_groups(both, shares.select("lang", *[F.col(c).alias(f"o_{c}") for c in ("source", "total", "p0")]), ["lang", "o_source"])
     both = both.withColumns({"p": share(F.col("n"), F.col("total"), F.col("kept")), "o_p": share(F.col("o_n"), F.col("o_total"), F.col("kept"))})
     exact, first, second, none = gap(F.col("p"), F.col("o_p")), gap(F.col("p"), F.col("o_p0")), gap(F.col("p0"), F.col("o_p")), gap(F.col("p0"), F.col("o_p0"))
     both = both.groupBy("lang", "source", "o_source").agg(F.sum(F.col("times") * (exact - first - second + none)).alias("both"))

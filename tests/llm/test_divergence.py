@@ -84,3 +84,20 @@ def test_terms_handed_on_early_are_added_up(spark, monkeypatch):
             sums[lang, source, term.decode()] += n
     assert sums == Counter((a, b, t) for a, b, c in rows for t in c.split())
     assert result(spark.createDataFrame(rows, "lang string, source string, text string")) == brute(rows)
+
+
+def test_counts_side_by_side_are_not_sent_to_the_tasks(spark, monkeypatch):
+    """A term in many sources makes far more pairs than its row's file tells."""
+    import random
+    rng = random.Random(7)
+    rows = [("en", f"s{k}", " ".join(f"w{chr(97 + w // 26)}{chr(97 + w % 26)} " * rng.randrange(1, 60) for w in range(200))) for k in range(80)]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
+    wanted = brute(rows)
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64m")
+    try:
+        assert result(frame) == wanted
+        monkeypatch.setattr(divergence, "SENT", 0)
+        assert result(frame) == wanted
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
