@@ -49,10 +49,10 @@ class Design:
     def columns(self) -> list[str]:
         return self.dense + [f"{c}_{v}" for c, vs in self.levels.items() for v in vs]
 
-    def moments(self, rows: list[dict]) -> np.ndarray:
-        """Moment matrix over [1, columns..., target] of a union of cells."""
+    def moments(self, rows: list[dict], kind=float) -> np.ndarray:
+        """Moment matrix over [1, columns..., target] of a union of cells, added up in numbers of ``kind``."""
         p, q = len(self.dense), sum(len(v) for v in self.levels.values())
-        total = np.zeros((p + q + 2, p + q + 2))
+        total = np.zeros((p + q + 2, p + q + 2), kind)
         for r in rows:
             flags = np.array([1.0 if r[c] == v else 0.0 for c, vs in self.levels.items() for v in vs])
             sx = np.array([r[f"s_{a}"] for a in self.dense])
@@ -98,13 +98,17 @@ def impute_linear(moments: np.ndarray, value: int, missing: int, fill: float) ->
 
     Mean imputation is linear in (value, missing flag), so it needs no rescan.
     """
-    change = np.eye(len(moments))
+    change = np.eye(len(moments), dtype=moments.dtype)
     change[missing, value] = fill
     return change.T @ moments @ change
 
 
 def fit(moments: np.ndarray, columns: list[str], alpha: float = 1.0, keep: list[str] | None = None) -> Fit:
-    """Ridge on standardised columns (population sd, zero sd counts as one), free intercept."""
+    """Ridge on standardised columns (population sd, zero sd counts as one), free intercept.
+
+    Moments in ``np.longdouble`` are centred and solved in it: where dummies add up to a constant, only the penalty
+    holds their common part, and doubles lose digits of it as the rows grow.
+    """
     use = [i for i, c in enumerate(columns) if keep is None or c in keep]
     at = [i + 1 for i in use]
     n = moments[0, 0]
@@ -114,8 +118,17 @@ def fit(moments: np.ndarray, columns: list[str], alpha: float = 1.0, keep: list[
     scale = np.where(var <= 1e-12, 1.0, np.sqrt(np.maximum(var, 1e-300)))
     cross = (moments[at, -1] - n * mean * y_mean) / scale
     gram = cov / np.outer(scale, scale)
-    coef = np.linalg.solve(gram + alpha * np.eye(len(at)), cross)
-    return Fit([columns[i] for i in use], coef, mean, scale, float(y_mean))
+    coef = solved(gram + alpha * np.eye(len(at)), cross)
+    return Fit([columns[i] for i in use], *[v.astype(float) for v in (coef, mean, scale)], float(y_mean))
+
+
+def solved(system: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution in the precision of ``system``: what a double solution leaves is solved for again."""
+    rough = system.astype(float)
+    out = np.linalg.solve(rough, right.astype(float))
+    for _ in range(0 if system.dtype == float else 3):
+        out = out + np.linalg.solve(rough, (right - system @ out).astype(float))
+    return out
 
 
 def squared_error(moments: np.ndarray, columns: list[str], model: Fit) -> float:

@@ -23,6 +23,7 @@ from .statements import permuted_sql, ridge_sql
 
 DENSE = ["log1p_age", "log_km", "euro6", "np_value", "np_missing"]
 SHIFTS = {"log1p_age": 2.0, "log_km": 12.0, "y": 10.0}
+NEW_PRICE_SHIFT = 11.0  # for rows that have one; the others stay at zero until they are imputed
 SPLIT_CELLS, CALIBRATION_SPLITS, TEST_SHARE = 200, 40, 25
 
 NEW_PRICE_SQL = """
@@ -225,10 +226,13 @@ residuals AS (SELECT listing_id, split_part(listing_id, '-', 1) AS vehicle, resi
 whole AS (SELECT tag, -1 AS fold, i, j, sum(v) AS v FROM moments GROUP BY ALL),""" + ridge_sql("full", "whole", 34, False) + """
 SELECT feature, round(coef, 6) AS coef, round(sd, 6) AS scale FROM full_coef JOIN columns USING (i)""")
 def ridge_full(t):
-    rows = full_cells(frame(t), ["market", "brand"])
+    # The new price moves as the other columns do; neither coefficients nor scales show it, and its sums keep their digits.
+    moved = F.coalesce(F.col("log_new_price") - F.lit(NEW_PRICE_SHIFT), F.lit(0.0))
+    rows = full_cells(frame(t).withColumn("np_value", moved), ["market", "brand"])
     design, _ = full_design(rows)
-    prepare, _ = imputer(design, design.moments(rows))
-    model = G.fit(prepare(design.moments(rows)), design.columns)
+    whole = design.moments(rows, np.longdouble)
+    prepare, _ = imputer(design, whole)
+    model = G.fit(prepare(whole), design.columns)
     return t.spark.createDataFrame([(c, round(float(b), 6), round(float(s), 6)) for c, b, s in zip(model.columns, model.coef, model.scale)],
                                    "feature string, coef double, scale double")
 
